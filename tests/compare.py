@@ -77,7 +77,7 @@ def main(argv):
     wanted = argv[1:]
     spark = build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-        "spark.driver.bindAddress": "127.0.0.1"})
+        "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
     import logging
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
