@@ -161,3 +161,8 @@ def most_common(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Da
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     best = F.min_by(value, F.struct(-F.col("_n"), F.col(value)))
     return counts.groupBy(*keys).agg(best.alias(name))
+
+
+def day_segment_of(ts: str) -> Column:
+    """Days since the epoch: the usual segment for rows ordered by time."""
+    return F.unix_date(F.to_date(ts))

@@ -258,7 +258,7 @@ def station_rows(t):
   SELECT b.*, coalesce(n, 0) AS total_alerts FROM b LEFT JOIN c USING (date, route_id)""", "C17")
 def rollup_alert_counts(t):
     day = F.date_format("captured_at", "yyyy-MM-dd").alias("date")
-    alert_rows = t.alerts.select(day, F.concat(F.lit("ALERT#"), F.explode("affected_routes")).alias("pk"))
+    alert_rows = t.alerts.select(day, F.explode(F.transform("affected_routes", lambda x: F.concat(F.lit("ALERT#"), x))).alias("pk"))
     base = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), route_of(F.col("user_id")).alias("route_id")).agg(F.count("*").alias("n_events"))
     return L.with_alert_counts(base, alert_rows)
 
