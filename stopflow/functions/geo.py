@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +45,19 @@ def cell(value: Column | str, size: float) -> Column:
     return F.floor(col(value) / F.lit(size)).cast("bigint")
 
 
-def project_fraction(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """Share along a segment of the point nearest to (lat, lon), on a local flat map."""
-    k = F.cos(F.radians(col(lat)))
-    dx, dy = (col(lon2) - col(lon1)) * k, col(lat2) - col(lat1)
-    px, py = (col(lon) - col(lon1)) * k, col(lat) - col(lat1)
+def segment_share(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """Share along a segment of the point nearest to (lat, lon), measured in degrees."""
+    dx, dy = col(lon2) - col(lon1), col(lat2) - col(lat1)
     length2 = dx * dx + dy * dy
-    return F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / length2))).otherwise(F.lit(0.0))
+    along = ((col(lon) - col(lon1)) * dx + (col(lat) - col(lat1)) * dy) / F.when(length2 > 0, length2)
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), F.lit(0.0))
+
+
+# Fixed value: metres of one degree of latitude on the sphere used here.
+METRES_PER_DEGREE = EARTH_KM * 1000 * math.pi / 180
+
+
+def cell_sizes(metres: float, lat_limit: float = 60.0) -> tuple[float, float]:
+    """Cell height and width in degrees that are at least ``metres`` wide up to ``lat_limit``."""
+    height = metres / METRES_PER_DEGREE * 1.0001
+    return height, height / math.cos(math.radians(lat_limit))
