@@ -53,15 +53,16 @@ class Tables:
 
     @cached_property
     def arrivals(self) -> DataFrame:
-        """events as observed arrivals: route, direction, stop, time, delay, latency and status."""
-        k = F.get_json_object("props", "$.k").cast("bigint")
-        stop = F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "N").otherwise("S"))
-        return self.events.select(
-            F.col("event_id").alias("arrival_id"), F.col("event_type").alias("route_id"),
-            text.direction(stop).alias("direction"), stop.alias("stop_id"), F.col("user_id").alias("trip_id"),
-            "ts", js_round_long((F.col("value") - 20) * 15).alias("delay_seconds"), k.alias("latency_ms"),
-            F.when(k < 3, "error").when(k < 6, "timeout").otherwise("success").alias("status"),
-        )
+        return arrivals_of(self.events)
+
+    def stream(self, name: str) -> DataFrame:
+        """The table as a file stream."""
+        reader = self.spark.readStream.schema(SCHEMAS[name])
+        table = f"{self.folder}/{name}.parquet"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(table)
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+            return reader.parquet(table)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     @cached_property
     def stops(self) -> DataFrame:
@@ -92,6 +93,18 @@ class Tables:
         )
 
 
+def arrivals_of(events: DataFrame) -> DataFrame:
+    """events as observed arrivals: route, direction, stop, time, delay, latency and status."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    stop = F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "N").otherwise("S"))
+    return events.select(
+        F.col("event_id").alias("arrival_id"), F.col("event_type").alias("route_id"),
+        text.direction(stop).alias("direction"), stop.alias("stop_id"), F.col("user_id").alias("trip_id"),
+        "ts", js_round_long((F.col("value") - 20) * 15).alias("delay_seconds"), k.alias("latency_ms"),
+        F.when(k < 3, "error").when(k < 6, "timeout").otherwise("success").alias("status"),
+    )
+
+
 # Alert kinds used by the bindings.
 ALERT_TYPES = ["Delays", "Service Change", "Detour", "Suspension", "Cancellations", "Planned Work", "Information",
                "Station Notice"]

@@ -217,7 +217,7 @@ def trip_directions(t):
 
 
 @query("trip_summaries", f"""WITH {LEGS}, g AS (SELECT origin, destination, list(route_id ORDER BY leg) FILTER (leg_type = 'board') AS rs, coalesce(sum(seconds) FILTER (leg_type = 'transfer'), 0)::BIGINT AS walking_seconds FROM legs GROUP BY ALL)
-  SELECT origin, destination, {rl('p.seconds / 60.0')} || ' min via ' || array_to_string(list_filter(rs, lambda x, i: NOT list_contains(rs[1:i - 1], x)), ', ') || ' (' || CASE transfers WHEN 0 THEN 'no transfers' WHEN 1 THEN '1 transfer' ELSE transfers || ' transfers' END || ')' AS summary, walking_seconds
+  SELECT origin, destination, {rl('p.seconds / 60.0')} || ' min via ' || coalesce(array_to_string(list_filter(rs, lambda x, i: NOT list_contains(rs[1:i - 1], x)), ', '), '') || ' (' || CASE transfers WHEN 0 THEN 'no transfers' WHEN 1 THEN '1 transfer' ELSE transfers || ' transfers' END || ')' AS summary, walking_seconds
   FROM plans p JOIN g USING (origin, destination)""", "K8")
 def trip_summaries(t):
     plans = planned(t)
