@@ -91,8 +91,8 @@ def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str
 def route_segments(patterns: DataFrame, steps: DataFrame, trips: DataFrame, max_seconds: int = 1800) -> DataFrame:
     """Edges of each pattern with the mean seconds over all trips of the route and direction."""
     keys = ["route_id", "direction_id"]
-    after = F.lead("stop_id").over(Window.partitionBy(*keys).orderBy("position"))
-    edges = patterns.withColumn("to_stop", after).filter(F.col("to_stop").isNotNull()).withColumnRenamed("stop_id", "from_stop")
+    led = with_previous(patterns, keys, ["position"], {"to_stop": "stop_id"}, F.floor(F.col("position") / 100_000), following=True)
+    edges = led.filter(F.col("to_stop").isNotNull()).withColumnRenamed("stop_id", "from_stop")
     valid = steps.filter((F.col("step_seconds") > 0) & (F.col("step_seconds") <= max_seconds)).select(
         "trip_id", text.parent_stop("stop_id").alias("from_stop"), text.parent_stop("next_stop").alias("to_stop"), "step_seconds")
     means = valid.join(trips.select("trip_id", *keys), "trip_id").groupBy(*keys, "from_stop", "to_stop").agg(

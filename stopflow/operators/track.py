@@ -15,7 +15,7 @@ from ..functions import geo, text
 from ..functions.numbers import clamp
 from ..session import cut_lineage
 from .lookups import _join_folded, fold_platforms
-from .ordered import SEG, with_previous, with_running_sum
+from .ordered import with_previous, with_running_sum
 
 
 def longest_shape(shapes: DataFrame) -> DataFrame:
@@ -28,11 +28,10 @@ def longest_shape(shapes: DataFrame) -> DataFrame:
 def with_cumulative(vertices: DataFrame, keys: Sequence[str] = ("route_id",), seq: str = "seq", block: int = 100_000) -> DataFrame:
     """Add metres along the line from its first vertex; long lines are cut into blocks of sequence numbers."""
     keys = list(keys)
-    marked = vertices.withColumn(SEG, F.floor(F.col(seq) / block)).withColumn("_seg_kept", F.col(SEG))
-    back = with_previous(marked, keys, [seq], {"_lat": "lat", "_lon": "lon"}, SEG)
+    at = F.floor(F.col(seq) / block)
+    back = with_previous(vertices, keys, [seq], {"_lat": "lat", "_lon": "lon"}, at)
     step = F.coalesce(geo.haversine_m("_lat", "_lon", "lat", "lon"), F.lit(0.0))
-    stepped = back.withColumn("_step", step).drop("_lat", "_lon").withColumnRenamed("_seg_kept", SEG)
-    return with_running_sum(stepped, keys, [seq], {"cum_m": "_step"}, SEG).drop("_step")
+    return with_running_sum(back.withColumn("_step", step).drop("_lat", "_lon"), keys, [seq], {"cum_m": "_step"}, at).drop("_step")
 
 
 def segments(track: DataFrame, keys: Sequence[str] = ("route_id",), seq: str = "seq", block: int = 100_000) -> DataFrame:

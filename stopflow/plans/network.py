@@ -91,9 +91,9 @@ def graph_ride_edges(t):
     return N.ride_edges(segments(t))
 
 
-@query("graph_reversed_edges", f"""WITH {RIDES}, late AS (SELECT * FROM rides WHERE from_station < to_station) SELECT * FROM late UNION ALL SELECT route_id, to_station, from_station, seconds FROM late""", "K1")
+@query("graph_reversed_edges", f"""WITH {RIDES} SELECT * FROM rides UNION ALL SELECT route_id, to_station, from_station, seconds FROM rides a WHERE NOT EXISTS (SELECT 1 FROM rides b WHERE b.route_id = a.route_id AND b.from_station = a.to_station AND b.to_station = a.from_station)""", "K1")
 def graph_reversed_edges(t):
-    return N.ride_edges(segments(t).filter("from_station < to_station"), bidirectional=True)
+    return N.ride_edges(segments(t), bidirectional=True)
 
 
 @query("transfer_members", f"WITH {RIDES} SELECT * FROM mem", "C13")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ordered import latest_per_key, sessions
+from ..operators.ordered import Segment, latest_per_key, sessions
 from ..operators.schedule import next_arrivals
 from ..sources.sinks import upsert_batch
 from . import carry
@@ -16,7 +16,7 @@ from . import carry
 # ---- trip lifecycle --------------------------------------------------------------
 
 
-def trip_sessions(positions: DataFrame, segment: Column, trip: str = "trip_id", ts: str = "ts", tie: str = "arrival_id", stop: str = "stop_id",
+def trip_sessions(positions: DataFrame, segment: Column | Segment, trip: str = "trip_id", ts: str = "ts", tie: str = "arrival_id", stop: str = "stop_id",
                   gap_seconds: float = 1800) -> DataFrame:
     """Trips cut where they were not seen for the gap: start, last sight, distinct stops, last stop."""
     silent = (F.unix_micros(ts) - F.unix_micros("_seen")) / F.lit(1e6) >= gap_seconds
