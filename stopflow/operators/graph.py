@@ -52,6 +52,11 @@ def transfer_members(members: DataFrame, nodes: DataFrame, same_station_seconds:
     return members.withColumn("same_station", F.lit(False)).withColumn("walk_seconds", F.col("walk_seconds").cast("bigint")).select(cols).unionByName(own.select(cols))
 
 
+def materialize_graph(rides: DataFrame, members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write the three graph tables once; searches read them in every round."""
+    return cut_lineage(rides), cut_lineage(members), cut_lineage(nodes)
+
+
 def graph_counts(rides: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Rows per node kind and edge kind; transfer edges are counted from member sizes, not listed.
 
@@ -152,7 +157,6 @@ def search(sources: DataFrame, rides: DataFrame, members: DataFrame, nodes: Data
     zero = F.lit(0).cast("bigint")
     labels = cut_lineage(starts.select("origin", "avoid", "station_id", "route_id", F.lit(0).alias("transfers"),
                                        F.struct(zero.alias("cost"), zero.alias("seconds"), _start_path().alias("path")).alias("best"), F.lit(True).alias("changed")))
-    rides, members, nodes = cut_lineage(rides), cut_lineage(members), cut_lineage(nodes)
     is_transfer = F.col("step_kind") == "transfer"
     extra = F.when(is_transfer, F.lit(penalty) + F.when(F.col("step_type") == "out-of-system", out_of_system).otherwise(0)).otherwise(0)
     step_cost = F.lit(1).cast("bigint") if by_hops else (F.col("step_seconds") + extra).cast("bigint")
@@ -215,7 +219,6 @@ def simple_paths(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes:
     zero = F.lit(0).cast("bigint")
     front = origins.join(nodes, F.col("origin") == F.col("station_id")).select(
         "origin", "station_id", "route_id", zero.alias("seconds"), F.lit(0).alias("transfers"), _start_path().alias("path"))
-    rides, members, nodes = cut_lineage(rides), cut_lineage(members), cut_lineage(nodes)
     found = None
     for _ in range(max_hops):
         moved = _steps(front, rides, members, nodes)

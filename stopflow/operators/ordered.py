@@ -21,6 +21,9 @@ SEG = "_segment"
 # Inputs estimated below this size use one plain window per key.
 PLAIN_WINDOW_BYTES = 128 * 1024 * 1024
 
+# Groups with more rows than this are cut into finer segments.
+HOT_ROWS = 1_000_000
+
 
 def fits_one_task(df: DataFrame) -> bool:
     """Whether the plan's size estimate is small enough for one task. Costs planning only, no job."""
@@ -32,14 +35,13 @@ def fits_one_task(df: DataFrame) -> bool:
 class Segment:
     """A coarse segment, and a finer one inside it (0 <= fine < span) for the few that are too large.
 
-    A (key, coarse) group is cut finely when it has more than ``max_rows`` rows. There are at most
-    (all rows / max_rows) such groups, which bounds the broadcast list of them.
+    A (key, coarse) group is cut finely when it has more than ``HOT_ROWS`` rows. There are at most
+    (all rows / HOT_ROWS) such groups, which bounds the broadcast list of them.
     """
 
     coarse: Column
     fine: Column
     span: int
-    max_rows: int = 1_000_000
 
 
 def day_segment_of(ts: str) -> Segment:
@@ -58,14 +60,14 @@ def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_segment(df: DataFrame, keys: Sequence[str], segment: Column, max_rows: int = 200_000) -> DataFrame:
-    """Add a segment column that is 0 except for keys with more than ``max_rows`` rows.
+def hot_segment(df: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame:
+    """Add a segment column that is 0 except for keys with more than ``HOT_ROWS`` rows.
 
-    The list of such keys has at most (all rows / max_rows) entries, so its broadcast is bounded.
+    The list of such keys has at most (all rows / HOT_ROWS) entries, so its broadcast is bounded.
     """
     if fits_one_task(df):
         return df.withColumn(SEG, F.lit(0).cast("bigint"))
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
+    hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
            .select(*keys, F.lit(True).alias("_hot")))
     marked = _match(df, F.broadcast(hot), keys)
     return marked.withColumn(SEG, F.when(F.col("_hot"), segment.cast("bigint")).otherwise(F.lit(0))).drop("_hot")
@@ -78,7 +80,7 @@ def _segmented(df: DataFrame, keys: Sequence[str], segment: Column | Segment | s
         return df.withColumn(SEG, segment.cast("bigint"))
     coarse = df.withColumn("_coarse", segment.coarse.cast("bigint"))
     on = [*keys, "_coarse"]
-    hot = (coarse.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > segment.max_rows)
+    hot = (coarse.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
            .select(*on, F.lit(True).alias("_hot")))
     fine = F.when(F.col("_hot"), segment.fine.cast("bigint")).otherwise(F.lit(0))
     return _match(coarse, F.broadcast(hot), on).withColumn(SEG, F.col("_coarse") * segment.span + fine).drop("_coarse", "_hot")

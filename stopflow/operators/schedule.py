@@ -46,11 +46,10 @@ def busiest_stations(stop_times: DataFrame, trips: DataFrame, service_id: str, k
             .orderBy(F.desc("daily_trains"), "stop_id").limit(k))
 
 
-def stop_steps(stop_times: DataFrame, order: Sequence[str] = ("stop_sequence",), segment: Column | None = None,
-               hot_rows: int = 200_000) -> DataFrame:
+def stop_steps(stop_times: DataFrame, order: Sequence[str] = ("stop_sequence",), segment: Column | None = None) -> DataFrame:
     """Each stop of a trip with the next one and the seconds between; past-midnight steps are repaired."""
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
-    marked = hot_segment(stop_times, ["trip_id"], block, hot_rows)
+    marked = hot_segment(stop_times, ["trip_id"], block)
     steps = with_previous(marked, ["trip_id"], list(order), {"next_stop": "stop_id", "next_arrival": "arrival_seconds"},
                           SEG, following=True)
     seconds = F.col("next_arrival") - F.col("departure_seconds")
@@ -67,7 +66,7 @@ def duration_matrix(steps: DataFrame, trips: DataFrame, max_seconds: int = 1800)
 
 
 def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str] = ("stop_sequence",), min_stops: int = 1,
-                    segment: Column | None = None, hot_rows: int = 200_000) -> DataFrame:
+                    segment: Column | None = None) -> DataFrame:
     """Stops, in order, of the most frequent stop pattern per route and direction.
 
     A trip's pattern is identified by its length and two order-aware hashes that combine row by
@@ -75,7 +74,7 @@ def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str
     """
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
     parented = stop_times.select("trip_id", *order, text.parent_stop("stop_id").alias("stop_id"))
-    placed = with_position(hot_segment(parented, ["trip_id"], block, hot_rows), ["trip_id"], list(order), SEG)
+    placed = with_position(hot_segment(parented, ["trip_id"], block), ["trip_id"], list(order), SEG)
     signed = placed.groupBy("trip_id").agg(
         F.count("*").alias("n_stops"), F.bit_xor(F.xxhash64("position", "stop_id")).alias("_h1"),
         F.bit_xor(F.xxhash64("stop_id", "position", F.lit("second"))).alias("_h2"))

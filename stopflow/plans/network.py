@@ -7,6 +7,7 @@ seconds are the smallest line price of that flow. Regions are the transfer compl
 from pyspark.sql import functions as F
 
 from ..operators import graph as N
+from ..session import cut_lineage
 from .base import Tables, query, rl
 
 PENALTY = 300
@@ -40,15 +41,14 @@ def complexes(t: Tables):
 
 
 def parts(t: Tables):
-    from ..session import cut_lineage
     rides = cut_lineage(N.ride_edges(segments(t)))
     nodes = N.graph_nodes(rides)
-    return rides, N.transfer_members(N.complex_members(complexes(t), stations(t)), nodes), nodes
+    return N.materialize_graph(rides, N.transfer_members(N.complex_members(complexes(t), stations(t)), nodes), nodes)
 
 
-def pairs(t: Tables):
+def pairs(rides):
     """Every origin and destination that orders connect."""
-    return segments(t).select(F.col("from_station").alias("origin"), F.col("to_station").alias("destination")).filter("origin <> destination").distinct()
+    return rides.select(F.col("from_station").alias("origin"), F.col("to_station").alias("destination")).distinct()
 
 
 RIDES = """flow AS (SELECT left(o_orderpriority, 1) AS route_id, lpad(c_nationkey::VARCHAR, 2, '0') AS from_station, lpad(s_nationkey::VARCHAR, 2, '0') AS to_station, min(floor(l_extendedprice))::BIGINT AS seconds
@@ -136,7 +136,8 @@ def known_stations(t):
 
 @query("least_cost_paths", f"WITH {PLANS} SELECT origin, destination, cost, seconds, transfers, array_to_string(path, '>') AS path FROM plans", "K2")
 def least_cost_paths(t):
-    out = N.least_cost_paths(pairs(t), *parts(t), **OPTIONS)
+    graph = parts(t)
+    out = N.least_cost_paths(pairs(graph[0]), *graph, **OPTIONS)
     return out.select("origin", "destination", "cost", "seconds", "transfers", path_text().alias("path"))
 
 
@@ -149,7 +150,8 @@ AGAIN, AGAIN_LAST = sql_search(14, COST, 2, "m", "SELECT DISTINCT origin, avoid
   a AS (SELECT DISTINCT origin, destination, cost, seconds, transfers, array_to_string(path, '>') AS path FROM (SELECT * FROM plans UNION ALL SELECT * FROM others))
   SELECT origin, destination, path, seconds, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, cost, path)::INT AS rank FROM a) WHERE rank <= 3""", "K3")
 def route_alternatives(t):
-    out = N.route_alternatives(pairs(t), *parts(t), k=3, **OPTIONS)
+    graph = parts(t)
+    out = N.route_alternatives(pairs(graph[0]), *graph, k=3, **OPTIONS)
     return out.select("origin", "destination", path_text().alias("path"), "seconds", "cost", "rank")
 
 
@@ -159,7 +161,8 @@ HOPS, HOPS_LAST = sql_search(8, "1", 2)
 @query("fewest_hop_paths", f"""WITH {RIDES}, {HOPS} SELECT origin, station_id AS destination, min(cost) AS hops, arg_min(seconds, (cost, seconds, transfers, path)) AS seconds, arg_min(transfers, (cost, seconds, transfers, path)) AS transfers
   FROM {HOPS_LAST} WHERE (origin, station_id) IN (SELECT (from_station, to_station) FROM rides) GROUP BY ALL""", "K4")
 def fewest_hop_paths(t):
-    return N.fewest_hops(pairs(t), *parts(t), max_transfers=2).select("origin", "destination", "hops", "seconds", "transfers")
+    graph = parts(t)
+    return N.fewest_hops(pairs(graph[0]), *graph, max_transfers=2).select("origin", "destination", "hops", "seconds", "transfers")
 
 
 ENUM = f"""{RIDES}, one AS MATERIALIZED (SELECT from_station AS origin, to_station, to_route, seconds, (kind = 'transfer')::INT AS transfers, [from_station || ':' || from_route, to_station || ':' || to_route] AS path FROM edges),
@@ -170,7 +173,8 @@ ENUM = f"""{RIDES}, one AS MATERIALIZED (SELECT from_station AS origin, to_stati
 
 @query("enumerated_paths", f"WITH {ENUM} SELECT origin, destination, seconds, transfers, array_to_string(path, '>') AS path, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, path)::INT AS rank FROM paths) WHERE rank <= 5", "K5")
 def enumerated_paths(t):
-    out = N.ranked_paths(N.simple_paths(pairs(t), *parts(t), max_hops=2, max_transfers=2), 5)
+    graph = parts(t)
+    out = N.ranked_paths(N.simple_paths(pairs(graph[0]), *graph, max_hops=2, max_transfers=2), 5)
     return out.select("origin", "destination", "seconds", "transfers", path_text().alias("path"), "rank")
 
 
@@ -179,7 +183,8 @@ def enumerated_paths(t):
   s AS (SELECT origin, destination, routes, min(seconds) AS seconds, arg_min(array_to_string(path, '>'), (seconds, path)) AS path FROM named GROUP BY ALL)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, routes)::INT AS rank FROM s) WHERE rank <= 3""", "K6")
 def distinct_route_trips(t):
-    out = N.distinct_route_trips(N.simple_paths(pairs(t), *parts(t), max_hops=2, max_transfers=2), 3)
+    graph = parts(t)
+    out = N.distinct_route_trips(N.simple_paths(pairs(graph[0]), *graph, max_hops=2, max_transfers=2), 3)
     return out.select("origin", "destination", "routes", "seconds", path_text().alias("path"), "rank")
 
 
@@ -199,8 +204,8 @@ LEGS = f"""{PLANS}, st AS (SELECT origin, destination, unnest(path) AS node, gen
 
 
 def planned(t: Tables):
-    from ..session import cut_lineage
-    return cut_lineage(N.least_cost_paths(pairs(t), *parts(t), **OPTIONS))
+    graph = parts(t)
+    return cut_lineage(N.least_cost_paths(pairs(graph[0]), *graph, **OPTIONS))
 
 
 @query("trip_legs", f"WITH {LEGS} SELECT * EXCLUDE (pos, place) FROM legs", "K7")
