@@ -48,10 +48,8 @@ def shape_direction(shape: Column | str) -> Column:
 
 
 def trip_key(trip_id: Column | str) -> Column:
-    """Trip id cut after its ``..N`` or ``..S`` mark; ids without the mark are kept."""
-    suffix = F.coalesce(trip_suffix(trip_id), col(trip_id))
-    found = F.regexp_extract(suffix, r"^(.*?\.\..)", 1)
-    return F.when(found != "", found).otherwise(suffix)
+    """Trip id (after its schedule prefix) cut after its ``..N`` or ``..S`` mark; ids without the mark are kept."""
+    return F.regexp_extract(col(trip_id), r"^(?:.*?-00_)?(.*?\.\..|.*)", 1)
 
 
 def key_part(key: Column | str, index: int, sep: str = "#") -> Column:

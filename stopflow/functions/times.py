@@ -29,8 +29,7 @@ def local_date(ts: Column | str, zone: str) -> Column:
 
 def seconds_of_local_day(ts: Column | str, zone: str) -> Column:
     """Wall-clock seconds since local midnight, by real zone rules."""
-    local = local_time(ts, zone)
-    return (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("bigint")
+    return F.pmod(F.floor(F.unix_micros(local_time(ts, zone)) / F.lit(1_000_000)), F.lit(86400)).cast("bigint")
 
 
 def epoch_to_timestamp(c: Column | str) -> Column:

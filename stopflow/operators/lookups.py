@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.geo import bearing
 from ..functions.numbers import interpolate, progress
 from ..functions.times import local_date, seconds_of_local_day, service_day_type
+from ..session import cut_lineage
 from .ordered import _match
 
 # ---- platform variants ------------------------------------------------------
@@ -19,24 +20,28 @@ from .ordered import _match
 # fallback is one equi-join instead of one per candidate id.
 
 
+MARKS = {"N": "_n", "S": "_s", "-": "_b"}
+
+
 def fold_platforms(df: DataFrame, keys: Sequence[str], stop: str, value: str, order: Sequence[str]) -> DataFrame:
-    """One row per keys and parent stop: the first value per platform, and the first of all."""
-    first = F.struct(*order)
+    """One row per keys and parent stop: the first (order, value) for each platform."""
     platform = F.coalesce(text.direction(stop), F.lit("-"))
+    entry = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("value"))
+    return df.groupBy(*keys, text.parent_stop(stop).alias("_parent")).agg(
+        *[F.min(F.when(platform == mark, entry)).alias(c) for mark, c in MARKS.items()])
 
-    def at(mark: str) -> Column:
-        return F.min_by(F.when(platform == mark, F.col(value)), F.when(platform == mark, first))
 
-    return df.groupBy(*keys, text.parent_stop(stop).alias("_parent")).agg(
-        at("N").alias("_at_n"), at("S").alias("_at_s"), at("-").alias("_at_bare"), F.min_by(value, first).alias("_any"))
+def refold(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same on fewer keys, from folded rows."""
+    return folded.groupBy(*keys, "_parent").agg(*[F.min(c).alias(c) for c in MARKS.values()])
 
 
-def platform_value(stop: str, prefix: str = "") -> Column:
+def platform_value(stop: str, tag: str = "") -> Column:
     """The folded value for the exact platform, else the first of the parent."""
-    d = text.direction(stop)
-    exact = (F.when(d == "N", F.col(f"{prefix}_at_n")).when(d == "S", F.col(f"{prefix}_at_s"))
-             .otherwise(F.col(f"{prefix}_at_bare")))
-    return F.coalesce(exact, F.col(f"{prefix}_any"))
+    d = F.coalesce(text.direction(stop), F.lit("-"))
+    first = F.least(*[F.col(f"{tag}{c}") for c in MARKS.values()])
+    exact = F.when(d == "N", F.col(f"{tag}_n")).when(d == "S", F.col(f"{tag}_s")).otherwise(F.col(f"{tag}_b"))
+    return F.coalesce(exact, first)["value"]
 
 
 def _join_folded(df: DataFrame, folded: DataFrame, keys: Sequence[str], stop: str, tag: str) -> DataFrame:
@@ -60,31 +65,39 @@ def schedule_deviation(live: DataFrame, schedule: DataFrame, zone: str, ts: str
     planned = F.floor(F.col("arrival_seconds") / 60) * 60 if truncate_minutes else F.col("arrival_seconds")
     best = (schedule.select(text.trip_key("trip_id").alias("_key"), F.col("stop_id").alias("_stop"),
                             F.col("service_type").alias("_service"), "trip_id", planned.alias("_planned"))
-            .groupBy("_key", "_stop", "_service").agg(F.max_by("_planned", F.struct("trip_id", "_planned")).alias("scheduled_seconds")))
+            .groupBy("_key", "_stop", "_service").agg(F.max(F.struct("trip_id", "_planned"))["_planned"].alias("scheduled_seconds")))
     actual = seconds_of_local_day(ts, zone)
     keyed = live.withColumns({"_lk": text.trip_key("trip_id"), "_ls": service_day_type(local_date(ts, zone))})
     joined = keyed.join(best, (F.col("_lk") == F.col("_key")) & (F.col("stop_id") == F.col("_stop")) & (F.col("_ls") == F.col("_service")), "left")
     return joined.withColumn("deviation_seconds", actual - F.col("scheduled_seconds")).drop("_lk", "_ls", "_key", "_stop", "_service")
 
 
-def tiered_schedule(live: DataFrame, schedule: DataFrame, order: Sequence[str] = ("trip_id", "stop_sequence")) -> DataFrame:
+def _trip_columns(df: DataFrame) -> DataFrame:
+    shaped = df.withColumn("_shape", text.trip_shape("_trip"))
+    return shaped.withColumn("_dir", text.shape_direction("_shape"))
+
+
+def schedule_index(schedule: DataFrame, order: Sequence[str] = ("trip_id", "stop_sequence")) -> list[tuple[list[str], DataFrame]]:
+    """Scheduled seconds by trip, by route and shape, by route and direction, each folded by platform.
+
+    The schedule is read once; its finest fold is written to the shared folder and the coarser
+    tiers are folds of that. Build it once per schedule and use it for many lookups.
+    """
+    tailed = schedule.withColumn("_trip", F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")))
+    finest = cut_lineage(_trip_columns(fold_platforms(tailed, ["_trip", "route_id"], "stop_id", "arrival_seconds", order)))
+    by_shape = refold(finest.filter(F.col("_shape").isNotNull()), ["route_id", "_shape", "_dir"])
+    return [(["_trip"], refold(finest, ["_trip"])), (["route_id", "_shape"], by_shape.drop("_dir")),
+            (["route_id", "_dir"], refold(by_shape, ["route_id", "_dir"]))]
+
+
+def tiered_schedule(live: DataFrame, index: list[tuple[list[str], DataFrame]]) -> DataFrame:
     """Scheduled seconds by trip, else by route and shape, else by route and direction.
 
     Every tier falls back from the platform to its parent. ``tier`` tells which one answered.
     """
-    shaped = schedule.withColumns({"_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")),
-                                   "_shape": text.trip_shape("trip_id")})
-    shaped = shaped.withColumn("_dir", text.shape_direction("_shape"))
-    wanted = live.withColumns({"_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")),
-                               "_shape": text.trip_shape("trip_id")})
-    wanted = wanted.withColumn("_dir", text.shape_direction("_shape"))
-    out = wanted
-    tiers = [["_trip"], ["route_id", "_shape"], ["route_id", "_dir"]]
-    for i, keys in enumerate(tiers, 1):
-        usable = shaped
-        for k in keys:
-            usable = usable.filter(F.col(k).isNotNull())
-        out = _join_folded(out, fold_platforms(usable, keys, "stop_id", "arrival_seconds", order), keys, "stop_id", f"t{i}")
+    out = _trip_columns(live.withColumn("_trip", F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id"))))
+    for i, (keys, tier) in enumerate(index, 1):
+        out = _join_folded(out, tier, keys, "stop_id", f"t{i}")
     found = [platform_value("stop_id", f"t{i}") for i in (1, 2, 3)]
     return out.select(*live.columns, F.coalesce(*found).alias("scheduled_seconds"),
                       F.when(found[0].isNotNull(), 1).when(found[1].isNotNull(), 2).when(found[2].isNotNull(), 3).alias("tier"))

@@ -138,8 +138,8 @@ def stop_arclength(requests: DataFrame, on_track: DataFrame) -> DataFrame:
     folded = fold_platforms(on_track, ["route_id"], "stop_id", "arclength_m", ["stop_id"])
     joined = _join_folded(requests, folded, ["route_id"], "stop_id", "a")
     d = text.direction("stop_id")
-    exact = F.when(d == "N", F.col("a_at_n")).when(d == "S", F.col("a_at_s"))
-    return joined.select(*requests.columns, F.coalesce(exact, "a_at_bare", "a_at_n", "a_at_s").alias("arclength_m"))
+    exact = F.when(d == "N", F.col("a_n")).when(d == "S", F.col("a_s"))
+    return joined.select(*requests.columns, F.coalesce(exact, "a_b", "a_n", "a_s")["value"].alias("arclength_m"))
 
 
 def stops_between(requests: DataFrame, on_track: DataFrame, key: str) -> DataFrame:
