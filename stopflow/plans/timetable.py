@@ -9,7 +9,7 @@ from ..operators import lookups as L
 from ..operators import schedule as S
 from .base import ARRIVALS, STOPS, Tables, query, r, rl, route_of, sql_route_of
 
-ORDER = ["stop_sequence", "tie_part", "tie_supplier"]
+ORDER = ["stop_sequence", "tie_part", "tie_supplier", "tie_price"]
 SQL_ORDER = ", ".join(ORDER)
 
 
@@ -48,7 +48,7 @@ def stop_times(t: Tables):
     return t.lineitem.select(
         full_trip(k).alias("trip_id"), route_of(k).alias("route_id"), service(k).alias("service_type"),
         F.concat(F.col("l_suppkey").cast("string"), platform).alias("stop_id"), F.col("l_linenumber").alias("stop_sequence"),
-        F.col("l_partkey").alias("tie_part"), F.col("l_suppkey").alias("tie_supplier"), at.alias("arrival_seconds"),
+        F.col("l_partkey").alias("tie_part"), F.col("l_suppkey").alias("tie_supplier"), F.col("l_extendedprice").alias("tie_price"), at.alias("arrival_seconds"),
         (at + 20).alias("departure_seconds"), k.alias("order_key"), "l_tax")
 
 
@@ -67,7 +67,7 @@ def lagged_steps(t: Tables):
 STOP_TIMES = f"""stop_times AS (SELECT {sql_full('l_orderkey')} AS trip_id, {sql_route_of('l_orderkey')} AS route_id,
   {sql_service('l_orderkey')} AS service_type,
   l_suppkey::VARCHAR || CASE WHEN l_linenumber = 7 THEN '' WHEN l_orderkey % 2 = 0 THEN 'N' ELSE 'S' END AS stop_id,
-  l_linenumber AS stop_sequence, l_partkey AS tie_part, l_suppkey AS tie_supplier,
+  l_linenumber AS stop_sequence, l_partkey AS tie_part, l_suppkey AS tie_supplier, l_extendedprice AS tie_price,
   (l_orderkey % 1080 * 60 + l_linenumber * 600 + floor(l_quantity) * 10)::BIGINT AS arrival_seconds,
   (l_orderkey % 1080 * 60 + l_linenumber * 600 + floor(l_quantity) * 10 + 20)::BIGINT AS departure_seconds, l_orderkey AS order_key, l_tax
   FROM lineitem)"""
@@ -199,8 +199,8 @@ SHAPE = "nullif(regexp_extract({c}, '_([A-Z0-9]+\\.\\.[NS][A-Z0-9]*)$', 1), '')"
 
 def sql_tier(i, keys):
     on = " AND ".join(f"s.{k} = l.{k}" for k in keys)
-    return f"""t{i} AS (SELECT event_id, coalesce(arg_min(arrival_seconds, (s.trip_id, stop_sequence, tie_part, tie_supplier)) FILTER (s.stop_id = l.stop_id),
-      arg_min(arrival_seconds, (s.trip_id, stop_sequence, tie_part, tie_supplier))) AS v FROM l JOIN s ON {on} AND rtrim(s.stop_id, 'NS') = rtrim(l.stop_id, 'NS') GROUP BY event_id)"""
+    return f"""t{i} AS (SELECT event_id, coalesce(arg_min(arrival_seconds, (s.trip_id, stop_sequence, tie_part, tie_supplier, tie_price)) FILTER (s.stop_id = l.stop_id),
+      arg_min(arrival_seconds, (s.trip_id, stop_sequence, tie_part, tie_supplier, tie_price))) AS v FROM l JOIN s ON {on} AND rtrim(s.stop_id, 'NS') = rtrim(l.stop_id, 'NS') GROUP BY event_id)"""
 
 
 @query("tiered_schedule_lookup", f"""WITH {STOP_TIMES}, {LIVE},
