@@ -109,6 +109,37 @@ def spacing_events(observed: DataFrame, kind: str, keys: Sequence[str] = KEYS, t
         F.concat(F.col("n").cast("string"), F.lit(words), F.col("stop_name")).alias("description"))
 
 
+def stop_windows(observed: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", window: str = "5 minutes") -> DataFrame:
+    """Per window, key and stop: largest delay, bunching and gap counts."""
+    return _windowed(observed, ts, window).groupBy("window_start", *keys, "stop_id").agg(
+        F.max("delay_seconds").alias("max_delay"), F.count_if("is_bunch").alias("n_bunch"), F.count_if("is_gap").alias("n_gap"))
+
+
+def events_of_stops(stops: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 300) -> DataFrame:
+    """DELAY, BUNCH and GAP events from rows of ``stop_windows``, all three in one pass."""
+    def worst(c):
+        return F.min_by("stop_id", F.when(F.col(c).isNotNull(), F.struct(-F.col(c), F.col("stop_id"))))
+
+    top = stops.groupBy("window_start", *keys).agg(
+        F.max("max_delay").alias("d"), worst("max_delay").alias("ds"), F.sum("n_bunch").alias("b"), worst("n_bunch").alias("bs"),
+        F.sum("n_gap").alias("g"), worst("n_gap").alias("gs"))
+
+    def event(kind, stop, keep, description):
+        return F.when(keep, F.struct(F.concat_ws("#", F.lit(kind), *keys).alias("pk"), F.unix_millis("window_start").alias("timestamp"),
+                                     F.col(stop).alias("stop_id"), description.alias("description")))
+
+    minutes = js_round_long(js_round_long("d") / 60).cast("string")
+    made = F.array_compact(F.array(
+        event("DELAY", "ds", F.col("d") > threshold, F.concat(minutes, F.lit("m delay at "), F.col("ds"))),
+        event("BUNCH", "bs", F.col("b") > 0, F.concat(F.col("b").cast("string"), F.lit(" bunching at "), F.col("bs"))),
+        event("GAP", "gs", F.col("g") > 0, F.concat(F.col("g").cast("string"), F.lit(" service gaps at "), F.col("gs")))))
+    return top.select(F.inline(made))
+
+
+def service_events(observed: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", window: str = "5 minutes", threshold: float = 300) -> DataFrame:
+    return events_of_stops(stop_windows(observed, keys, ts, window), keys, threshold)
+
+
 def skipped_stops(updates: DataFrame, zone: str, keys: Sequence[str] = KEYS, ts: str = "ts",
                   relation: str = "schedule_relationship") -> DataFrame:
     """Skipped stop updates per key and local day."""
@@ -153,18 +184,21 @@ def group_status(metrics: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def system_health(metrics: DataFrame, groups: DataFrame, alert_count: Column | None = None) -> DataFrame:
-    """One record per window; groups as JSON. Groups per window are bounded by the group list."""
-    per_group = group_status(metrics, groups)
-    packed = per_group.groupBy("window_start").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "feed_group", "train_count", "latency_ms", "status")))).alias("feed_group_data"))
-    totals = metrics.groupBy("window_start").agg(
-        F.sum("train_count").alias("train_count"),
-        js_round_long(F.avg(F.coalesce("feed_latency_ms", F.lit(0)))).alias("feed_latency_ms"),
-        F.when(F.bool_or(F.col("feed_status") == "error"), "degraded").otherwise("ok").alias("feed_status"))
-    return totals.join(packed, "window_start", "left").select(
-        F.unix_millis("window_start").alias("timestamp"), "train_count", "feed_latency_ms", "feed_status",
-        F.coalesce("feed_group_data", F.lit("[]")).alias("feed_group_data"),
-        (F.lit(0).cast("bigint") if alert_count is None else alert_count).alias("alert_count"))
+    """One record per window; groups as JSON. Groups per window are bounded by the group list.
+
+    Window totals are folded from the group rows, so the metrics are read once.
+    """
+    error = F.bool_or(F.col("feed_status") == "error")
+    per = metrics.join(groups, "route_id", "left").groupBy("window_start", "feed_group").agg(
+        F.sum("train_count").alias("train_count"), F.coalesce(F.max("feed_latency_ms"), F.lit(0)).alias("latency_ms"),
+        F.when(error, "error").otherwise("ok").alias("status"), F.sum(F.coalesce("feed_latency_ms", F.lit(0))).alias("_sum"), F.count("*").alias("_n"))
+    group = F.when(F.col("feed_group").isNotNull(), F.struct("feed_group", "train_count", "latency_ms", "status"))
+    totals = per.groupBy("window_start").agg(
+        F.sum("train_count").alias("train_count"), js_round_long(F.sum("_sum") / F.sum("_n")).alias("feed_latency_ms"),
+        F.when(F.bool_or(F.col("status") == "error"), "degraded").otherwise("ok").alias("feed_status"),
+        F.to_json(F.array_sort(F.collect_list(group))).alias("feed_group_data"))
+    return totals.select(F.unix_millis("window_start").alias("timestamp"), "train_count", "feed_latency_ms", "feed_status", "feed_group_data",
+                         (F.lit(0).cast("bigint") if alert_count is None else alert_count).alias("alert_count"))
 
 
 def route_alert_counts(alerts: DataFrame, zone: str, directions: Sequence[str] = ("N", "S"),

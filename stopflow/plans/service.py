@@ -32,10 +32,7 @@ def rollups(t: Tables):
 
 
 def service_events(t: Tables):
-    o = observed(t)
-    cols = ["pk", "timestamp", "stop_id", "description"]
-    parts = [H.delay_events(o), H.spacing_events(o, "BUNCH"), H.spacing_events(o, "GAP")]
-    return parts[0].select(cols).unionByName(parts[1].select(cols)).unionByName(parts[2].select(cols))
+    return H.service_events(observed(t))
 
 
 def sql_local(ts):

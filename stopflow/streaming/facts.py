@@ -68,22 +68,8 @@ def fold_metrics(partials: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def fold_events(partials: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 300) -> DataFrame:
     """DELAY, BUNCH and GAP events from closed windows' partial rows."""
     stops = partials.groupBy("window_start", *keys, "stop_id").agg(
-        F.max("max_delay").alias("d"), F.sum("n_bunch").alias("b"), F.sum("n_gap").alias("g"))
-    top = stops.groupBy("window_start", *keys).agg(
-        F.max("d").alias("d"), F.min_by("stop_id", F.when(F.col("d").isNotNull(), F.struct(-F.col("d"), F.col("stop_id")))).alias("ds"),
-        F.sum("b").alias("b"), F.min_by("stop_id", F.struct(-F.col("b"), F.col("stop_id"))).alias("bs"),
-        F.sum("g").alias("g"), F.min_by("stop_id", F.struct(-F.col("g"), F.col("stop_id"))).alias("gs"))
-
-    def event(kind, stop, keep, description):
-        return F.when(keep, F.struct(F.concat_ws("#", F.lit(kind), *keys).alias("pk"), F.unix_millis("window_start").alias("timestamp"),
-                                     F.col(stop).alias("stop_id"), description.alias("description")))
-
-    minutes = js_round_long(js_round_long("d") / 60).cast("string")
-    made = F.array_compact(F.array(
-        event("DELAY", "ds", F.col("d") > threshold, F.concat(minutes, F.lit("m delay at "), F.col("ds"))),
-        event("BUNCH", "bs", F.col("b") > 0, F.concat(F.col("b").cast("string"), F.lit(" bunching at "), F.col("bs"))),
-        event("GAP", "gs", F.col("g") > 0, F.concat(F.col("g").cast("string"), F.lit(" service gaps at "), F.col("gs")))))
-    return top.select(F.inline(made))
+        F.max("max_delay").alias("max_delay"), F.sum("n_bunch").alias("n_bunch"), F.sum("n_gap").alias("n_gap"))
+    return H.events_of_stops(stops, keys, threshold)
 
 
 def metric_stream(observed: DataFrame, metrics_path: str, events_path: str, rollup_path: str, checkpoint: str, zone: str,
