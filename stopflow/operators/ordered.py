@@ -220,11 +220,3 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """The first k rows per key; the rank filter is applied before the shuffle too."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
-
-
-def most_common(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Most frequent value per key, smallest value on ties. Counts combine before the shuffle."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    best = F.min_by(value, F.struct(-F.col("_n"), F.col(value)))
-    return counts.groupBy(*keys).agg(best.alias(name))
-

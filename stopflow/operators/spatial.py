@@ -6,8 +6,6 @@ grid is safe up to 60 degrees of latitude.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +102,3 @@ def _close_to(points: DataFrame, seeds: DataFrame, threshold: float, salts: int)
 def cluster_centres(members: DataFrame, key: str) -> DataFrame:
     """Size, mean position and earliest member per cluster."""
     return members.groupBy("seed").agg(F.count("*").alias("n_members"), F.avg("lat").alias("centre_lat"), F.avg("lon").alias("centre_lon"))
-
-
-def sorted_members(members: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Members as rows, cluster by cluster in the given order."""
-    return members.orderBy("seed", *order)

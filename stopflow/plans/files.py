@@ -231,9 +231,6 @@ def equipment_statistics(t: Tables):
     return R.equipment_stats(equipment, outages(t))
 
 
-ITEM = r"(?s)<li(?:\s[^>]*)?>.*?</li>"
-
-
 @query("news_items", r"""WITH i AS (SELECT page_id, unnest(l[1:5]) AS item, generate_subscripts(l[1:5], 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li(?:\s[^>]*)?>.*?</li>') AS l FROM pages)),
   x AS (SELECT page_id, pos, regexp_extract(item, '(?s)<a(?:\s[^>]*)?>(.*?)</a>', 1) AS t, regexp_extract(item, '(?s)<li(?:\s[^>]*)?>(.*?)</li>', 1) AS d, regexp_matches(item, '(?s)<a(?:\s[^>]*)?>(.*?)</a>') AS ok FROM i)
   SELECT page_id, pos::INT AS pos, trim(regexp_replace(t, '<[^>]*>', '', 'g')) AS title, trim(substr(regexp_replace(d, '<[^>]*>', '', 'g'), 1, 100)) AS description FROM x WHERE ok""", "A13")

@@ -7,11 +7,9 @@ from ..functions import geo, numbers, text, times
 from ..operators import lookups as L
 from ..operators import predicates as P
 from ..operators import rollups as R
-from .base import (ALERTS, ARRIVALS, ROUTE_IDS, STOPS, Tables, query, r, rl, route_of, sql_list, sql_route_of, values_sql)
+from .base import (ALERTS, ARRIVALS, STOPS, Tables, query, r, rl, route_of, sql_list, sql_route_of, values_sql)
 
 ALIASES = config.ROUTE_ALIASES
-ALIAS_SQL = values_sql(sorted(ALIASES.items()), "a, b", "al")
-Q = "'"
 
 
 def sql_canonical(c):

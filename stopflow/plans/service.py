@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import headways as H
 from ..operators import rollups as R
-from .base import ALERTS, ARRIVALS, ROUTE_IDS, Tables, mt, query, r, rl, sql_list, values_sql
+from .base import ALERTS, ARRIVALS, ROUTE_IDS, Tables, mt, query, r, rl, route_of, sql_list, values_sql
 
 ZONE = config.LOCAL_ZONE
 BUNCH, GAP = 3600, 86400
@@ -300,7 +300,6 @@ def operational_snapshot(t):
 @query("route_activity", f"""SELECT ro.x AS route_id, count(e.route) AS train_count FROM (SELECT unnest({sql_list(ROUTE_IDS + ['QQ'])}) AS x) ro
   LEFT JOIN (SELECT ({sql_list(ROUTE_IDS)})[user_id % {len(ROUTE_IDS)} + 1] AS route FROM events) e ON e.route = ro.x GROUP BY 1""", "D26")
 def route_activity(t):
-    from .base import route_of
     routes = t.spark.createDataFrame([(x,) for x in ROUTE_IDS + ["QQ"]], "route_id string")
     return R.activity_counts(routes, t.events.select(F.lower(route_of(F.col("user_id"))).alias("route_id")))
 

@@ -1,5 +1,6 @@
 """orders as trips and lineitem as stop times: schedule statistics, lookups, segments, boards."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -7,13 +8,14 @@ from ..functions import text
 from ..functions.numbers import js_round
 from ..operators import lookups as L
 from ..operators import schedule as S
+from ..operators.ordered import SEG, hot_segment, with_position
 from .base import ARRIVALS, STOPS, Tables, query, r, rl, route_of, sql_route_of
 
 ORDER = ["stop_sequence", "tie_part", "tie_supplier", "tie_price"]
 SQL_ORDER = ", ".join(ORDER)
 
 
-def tail(k, shape="{k}"):
+def tail(k):
     """Trip id tail: start text, route, direction mark and shape number."""
     start = F.lpad((k % 1440 * 100).cast("string"), 6, "0")
     return F.concat(start, F.lit("_"), route_of(k), F.lit(".."), F.when(k % 2 == 0, "N").otherwise("S"),
@@ -172,7 +174,6 @@ def station_routes(t):
   SELECT *, row_number() OVER (ORDER BY TRY_CAST(route_id AS INTEGER) NULLS LAST, route_id) AS place FROM x""", "F2")
 def routes_in_natural_order(t):
     counted = trips(t).groupBy("route_id").agg(F.count("*").alias("n_trips"))
-    from pyspark.sql import Window
     return S.natural_routes(counted.withColumn("place", F.row_number().over(Window.orderBy(*text.natural_order("route_id")))))
 
 
@@ -225,10 +226,6 @@ def tiered_headsign_lookup(t):
     return L.tiered_headsign(live(t), trips(t)).select("event_id", "headsign")
 
 
-def sql_zone_seconds(ts):
-    return f"(epoch(timezone('{config.LOCAL_ZONE}', timezone('UTC', {ts}))::TIME))"
-
-
 @query("schedule_deviation", f"""WITH {STOP_TIMES},
   live AS (SELECT order_key, stop_sequence, tie_part, {sql_tail('order_key')} AS trip, stop_id,
     TIMESTAMP '2024-03-04 05:00:00' + to_days((order_key % 7)::INT) + to_seconds(arrival_seconds + floor(l_tax * 6000 + 0.5) - 240) AS ts FROM stop_times),
@@ -318,7 +315,6 @@ def terminal_flags(t):
 
 def updates(t: Tables):
     """Stop updates of trips on one day, in stop order."""
-    from ..operators.ordered import SEG, hot_segment, with_position
     rows = stop_times(t).select("trip_id", "route_id", "stop_id", *ORDER, "arrival_seconds", "departure_seconds")
     placed = with_position(hot_segment(rows, ["trip_id"], F.col("stop_sequence")), ["trip_id"], ORDER, SEG, "seq")
     start = F.unix_timestamp(F.lit("2024-01-15 00:00:00").cast("timestamp"))

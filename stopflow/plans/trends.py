@@ -15,7 +15,6 @@ from .places import COORDS, SQL_KM, coords, sql_hav
 from .service import EVENTS, METRICS, metrics, service_events
 
 rd = numbers.js_round
-Q = "'"
 
 
 def daily(t: Tables, *keys):
