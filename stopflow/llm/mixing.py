@@ -32,7 +32,7 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
     s = s.withColumn("_budget", F.sum("source_size").over(whole) * float(share))
     s = s.withColumn("_level", (F.col("_budget") - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / F.sum("w").over(onward))
     s = s.withColumn("_fits", F.col("_level") * F.col("w") <= F.col("cap"))
-    s = s.withColumn("_final", F.min(F.when(F.col("_fits"), F.col("_level"))).over(whole))
+    s = s.withColumn("_final", F.max(F.when(F.col("_fits"), F.col("_level"))).over(whole))
     return s.select("key", "source_size", F.least("cap", F.col("_final") * F.col("w")).alias("target"), F.col("_n"))
 
 
