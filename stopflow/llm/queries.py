@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, sharding, simhash, warc
+from . import ann, bpe, mixing, quality_rules, sharding, simhash, warc
 from .common import table
 
 QUERIES = {}
@@ -51,3 +51,8 @@ def op8_simhash(spark, sf_dir):
 @query
 def op6_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
