@@ -14,6 +14,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -231,8 +232,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shared = spark.sparkContext.broadcast((hashlib.sha1(json.dumps(spec).encode()).hexdigest(), spec))
 
     @F.pandas_udf("struct<ids:array<int>,text:string>")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = _compiled(shared)
         for texts in batches:
             found = [machine.encode(t or "") for t in texts]

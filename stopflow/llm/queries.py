@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality_rules, sharding, simhash, warc
+from . import ann, bpe, mixing, quality_model, quality_rules, sharding, simhash, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -56,3 +56,13 @@ def op6_warc(spark, sf_dir):
 @query
 def op7_neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality_model(spark, sf_dir):
+    return quality_model.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
