@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from . import ann, bpe, mixing, quality_model, quality_rules, sharding, simhash, toxicity, url_filters, warc
 from .common import table
 
 QUERIES = {}
@@ -66,3 +66,13 @@ def op10_toxicity(spark, sf_dir):
 @query
 def op4_quality_model(spark, sf_dir):
     return quality_model.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_url_filters(spark, sf_dir):
+    captures, log = url_filters.bound(spark, sf_dir)
+    found = url_filters.evaluate(captures, log)
+    return found.select("page_id", "url", F.unix_micros("fetched_at").alias("fetched_us"), "n_entries", "first_entry", "blocked")
+
+
+ORACLES["op5_url_filters"] = url_filters.ORACLE
