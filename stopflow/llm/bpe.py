@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Results kept per worker to save work; a store is emptied when full, and long words are not kept.
-STORED_WORDS = 500_000
+STORED_WORDS = 1_000_000
 STORED_LENGTH = 64
 STORED_ARCS = 1_000_000
 
@@ -58,6 +59,9 @@ def read_vocabulary(path: str) -> dict:
             "added": [(t["content"], t["id"]) for t in spec["added_tokens"]]}
 
 
+spaced = re.compile(r" (?:\s|\Z)").search
+
+
 class _Store(dict):
     def __init__(self, make):
         super().__init__()
@@ -92,7 +96,7 @@ class Automaton:
         self._scan_tables()
         self.added = dict(spec["added"])
         self.label |= {t: x.encode() for x, t in spec["added"]}
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self._arcs: dict[int, bool] = {}
         self._after_space = _Store(lambda chunk: self._chunk(" " + chunk))
         self._at_start = _Store(self._chunk)
         self.split = regex.compile(PATTERN).findall
@@ -119,35 +123,41 @@ class Automaton:
 
     def _scan_tables(self) -> None:
         """Tables that give, while reading bytes, the longest token that ends here, and its longest proper suffix token."""
-        step: dict[int, int] = {}  # state * 256 + byte -> state
-        children: list[list[tuple[int, int]]] = [[]]
+        step: list[dict[int, int]] = [{}]  # by state: byte -> state
         ends = [-1]
         for data, t in self.token.items():
             at = 0
             for b in data:
-                to = step.get(at << 8 | b)
+                to = step[at].get(b)
                 if to is None:
-                    to = step[at << 8 | b] = len(ends)
-                    children[at].append((b, to))
-                    children.append([])
+                    to = step[at][b] = len(step)
+                    step.append({})
                     ends.append(-1)
                 at = to
             ends[at] = t
-        fall, queue = [0] * len(ends), [to for _, to in children[0]]
-        suffix: dict[int, int] = {}
+        fall, queue = [0] * len(step), list(step[0].values())
+        self.suffix = [-1] * (max(self.label) + 1)
         for at in queue:
             if ends[at] >= 0:
-                suffix[ends[at]] = ends[fall[at]]
+                self.suffix[ends[at]] = ends[fall[at]]
             else:
                 ends[at] = ends[fall[at]]
-            for b, to in children[at]:
+            for b, to in step[at].items():
                 f = fall[at]
-                while f and f << 8 | b not in step:
+                while f and b not in step[f]:
                     f = fall[f]
-                fall[to] = step.get(f << 8 | b, 0)
+                fall[to] = step[f].get(b, 0)
                 queue.append(to)
-        self.step, self.fall, self.ends, self.suffix = step, fall, ends, suffix
-        self.length = {t: len(x) for x, t in self.token.items()}
+        self.step, self.fall, self.ends = step, fall, ends
+        self.length = [len(self.label.get(t, b"")) for t in range(max(self.label) + 1)]
+
+    def _fallen(self, at: int, byte: int) -> int:
+        """The state after a byte that no token goes on with; noted as a step of its own."""
+        f = self.fall[at]
+        while f and byte not in self.step[f]:
+            f = self.fall[f]
+        to = self.step[at][byte] = self.step[f].get(byte, 0)
+        return to
 
     def word(self, data: bytes) -> list[int]:
         """The one accepted token sequence of some bytes.
@@ -155,37 +165,41 @@ class Automaton:
         ``last[i]`` is the state after the first i bytes. It is the one token t ending there that may follow
         ``last[i - len(t)]``; candidates are the longest token ending there and its suffixes. Any token may come first.
         """
-        step, fall, ends, suffix, length, arcs = self.step, self.fall, self.ends, self.suffix, self.length, self._arcs
-        last = [-1] * (len(data) + 1)
+        step, ends, suffix, length, arcs = self.step, self.ends, self.suffix, self.length, self._arcs
+        last = [-1]
         at = 0
         for i, b in enumerate(data, 1):
-            to = step.get(at << 8 | b)
-            if to is None:
-                f = at
-                while to is None and f:
-                    f = fall[f]
-                    to = step.get(f << 8 | b)
-                to = to or 0
-            at = to
+            try:
+                at = step[at][b]
+            except KeyError:
+                at = self._fallen(at, b)
             t = ends[at]
-            while i != length[t]:
-                pair = last[i - length[t]], t
-                ok = arcs.get(pair)
-                if ok is None:
+            n = length[t]
+            while n != i:
+                u = last[i - n]
+                try:
+                    ok = arcs[u << 24 | t]
+                except KeyError:
                     if len(arcs) >= STORED_ARCS:
                         arcs.clear()
-                    ok = arcs[pair] = self.arc(*pair)
+                    ok = arcs[u << 24 | t] = self.arc(u, t)
                 if ok:
                     break
                 t = suffix[t]
-            last[i] = t
+                n = length[t]
+            last.append(t)
         out, i = [], len(data)
         while i:
-            out.append(last[i])
-            i -= length[last[i]]
-        return out[::-1]
+            t = last[i]
+            out.append(t)
+            i -= length[t]
+        out.reverse()
+        return out
 
     def _chunk(self, text: str) -> list[int]:
+        core = text.removeprefix(" ")
+        if core.isascii() and core.isalpha():  # one word of the pattern
+            return self.word(text.encode())
         return [t for w in self.split(text) for t in self.word(w.encode())]
 
     def _plain(self, text: str) -> list[int]:
@@ -195,8 +209,8 @@ class Automaton:
         the rest. So a text is cut at single spaces and the ids of each cut are kept; with other runs of white space
         at a cut, the pattern runs over the whole text.
         """
-        first, *rest = text.split(" ")
-        if all(rest) and not any(map(str.isspace, [x[0] for x in rest])):
+        if not spaced(text):
+            first, *rest = text.split(" ")
             return [*self._at_start[first], *chain.from_iterable(map(self._after_space.__getitem__, rest))]
         return [t for w in self.split(text) for t in (self._after_space[w[1:]] if w[0] == " " and len(w) > 1 and not w[1].isspace() else self._at_start[w])]
 
