@@ -13,17 +13,20 @@ from .common import join_skewed, with_positions, written
 
 # A group is large from this share of one shard's mean load; there are fewer than shards / LARGE_SHARE of them.
 LARGE_SHARE = 1 / 1000
-PARTS = 64
+# Small groups are scheduled in parts of about this many, of which there are at most PARTS; a part needs many times the number of
+# shards to come out level.
+PART_GROUPS = 1000
+PARTS = 4096
 BUCKETS = 64
 
 
-def schedule(items: Iterator[tuple[object, int]], loads: list[float]) -> Iterator[tuple[object, int]]:
-    """Give each (name, size), largest first, to the least-loaded shard; ``loads`` are changed. Ties: the lower shard."""
-    heap = [(load, s) for s, load in enumerate(loads)]
+def schedule(items: Iterator[tuple[object, int]], loads: list[float], first: int = 0) -> Iterator[tuple[object, int]]:
+    """Give each (name, size), largest first, to the least-loaded shard; ``loads`` are changed. Ties: by number, from ``first`` on."""
+    heap = [(load, (s - first) % len(loads), s) for s, load in enumerate(loads)]
     heapq.heapify(heap)
     for name, size in items:
-        load, s = heap[0]
-        heapq.heapreplace(heap, (load + size, s))
+        load, tie, s = heap[0]
+        heapq.heapreplace(heap, (load + size, tie, s))
         loads[s] = load + size
         yield name, s
 
@@ -32,7 +35,7 @@ def place_groups(groups: DataFrame, shards: int) -> DataFrame:
     """Shards of groups (group, bytes), as rows (group, shard).
 
     Large groups, fewer than ``shards`` * 1,000 by their share of all bytes, are scheduled first and in one
-    heap. The others are dealt by hash over ``PARTS`` parts; each part schedules its own, largest first, in
+    heap. The others are dealt by hash over parts; each part schedules its own, largest first, in
     one pass over its sorted rows with a heap that starts from the part's share of the large groups' loads,
     so all parts fill up to the same level.
     """
@@ -45,7 +48,8 @@ def place_groups(groups: DataFrame, shards: int) -> DataFrame:
     placed = list(schedule(iter(large), loads))
     done = spark.createDataFrame(placed, "group string, shard int")
     rest = groups.filter(F.col("bytes") <= bound)
-    rest = rest.withColumn("_part", F.pmod(F.xxhash64("group"), F.lit(PARTS)).cast("int"))
+    parts = max(1, min(PARTS, rest.count() // PART_GROUPS))
+    rest = rest.withColumn("_part", F.pmod(F.xxhash64("group"), F.lit(parts)).cast("int"))
     share = rest.groupBy("_part").agg(F.sum("bytes").alias("b")).collect()  # one number per part
     remaining = sum(r["b"] for r in share) or 1
     shares = {r["_part"]: r["b"] / remaining for r in share}
@@ -61,12 +65,12 @@ def place_groups(groups: DataFrame, shards: int) -> DataFrame:
                 while end < batch.num_rows and cols["_part"][end] == part:
                     end += 1
                 state = own.setdefault(part, [x * shares[part] for x in loads])
-                for i, s in schedule(zip(range(at, end), cols["bytes"][at:end], strict=True), state):
+                for i, s in schedule(zip(range(at, end), cols["bytes"][at:end], strict=True), state, part):
                     out[i] = s
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(out, pa.int32())], names=["group", "shard"])
 
-    dealt = rest.repartition(PARTS, "_part").sortWithinPartitions("_part", F.col("bytes").desc(), "group").select("_part", "group", "bytes")
+    dealt = rest.repartition(parts, "_part").sortWithinPartitions("_part", F.col("bytes").desc(), "group").select("_part", "group", "bytes")
     return done.unionByName(dealt.mapInArrow(run, "group string, shard int"))
 
 
