@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, a grid join on segment bit counts, exact check, and connected components.
 
 A fingerprint is embedded as the bit counts of 32 segments of two bits. The Manhattan distance of two such vectors never
-exceeds the Hamming distance of the fingerprints. The vector is cut into 8 blocks of 4 segments; within Manhattan
-distance 4, at least 4 blocks are equal, so all links meet in one of the 70 cells (which 4 blocks, their counts). Members of a
+exceeds the Hamming distance of the fingerprints. The vector is cut into 9 blocks of 3 or 4 segments; within Manhattan
+distance 4, at least 5 blocks are equal, so all links meet in one of the 126 cells (which 5 blocks, their counts). Members of a
 cell are filtered by Manhattan distance, then by Hamming distance.
 """
 
@@ -17,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, written
+from .common import fresh, join_skewed, written
 from .components import components
 
 BITS = 64
-BLOCKS = 8
+SEGMENTS = 32
+BLOCKS = 9
 # A cell's members are compared in groups of about this many; larger cells are cut, and each pair of pieces is a group.
 PIECE = 1024
 LOW = np.uint64(0x5555555555555555)
@@ -70,10 +71,10 @@ def cells(prints: DataFrame, distance: int) -> DataFrame:
     low = F.lit(int(LOW))
     even, odd = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
     counts = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # even + odd in each segment
-    width = BITS // BLOCKS
+    edge = [round(SEGMENTS * b / BLOCKS) * 2 for b in range(BLOCKS + 1)]
     keys = []
     for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - distance)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
+        mask = sum((1 << edge[b + 1]) - (1 << edge[b]) for b in chosen)
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         keys.append(F.xxhash64(F.lit(k), F.col("_counts").bitwiseAND(F.lit(mask).cast("bigint"))))
     return prints.select("fp", counts.alias("_counts")).select("fp", F.explode(F.array(*keys)).alias("cell"))
@@ -115,8 +116,8 @@ def edges(prints: DataFrame, distance: int) -> DataFrame:
     member = cells(prints, distance)
     crowded = member.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = written(crowded.select("cell", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "simhash-crowded")
-    # Joined as two plain tables, so a cell that owns many rows is split by skew handling.
-    met = member.join(crowded, "cell")
+    # A sort-merge join at every size, so a cell that owns many rows is split by skew handling.
+    met = member.join(crowded.hint("merge"), "cell")
     met = met.withColumn("i", F.pmod(F.xxhash64("fp", "cell"), F.col("pieces")).cast("int"))
     other = F.sequence(F.lit(0), F.col("pieces") - 1)
     met = met.withColumn("j", F.explode(other))
@@ -147,7 +148,7 @@ def edges(prints: DataFrame, distance: int) -> DataFrame:
                                              names=["a", "b"])
 
     found = groups.select("lo", "hi", "m").mapInArrow(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-edges")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -171,5 +172,6 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents that represent their component: those with its smallest doc_id. Rows without doc_id stay only in a
     component of such rows; rows that repeat a doc_id are one document and stay or go together."""
     found = classes(docs, doc_id, text, distance)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+    key = fresh(docs, "_key")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(first, F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
