@@ -29,12 +29,12 @@ def chunk_table(pages: DataFrame, page_id: str, url: str, payload: str, chunk: i
 
     NULL payload: one empty chunk. Line breaks are taken out of urls, as they go into headers.
     """
-    data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    data = F.col("data")
     n = F.greatest(F.ceil(F.octet_length(data) / chunk), F.lit(1)).cast("int")
     parts = let(data, lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(d, i * chunk + 1, F.lit(chunk))))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("bigint").alias("record"),
-                        F.regexp_replace(F.col(url), r"[\r\n]", "").alias("url"), n.alias("chunks"), F.posexplode(parts).alias("chunk", "part"))
-    return written(rows, "warc-chunks")
+                        F.regexp_replace(F.col(url), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("data"))
+    return written(rows.select("row", "record", "url", n.alias("chunks"), F.posexplode(parts).alias("chunk", "part")), "warc-chunks")
 
 
 def running_digests(chunks: DataFrame) -> DataFrame:
