@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -239,7 +241,8 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     """Add the token ids (array<int>) of whole texts, and if named, the text decoded from those ids.
 
     The vocabulary file is read on the driver and broadcast (a file of fixed size, one or two MB as tuples). Texts are
-    split, encoded and decoded where they are, without a shuffle. NULL text counts as empty; other columns are kept.
+    split, encoded and decoded where they are, without a shuffle. NULL text counts as empty, repeated rows are each
+    encoded, an empty table gives no rows; other columns are kept, but for one named as ``ids`` or ``decoded``.
     """
     spark = docs.sparkSession
     spec = read_vocabulary(path)
@@ -252,10 +255,11 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
             found = [machine.encode(t or "") for t in texts]
             yield pd.DataFrame({"ids": found, "text": [machine.decode(x) for x in found] if decoded else [""] * len(found)})
 
-    out = docs.withColumn("_bpe", run(F.coalesce(F.col(text), F.lit("")))).withColumn(ids, F.col("_bpe.ids"))
+    made = fresh(docs, "_bpe")
+    out = docs.withColumn(made, run(F.coalesce(F.col(text), F.lit("")))).withColumn(ids, F.col(made)["ids"])
     if decoded:
-        out = out.withColumn(decoded, F.col("_bpe.text"))
-    return out.drop("_bpe")
+        out = out.withColumn(decoded, F.col(made)["text"])
+    return out.drop(made)
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,6 +27,14 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -40,10 +48,18 @@ def null_key(column: str) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh table in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def join_skewed(rows: DataFrame, small: DataFrame, key: str, n: str = "_n") -> DataFrame:
     """Inner join where a few keys may own most rows. ``small`` has one row per key, ``n`` its number of ``rows``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_skewed, null_key, with_positions, words, written
+from .common import fresh, join_skewed, null_key, with_positions, words, written
 
 BUCKETS = 64
 # Size levels: each holds sizes within 5 percent of one another, so a corpus has a few hundred.
@@ -75,6 +75,7 @@ def emit(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
     Rows that share a doc_id (or have none) are emitted as often as the least of their copies.
     """
-    times = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").cast("int").alias("_copies")).filter(F.col("_copies") > 0)
-    joined = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, n = fresh(docs, "_key"), fresh(docs, "_copies")
+    times = plan.groupBy(F.col("doc_id").alias(key)).agg(F.min("copies").cast("int").alias(n)).filter(F.col(n) > 0)
+    joined = docs.join(times, F.col(doc_id).eqNullSafe(F.col(key)))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(fresh(docs, "_copy"))).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 # Labelled rows used for mining terms and anchoring the label model: at most this many, taken by a hash of doc_id.
 MAX_LABELLED = 20_000
@@ -257,4 +257,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) ->
     """The documents predicted not to be toxic, in their own columns. Texts are read again, so rows keep their place."""
     model, _ = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), bound)
     read = read_features(model.lexicon)
-    return docs.withColumn("_toxic", read("text")["features"]).filter(model.score("_toxic") < 0.5).select(*docs.columns)
+    found = fresh(docs, "_features")
+    return docs.withColumn(found, read("text")["features"]).filter(model.score(found) < 0.5).select(*docs.columns)

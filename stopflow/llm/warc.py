@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from stopflow.session import scratch_path
 
-from .common import join_skewed, let, written
+from .common import discard, join_skewed, let, written
 
 CHUNK = 1 << 18
+FILE_RECORDS = 20_000
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
 
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
                    date: str = "1970-01-01T00:00:00Z", chunk: int = CHUNK, min_bytes: int = MIN_REVISIT_BYTES) -> str:
     """Write one logical record per page below ``path``: the payload in chunks, or a revisit record without payload.
 
-    Files are plain WARC/1.1, one per task. Every record starts with the WARC-Warcinfo-ID made for this call, which is
+    Files are gzipped WARC/1.1 of at most FILE_RECORDS records. Every record starts with the WARC-Warcinfo-ID made for this call, which is
     returned: ``read_archives`` finds the borders of records by it, and no payload can hold it.
     """
     info = f"<urn:uuid:{uuid.uuid4()}>"
@@ -126,7 +127,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     lines = [F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit("")) for name, value in headers]
     start = f"WARC/1.1{CRLF}WARC-Warcinfo-ID: {info}{CRLF}"
     text = F.concat(F.lit(start), *lines, F.lit(CRLF), part.cast("string"))
-    rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    (rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    discard(chunks)
     return info
 
 
