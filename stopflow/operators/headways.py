@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round, js_round_long, mean_tenths
 from ..functions.times import local_date
-from .ordered import Segment, _match, day_segment_of, exact_quantiles, with_previous
+from .ordered import _match, exact_quantiles, time_segment_of, with_previous
 
 KEYS = ("route_id", "direction")
 
 
 def headways(arrivals: DataFrame, keys: Sequence[str] = (*KEYS, "stop_id"), ts: str = "ts", tie: str = "arrival_id",
              bunch: float = 120, gap: float = 900, max_headway: float | None = 3600,
-             segment: Column | Segment | None = None) -> DataFrame:
+             segment: Column | None = None) -> DataFrame:
     """Seconds since the previous arrival at the same key, kept when 0 < h < max_headway, with flags."""
-    lagged = with_previous(arrivals, keys, [ts, tie], {"prev_ts": ts}, day_segment_of(ts) if segment is None else segment)
+    lagged = with_previous(arrivals, keys, [ts, tie], {"prev_ts": ts}, time_segment_of(ts) if segment is None else segment)
     seconds = (F.unix_micros(ts) - F.unix_micros("prev_ts")) / F.lit(1e6)
     valid = seconds > 0 if max_headway is None else (seconds > 0) & (seconds < max_headway)
     h = F.when(valid, seconds)

@@ -1,9 +1,8 @@
 """Ordered computations per key that hold up when one key owns a large share of the rows.
 
-A plain window puts a whole key into one task. That is fine while the whole input fits into one
-task, which is checked on the plan's size estimate. Beyond that a key is cut into segments that
-follow its order (a day, a block of sequence numbers). Rows are windowed inside segments, and only
-one summary row per (key, segment) crosses segment borders.
+A key is always cut into segments that follow its order (an hour, a block of sequence numbers), at every size of input.
+Rows are windowed inside (key, segment), and only one summary row per (key, segment) crosses segment borders. The
+number of segments of a key is bounded by the calendar or by its sequence numbers, not by its rows.
 
 Ordering is given as column names, ascending, and must be total within a key.
 """
@@ -11,43 +10,21 @@ Ordering is given as column names, ascending, and must be total within a key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEG = "_segment"
-
-# Inputs estimated below this size use one plain window per key.
-PLAIN_WINDOW_BYTES = 128 * 1024 * 1024
-
-# Groups with more rows than this are cut into finer segments.
-HOT_ROWS = 1_000_000
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the plan's size estimate is small enough for one task. Costs planning only, no job."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= PLAIN_WINDOW_BYTES
+from ..session import cut_lineage
 
+SEG = "_segment"
 
-@dataclass(frozen=True)
-class Segment:
-    """A coarse segment, and a finer one inside it (0 <= fine < span) for the few that are too large.
-
-    A (key, coarse) group is cut finely when it has more than ``HOT_ROWS`` rows. There are at most
-    (all rows / HOT_ROWS) such groups, which bounds the broadcast list of them.
-    """
 
-    coarse: Column
-    fine: Column
-    span: int
+def time_segment_of(ts: str) -> Column:
+    """The hour of a timestamp, counted from the epoch."""
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
 
 
-def day_segment_of(ts: str) -> Segment:
-    """Days, cut into seconds where one key has too many rows in a day."""
-    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return Segment(F.unix_date(F.to_date(ts)), second, 86400)
+day_segment_of = time_segment_of
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -60,51 +37,22 @@ def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_segment(df: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame:
-    """Add a segment column that is 0 except for keys with more than ``HOT_ROWS`` rows.
-
-    The list of such keys has at most (all rows / HOT_ROWS) entries, so its broadcast is bounded.
-    """
-    if fits_one_task(df):
-        return df.withColumn(SEG, F.lit(0).cast("bigint"))
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
-           .select(*keys, F.lit(True).alias("_hot")))
-    marked = _match(df, F.broadcast(hot), keys)
-    return marked.withColumn(SEG, F.when(F.col("_hot"), segment.cast("bigint")).otherwise(F.lit(0))).drop("_hot")
-
-
-def _segmented(df: DataFrame, keys: Sequence[str], segment: Column | Segment | str) -> DataFrame:
-    if isinstance(segment, str):
-        return df
-    if not isinstance(segment, Segment):
-        return df.withColumn(SEG, segment.cast("bigint"))
-    coarse = df.withColumn("_coarse", segment.coarse.cast("bigint"))
-    on = [*keys, "_coarse"]
-    hot = (coarse.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
-           .select(*on, F.lit(True).alias("_hot")))
-    fine = F.when(F.col("_hot"), segment.fine.cast("bigint")).otherwise(F.lit(0))
-    return _match(coarse, F.broadcast(hot), on).withColumn(SEG, F.col("_coarse") * segment.span + fine).drop("_coarse", "_hot")
-
-
-def _without_segment(df: DataFrame) -> DataFrame:
-    return df.drop(SEG)
+def _segmented(df: DataFrame, segment: Column | str) -> DataFrame:
+    """Add the segment column; a name stands for one that is there already."""
+    return df if isinstance(segment, str) else df.withColumn(SEG, segment.cast("bigint"))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
-                  segment: Column | Segment | str, following: bool = False) -> DataFrame:
+                  segment: Column | str, following: bool = False) -> DataFrame:
     """Add the previous (or following) row's values: ``{new column: source column}``."""
-    if fits_one_task(df):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        shift = F.lead if following else F.lag
-        return _without_segment(df.select("*", *[shift(v).over(whole).alias(n) for n, v in values.items()]))
-    df = _segmented(df, keys, segment)
+    df = _segmented(df, segment)
     source = F.struct(*[F.col(v).alias(n) for n, v in values.items()])
     inside = Window.partitionBy(*keys, SEG).orderBy(*order)
-    step = F.lead if following else F.lag
-    near = df.withColumn("_near", step(source).over(inside))
-    edge_row = F.min_by if following else F.max_by
-    edges = df.groupBy(*keys, SEG).agg(edge_row(source, F.struct(*order)).alias("_edge"))
+    step, back = (F.lead, F.lag) if following else (F.lag, F.lead)
+    near = df.select("*", step(source).over(inside).alias("_near"), back(F.lit(1)).over(inside).isNull().alias("_at_edge"))
+    # the row at the border of each segment is handed on to the next segment of its key
     across = Window.partitionBy(*keys).orderBy(SEG)
+    edges = near.filter("_at_edge").select(*keys, SEG, source.alias("_edge"))
     edges = edges.withColumn("_edge", step("_edge").over(across)).filter(F.col("_edge").isNotNull())
     joined = _match(near, edges, [*keys, SEG])
     found = F.coalesce("_near", "_edge")
@@ -112,12 +60,9 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column | str],
-                     segment: Column | Segment | str) -> DataFrame:
+                     segment: Column | str) -> DataFrame:
     """Add inclusive running sums per key."""
-    if fits_one_task(df):
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return _without_segment(df.select("*", *[F.sum(v).over(whole).alias(n) for n, v in sums.items()]))
-    df = _segmented(df, keys, segment)
+    df = _segmented(df, segment)
     for name, value in sums.items():
         df = df.withColumn(f"_v_{name}", F.col(value) if isinstance(value, str) else value)
     inside = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -130,13 +75,10 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], s
     return joined.select(*keep, *[(F.col(f"_i_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | Segment | str,
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | str,
                   name: str = "position") -> DataFrame:
     """Add the 1-based position of each row within its key."""
-    if fits_one_task(df):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        return _without_segment(df.withColumn(name, F.row_number().over(whole).cast("bigint")))
-    df = _segmented(df, keys, segment)
+    df = _segmented(df, segment)
     inside = Window.partitionBy(*keys, SEG).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (df.groupBy(*keys, SEG).agg(F.count("*").alias("_n"))
@@ -155,9 +97,6 @@ def framed(df: DataFrame, keys: Sequence[str], position: str, before: int, after
     rows back and ``after`` rows ahead is whole. ``columns`` maps a name to a function of the
     block's window (ordered, without frame).
     """
-    if fits_one_task(df):
-        whole = Window.partitionBy(*keys).orderBy(position)
-        return df.select("*", *[make(whole).alias(name) for name, make in columns.items()])
     home = F.floor((F.col(position) - 1) / block)
     lowest = F.greatest(F.floor((F.col(position) - 1 - after) / block), F.lit(0))
     highest = F.floor((F.col(position) - 1 + before) / block)
@@ -168,18 +107,25 @@ def framed(df: DataFrame, keys: Sequence[str], position: str, before: int, after
 
 
 def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_session: Column,
-             values: dict[str, str], segment: Column | Segment | str, name: str = "session") -> DataFrame:
+             values: dict[str, str], segment: Column | str, name: str = "session") -> DataFrame:
     """Number runs of rows per key; ``new_session`` may use the previous row's ``values``.
 
     A NULL condition (the first row) also starts a run.
     """
-    small = fits_one_task(df)
-    df = df if small else _segmented(df, keys, segment)
-    kept = df if small else df.withColumn("_keep_seg", F.col(SEG))
-    lagged = with_previous(kept, keys, order, values, segment if small else SEG)
+    kept = _segmented(df, segment).withColumn("_keep_seg", F.col(SEG))
+    lagged = with_previous(kept, keys, order, values, SEG)
     started = lagged.withColumn("_start", F.when(F.coalesce(new_session, F.lit(True)), 1).otherwise(0))
     started = started.withColumnRenamed("_keep_seg", SEG)
-    return with_running_sum(started, keys, order, {name: "_start"}, segment if small else SEG).drop("_start", *values)
+    return with_running_sum(started, keys, order, {name: "_start"}, SEG).drop("_start", *values)
+
+
+def with_rank_of_values(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Add each row's place from 0 in the order of a column of distinct values, on the column's own type.
+
+    Rows are range-partitioned by the column and written, then ranked inside each range; the counts of the ranges before are added.
+    """
+    ranged = cut_lineage(values.repartitionByRange(column).withColumn(SEG, F.spark_partition_id().cast("bigint")))
+    return with_position(ranged, [], [column], SEG, "_place").withColumn(name, F.col("_place") - 1).drop("_place")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
@@ -188,9 +134,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
 
     ``bucket`` must not decrease with ``value``; it cuts a key's value range into pieces.
     """
-    if fits_one_task(df):
-        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-            *[F.percentile(value, float(p)).alias(name) for name, p in probabilities.items()])
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value, bucket.alias(SEG))
               .agg(F.count("*").alias("_n")))
     summed = with_running_sum(counts, keys, [value], {"_cum": "_n"}, SEG)

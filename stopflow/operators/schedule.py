@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numbers import js_round_long
 from ..functions.times import minutes_to_clock
-from .ordered import SEG, _match, hot_segment, latest_per_key, top_per_key, with_position, with_previous
+from .ordered import _match, latest_per_key, top_per_key, with_position, with_previous
 
 
 def schedule_stats(stop_times: DataFrame, trips: DataFrame, service_id: str, max_headway: int = 120,
@@ -49,9 +49,8 @@ def busiest_stations(stop_times: DataFrame, trips: DataFrame, service_id: str, k
 def stop_steps(stop_times: DataFrame, order: Sequence[str] = ("stop_sequence",), segment: Column | None = None) -> DataFrame:
     """Each stop of a trip with the next one and the seconds between; past-midnight steps are repaired."""
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
-    marked = hot_segment(stop_times, ["trip_id"], block)
-    steps = with_previous(marked, ["trip_id"], list(order), {"next_stop": "stop_id", "next_arrival": "arrival_seconds"},
-                          SEG, following=True)
+    steps = with_previous(stop_times, ["trip_id"], list(order), {"next_stop": "stop_id", "next_arrival": "arrival_seconds"},
+                          block, following=True)
     seconds = F.col("next_arrival") - F.col("departure_seconds")
     return steps.filter(F.col("next_stop").isNotNull()).withColumn(
         "step_seconds", F.when(seconds < 0, seconds + 86400).otherwise(seconds))
@@ -74,7 +73,7 @@ def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str
     """
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
     parented = stop_times.select("trip_id", *order, text.parent_stop("stop_id").alias("stop_id"))
-    placed = with_position(hot_segment(parented, ["trip_id"], block), ["trip_id"], list(order), SEG)
+    placed = with_position(parented, ["trip_id"], list(order), block)
     signed = placed.groupBy("trip_id").agg(
         F.count("*").alias("n_stops"), F.bit_xor(F.xxhash64("position", "stop_id")).alias("_h1"),
         F.bit_xor(F.xxhash64("stop_id", "position", F.lit("second"))).alias("_h2"))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .ordered import Segment, framed, with_position, with_previous, with_running_sum
+from .joins import join_aggregate
+from .ordered import framed, with_position, with_previous, with_rank_of_values, with_running_sum
 
 
 def daily_series(df: DataFrame, ts: str, keys: Sequence[str], measures: dict[str, Column], step: str = "day") -> DataFrame:
@@ -69,7 +70,7 @@ def calendar_features(series: DataFrame, keys: Sequence[str], date: str, value:
     return series.withColumns(out)
 
 
-def mean_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column | Segment, value: str, k: int,
+def mean_flag(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, value: str, k: int,
               threshold: float, name: str = "alert_active", block: int = 100_000) -> DataFrame:
     """1 where the mean of the last k rows passes the threshold."""
     placed = with_position(df, keys, order, segment, "_pos")
@@ -103,7 +104,7 @@ def decompose(series: DataFrame, keys: Sequence[str], date: str, value: str, per
         F.when(F.col("_n") >= 2 * period, "ok").otherwise("insufficient").alias("status"))
 
 
-def chronological_split(df: DataFrame, order: Sequence[str], segment: Column | Segment, test_rows: int | None = None,
+def chronological_split(df: DataFrame, order: Sequence[str], segment: Column, test_rows: int | None = None,
                         train_share: float = 0.8) -> DataFrame:
     """Mark rows ``train`` or ``test`` by global position, without one partition holding all rows."""
     placed = with_position(df, [], order, segment, "_pos")
@@ -112,7 +113,7 @@ def chronological_split(df: DataFrame, order: Sequence[str], segment: Column | S
     return placed.withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("test")).drop("_pos")
 
 
-def running_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, segment: Column | Segment | str,
+def running_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, segment: Column | str,
                      name: str = "distinct_so_far") -> DataFrame:
     """Distinct values seen so far per key: a running sum over first sightings, which are found by aggregation."""
     first = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
@@ -137,11 +138,8 @@ def trajectory(positions: DataFrame, segment: Column, trip: str = "trip_id", at:
 
 
 def sorted_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Index of each value in sorted order, from 0. Values are ranked in segments by their first two characters."""
+    """Index of each value in the sorted order of its own type, from 0; NULL has none."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    text = F.col(column).cast("string")
-    lead = F.ascii(text).cast("bigint") * 2_000_000 + F.ascii(F.substring(text, 2, 1))
-    ranked = with_position(values, [], [column], lead, "_rank").select(F.col(column).alias("_value"), (F.col("_rank") - 1).alias(name))
-    return df.join(ranked, F.col(column) == F.col("_value"), "left").drop("_value")
+    return join_aggregate(df, with_rank_of_values(values, column, name), [column])
 
 

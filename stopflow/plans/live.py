@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import numbers
-from ..operators.ordered import day_segment_of
+from ..operators.ordered import time_segment_of
 from ..session import scratch_path
 from ..sources import schemas, sinks
 from ..streaming import carry
@@ -165,7 +165,7 @@ SESSIONS = f"""{ARRIVALS}, g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER
 
 
 def batch_sessions(t: Tables):
-    return Z.trip_sessions(t.arrivals, day_segment_of("ts"), stop="route_id", gap_seconds=HALF_DAY)
+    return Z.trip_sessions(t.arrivals, time_segment_of("ts"), stop="route_id", gap_seconds=HALF_DAY)
 
 
 @query("trip_sessions", f"WITH {SESSIONS} SELECT trip_id, session, epoch_us(a) AS started_us, epoch_us(b) AS last_seen_us, n_seen, stops_served FROM trips", "I2")

@@ -9,7 +9,7 @@ from ..operators import lookups as L
 from ..operators import models as M
 from ..operators import series as S
 from ..operators import summaries as Y
-from ..operators.ordered import day_segment_of
+from ..operators.ordered import time_segment_of
 from .base import ARRIVALS, Tables, query, r
 from .places import COORDS, SQL_KM, coords, sql_hav
 from .service import EVENTS, METRICS, metrics, service_events
@@ -45,14 +45,14 @@ def rolling_daily_means(t):
   coalesce({r('stddev_samp(delay_seconds) OVER (w ROWS 2 PRECEDING)', 4)}, 0) AS delay_rolling_std_3, lag(delay_seconds, 1) OVER w AS delay_lag_1, lag(delay_seconds, 3) OVER w AS delay_lag_3
   FROM arrivals WINDOW w AS (PARTITION BY route_id ORDER BY ts, arrival_id)""", "E3 E4")
 def rolling_route_delays(t):
-    out = S.rolling_features(t.arrivals, ["route_id"], ["ts", "arrival_id"], day_segment_of("ts"), "delay_seconds", means=(3,), stds=(3,),
+    out = S.rolling_features(t.arrivals, ["route_id"], ["ts", "arrival_id"], time_segment_of("ts"), "delay_seconds", means=(3,), stds=(3,),
                              lags=(1, 3), fill_std=True, block=500, prefix="delay_")
     return out.select("arrival_id", rd("delay_rolling_mean_3", 4).alias("delay_rolling_mean_3"), rd("delay_rolling_std_3", 4).alias("delay_rolling_std_3"), "delay_lag_1", "delay_lag_3")
 
 
 @query("rolling_alert_flag", f"""WITH {ARRIVALS} SELECT arrival_id, (avg(delay_seconds) OVER (PARTITION BY route_id ORDER BY ts, arrival_id ROWS 9 PRECEDING) > 300)::INT AS alert_active FROM arrivals""", "E6")
 def rolling_alert_flag(t):
-    return S.mean_flag(t.arrivals, ["route_id"], ["ts", "arrival_id"], day_segment_of("ts"), "delay_seconds", 10, 300, block=500).select("arrival_id", "alert_active")
+    return S.mean_flag(t.arrivals, ["route_id"], ["ts", "arrival_id"], time_segment_of("ts"), "delay_seconds", 10, 300, block=500).select("arrival_id", "alert_active")
 
 
 @query("position_trajectories", f"""WITH {COORDS}, b AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, (vec_id - lag(vec_id) OVER w) * 30000 / 3600000.0 AS h FROM coords WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
@@ -98,7 +98,7 @@ def daily_fill_forward(t):
 
 @query("chronological_split", """SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part FROM events""", "E12")
 def chronological_split(t):
-    return S.chronological_split(t.events, ["ts", "event_id"], day_segment_of("ts")).select("event_id", "part")
+    return S.chronological_split(t.events, ["ts", "event_id"], time_segment_of("ts")).select("event_id", "part")
 
 
 @query("last_days_split", f"""WITH {DAILY} SELECT date::VARCHAR AS date, n, CASE WHEN row_number() OVER (ORDER BY date) <= count(*) OVER () - 60 THEN 'train' ELSE 'test' END AS part FROM daily""", "E12")
@@ -110,7 +110,7 @@ def last_days_split(t):
 @query("running_distinct_stops", f"""WITH {ARRIVALS}, f AS (SELECT *, row_number() OVER (PARTITION BY trip_id, latency_ms ORDER BY ts, arrival_id) = 1 AND latency_ms IS NOT NULL AS first FROM arrivals)
   SELECT arrival_id, (sum(first::INT) OVER (PARTITION BY trip_id ORDER BY ts, arrival_id))::BIGINT AS stops_served FROM f""", "E14")
 def running_distinct_stops(t):
-    return S.running_distinct(t.arrivals, ["trip_id"], ["ts", "arrival_id"], "latency_ms", day_segment_of("ts"), "stops_served").select("arrival_id", "stops_served")
+    return S.running_distinct(t.arrivals, ["trip_id"], ["ts", "arrival_id"], "latency_ms", time_segment_of("ts"), "stops_served").select("arrival_id", "stops_served")
 
 
 # ---- summaries ----
@@ -434,7 +434,7 @@ def classified(t):
     rows = delay_rows(t)
     d = F.col("delay_seconds")
     rows = rows.withColumn("target", F.when(d < 120, 0).when(d < 300, 1).otherwise(2))
-    rows = S.chronological_split(rows, ["ts", "arrival_id"], day_segment_of("ts"))
+    rows = S.chronological_split(rows, ["ts", "arrival_id"], time_segment_of("ts"))
     return M.delay_classifier(X.with_class_weight(rows, "target"), DELAY_FEATURES, "target", trees=10, depth=5)
 
 

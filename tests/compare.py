@@ -1,8 +1,6 @@
 """Run bound queries against their SQL twins and report differences.
 
-usage: python tests/compare.py [--segmented] [folder] [query-or-module ...]
-
-``--segmented`` treats every input as too large for plain windows and every group as hot.
+usage: python tests/compare.py [folder] [query-or-module ...]
 """
 
 from __future__ import annotations
@@ -75,10 +73,6 @@ def compare(spark, con, folder, name, fn, sql):
 def main(argv):
     from stopflow.plans import catalog
     from stopflow.session import build_session
-    if "--segmented" in argv:
-        argv = [a for a in argv if a != "--segmented"]
-        from stopflow.operators import ordered
-        ordered.PLAIN_WINDOW_BYTES, ordered.HOT_ROWS = -1, 3
     folder = argv[0] if argv else "/root/testdata/sf0.001"
     wanted = argv[1:]
     spark = build_session("compare", "local[8]", **{

@@ -28,14 +28,6 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.fixture()
-def always_segmented(monkeypatch):
-    """Treat every input as too large for plain windows and every group as hot."""
-    from stopflow.operators import ordered
-    monkeypatch.setattr(ordered, "PLAIN_WINDOW_BYTES", -1)
-    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
-
-
 @pytest.fixture()
 def new_path(tmp_path):
     def make(name):

@@ -96,8 +96,8 @@ def test_sessions(spark, sliced, new_path):
     stream = Z.session_stream(arrivals_of(read()), "1 hour", "12 hours", stop="route_id")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path("check")).outputMode("append").trigger(**ONCE).start().awaitTermination()
     got = spark.read.schema("trip_id bigint, started_at timestamp, last_seen_at timestamp, n_seen bigint, stops_served bigint").parquet(path)
-    from stopflow.operators.ordered import day_segment_of
-    want = Z.trip_sessions(arrivals_of(events), day_segment_of("ts"), stop="route_id", gap_seconds=43200)
+    from stopflow.operators.ordered import time_segment_of
+    want = Z.trip_sessions(arrivals_of(events), time_segment_of("ts"), stop="route_id", gap_seconds=43200)
     end = events.agg((F.unix_timestamp(F.max("ts")) - 3600 - 43200).alias("t")).first().t
     closed = want.filter(F.unix_timestamp("last_seen_at") < end).select(got.columns)
     assert set(rows(closed)) <= set(rows(got)) <= set(rows(want.select(got.columns)))
