@@ -57,7 +57,54 @@ def segment_share(lat, lon, lat1, lon1, lat2, lon2) -> Column:
 METRES_PER_DEGREE = EARTH_KM * 1000 * math.pi / 180
 
 
-def cell_sizes(metres: float, lat_limit: float = 60.0) -> tuple[float, float]:
-    """Cell height and width in degrees that are at least ``metres`` wide up to ``lat_limit``."""
-    height = metres / METRES_PER_DEGREE * 1.0001
-    return height, height / math.cos(math.radians(lat_limit))
+# ---- a grid for radius searches ----------------------------------------------------------
+#
+# Bands of latitude are as high as the radius. Each band has its own whole number of columns around the globe, none
+# narrower than the radius at the band's far side, one band further still. So points within the radius lie in the same or in
+# neighbouring cells, at every latitude and across the antimeridian.
+
+
+def _band_height(metres: float) -> float:
+    return metres / METRES_PER_DEGREE * 1.0001
+
+
+def _columns(band: Column, metres: float) -> Column:
+    """Number of columns of a band."""
+    height = _band_height(metres)
+    far = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * height + height, F.lit(90.0))
+    reach = F.sin(F.lit(metres / (2000 * EARTH_KM))) / F.cos(F.radians(far))
+    width = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0)))) * 1.0001
+    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("bigint")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * columns), columns - 1).cast("bigint")
+
+
+def grid_cell(lat: Column | str, lon: Column | str, metres: float) -> Column:
+    """The cell of a point: struct (_cy, _cx)."""
+    band = cell(lat, _band_height(metres))
+    return F.struct(band.alias("_cy"), _column(col(lon), _columns(band, metres)).alias("_cx"))
+
+
+def cells_of_box(lat1, lon1, lat2, lon2, metres: float) -> Column:
+    """Cells, each once, that hold every point within ``metres`` of a box given by two corners; the shorter way around the globe."""
+    height = _band_height(metres)
+    turn = F.abs(col(lon1) - col(lon2)) > 180.0
+    west = F.when(turn, F.greatest(col(lon1), col(lon2))).otherwise(F.least(col(lon1), col(lon2)))
+    east = F.when(turn, F.least(col(lon1), col(lon2)) + 360.0).otherwise(F.greatest(col(lon1), col(lon2)))
+    bands = F.sequence(cell(F.least(col(lat1), col(lat2)), height) - 1, cell(F.greatest(col(lat1), col(lat2)), height) + 1)
+
+    def of_band(band: Column) -> Column:
+        columns = _columns(band, metres)
+        first = F.floor((west + 180.0) / 360.0 * columns) - 1
+        last = F.least(F.floor((east + 180.0) / 360.0 * columns) + 1, first + columns - 1 + F.lit(2))
+        return F.array_distinct(F.transform(F.sequence(first, F.greatest(last, first)), lambda x: F.struct(
+            band.alias("_cy"), F.pmod(x, columns).cast("bigint").alias("_cx"))))
+
+    return F.flatten(F.transform(bands, of_band))
+
+
+def cells_around(lat, lon, metres: float) -> Column:
+    """Cells, each once, that hold every point within ``metres`` of a point."""
+    return cells_of_box(lat, lon, lat, lon, metres)

@@ -145,24 +145,40 @@ def _longer_path() -> Column:
 KEY = ["origin", "avoid", "station_id", "route_id", "transfers"]
 
 
-def search(sources: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, penalty: int = 300, out_of_system: int = 60,
-           max_transfers: int = 3, by_hops: bool = False, max_rounds: int = 1000) -> DataFrame:
-    """Best label per source, node and number of transfers.
+def avoided(routes: Sequence[str]) -> Column:
+    """Routes not to be used, as searches key them: upper case, sorted, each once."""
+    return F.array(*[F.lit(r) for r in sorted({r.upper() for r in routes})]).cast("array<string>")
 
-    ``sources`` has (origin, avoid), avoid being a route not to be used, or ''. All sources advance
-    together: each round extends the labels that improved, keeps the smallest (cost, seconds, path)
-    per state, and ends when nothing improves. Each round is written to the shared folder.
+
+def search(wanted: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, penalty: int = 300, out_of_system: int = 60,
+           max_transfers: int = 3, by_hops: bool = False, max_hops: int | None = None) -> DataFrame:
+    """Best label per source, node and number of transfers, as far as the asked destinations need it.
+
+    ``wanted`` has (origin, avoid, destination), avoid being the list of routes not to be used (``avoided``). All sources advance
+    together: each round extends the labels that improved, keeps the smallest (cost, seconds, path) per state, and ends when nothing
+    improves, or after ``max_hops`` rounds where that is the limit asked for. Once all destinations of a source are reached,
+    labels dearer than the dearest of them are not extended. Each round is written to the shared folder.
     """
-    starts = sources.join(nodes, F.col("origin") == F.col("station_id")).filter(F.col("route_id") != F.col("avoid"))
+    wanted = cut_lineage(wanted.select("origin", "avoid", F.col("destination").alias("_to")).distinct())
+    asked = wanted.groupBy("origin", "avoid").agg(F.count("*").alias("_asked"))
+    free = ~F.array_contains("avoid", F.upper("route_id"))
+    starts = asked.select("origin", "avoid").join(nodes, F.col("origin") == F.col("station_id")).filter(free)
     zero = F.lit(0).cast("bigint")
     labels = cut_lineage(starts.select("origin", "avoid", "station_id", "route_id", F.lit(0).alias("transfers"),
                                        F.struct(zero.alias("cost"), zero.alias("seconds"), _start_path().alias("path")).alias("best"), F.lit(True).alias("changed")))
     is_transfer = F.col("step_kind") == "transfer"
     extra = F.when(is_transfer, F.lit(penalty) + F.when(F.col("step_type") == "out-of-system", out_of_system).otherwise(0)).otherwise(0)
     step_cost = F.lit(1).cast("bigint") if by_hops else (F.col("step_seconds") + extra).cast("bigint")
-    for _ in range(max_rounds):
-        active = labels.filter("changed").select("origin", "avoid", "station_id", "route_id", "transfers", "best.*")
-        moved = _steps(active, rides, members, nodes).filter((F.col("to_route") != F.col("avoid")) & (F.col("to_station") != F.col("origin")))
+    rounds = 0
+    while max_hops is None or rounds < max_hops:
+        rounds += 1
+        reached = labels.join(wanted.withColumnRenamed("_to", "station_id"), ["origin", "avoid", "station_id"]).groupBy(
+            "origin", "avoid", "station_id").agg(F.min("best.cost").alias("_cost"))
+        limits = reached.groupBy("origin", "avoid").agg(F.count("*").alias("_found"), F.max("_cost").alias("_limit")).join(
+            asked, ["origin", "avoid"]).filter("_found = _asked").select("origin", "avoid", "_limit")
+        active = labels.filter("changed").join(limits, ["origin", "avoid"], "left").filter(
+            F.col("_limit").isNull() | (F.col("best.cost") <= F.col("_limit"))).select("origin", "avoid", "station_id", "route_id", "transfers", "best.*")
+        moved = _steps(active, rides, members, nodes).filter(~F.array_contains("avoid", F.upper("to_route")) & (F.col("to_station") != F.col("origin")))
         moved = moved.withColumn("transfers", F.col("transfers") + is_transfer.cast("int")).filter(F.col("transfers") <= max_transfers)
         offered = moved.select("origin", "avoid", F.col("to_station").alias("station_id"), F.col("to_route").alias("route_id"), "transfers",
                                F.struct((F.col("cost") + step_cost).alias("cost"), (F.col("seconds") + F.col("step_seconds")).alias("seconds"),
@@ -182,18 +198,20 @@ def _arrivals(labels: DataFrame) -> DataFrame:
         "origin", "avoid", "destination", "b.*")
 
 
-def least_cost_paths(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, **options) -> DataFrame:
-    """Best path per (origin, destination). The search runs once per distinct origin; pairs only join its result."""
-    sources = pairs.select("origin").distinct().withColumn("avoid", F.lit(""))
-    found = _arrivals(search(sources, rides, members, nodes, **options)).drop("avoid")
+def least_cost_paths(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, avoid: Sequence[str] = (), **options) -> DataFrame:
+    """Best path per (origin, destination) without the routes of ``avoid``. Pairs of one origin share a search."""
+    wanted = pairs.select("origin", "destination").distinct().withColumn("avoid", avoided(avoid))
+    found = _arrivals(search(wanted, rides, members, nodes, **options)).drop("avoid")
     return pairs.select("origin", "destination").distinct().join(found, ["origin", "destination"])
 
 
-def route_alternatives(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, k: int = 3, **options) -> DataFrame:
-    """Best path, and the best paths that avoid each of its routes in turn; equal paths once, fastest k kept."""
-    first = cut_lineage(least_cost_paths(pairs, rides, members, nodes, **options))
-    used = first.select("origin", "destination", F.explode(F.array_distinct(F.transform("path", lambda n: n["route_id"]))).alias("avoid"))
-    again = search(used.select("origin", "avoid").distinct(), rides, members, nodes, **options)
+def route_alternatives(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, k: int = 3, avoid: Sequence[str] = (),
+                       **options) -> DataFrame:
+    """Best path, and the best paths that avoid each of its routes in turn besides ``avoid``; equal paths once, fastest k kept."""
+    first = cut_lineage(least_cost_paths(pairs, rides, members, nodes, avoid, **options))
+    used = first.select("origin", "destination", F.explode(F.array_distinct(F.transform("path", lambda n: F.upper(n["route_id"])))).alias("_route"))
+    used = used.select("origin", "destination", F.array_sort(F.array_union(avoided(avoid), F.array("_route"))).alias("avoid"))
+    again = search(used, rides, members, nodes, **options)
     others = used.join(_arrivals(again), ["origin", "avoid", "destination"]).drop("avoid")
     every = first.unionByName(others.select(first.columns))
     stops = F.array_join(F.transform("path", lambda n: F.concat(n["station_id"], F.lit(":"), n["route_id"])), ">")
@@ -201,10 +219,11 @@ def route_alternatives(pairs: DataFrame, rides: DataFrame, members: DataFrame, n
     return top_per_key(single, ["origin", "destination"], [F.asc("seconds"), F.asc("cost"), F.asc("_stops")], k).drop("_stops")
 
 
-def fewest_hops(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, max_transfers: int = 3, max_hops: int = 50) -> DataFrame:
+def fewest_hops(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, max_transfers: int = 3, max_hops: int = 50,
+                avoid: Sequence[str] = ()) -> DataFrame:
     """Fewest edges per pair (then fewest seconds), up to ``max_hops``, if its transfers stay within the limit."""
-    sources = pairs.select("origin").distinct().withColumn("avoid", F.lit(""))
-    labels = search(sources, rides, members, nodes, by_hops=True, max_transfers=max_transfers, max_rounds=max_hops)
+    wanted = pairs.select("origin", "destination").distinct().withColumn("avoid", avoided(avoid))
+    labels = search(wanted, rides, members, nodes, by_hops=True, max_transfers=max_transfers, max_hops=max_hops)
     row = F.struct(F.col("cost").alias("hops"), "seconds", "transfers", "path")
     best = labels.groupBy("origin", F.col("station_id").alias("destination")).agg(F.min(row).alias("b")).select("origin", "destination", "b.*")
     return pairs.select("origin", "destination").distinct().join(best, ["origin", "destination"])

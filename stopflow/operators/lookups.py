@@ -12,6 +12,7 @@ from ..functions.geo import bearing
 from ..functions.numbers import interpolate, progress
 from ..functions.times import local_date, seconds_of_local_day, service_day_type
 from ..session import cut_lineage
+from .joins import join_aggregate
 from .ordered import _match
 
 # ---- platform variants ------------------------------------------------------
@@ -104,17 +105,21 @@ def tiered_schedule(live: DataFrame, index: list[tuple[list[str], DataFrame]]) -
 
 
 def tiered_headsign(live: DataFrame, trips: DataFrame) -> DataFrame:
-    """Headsign by trip (or its suffix), else route and shape, else route and direction; lowest trip id first."""
+    """Headsign by trip (or its suffix), else route and shape, else route and direction; lowest trip id first.
+
+    A scheduled trip's own shape_id, where the table has one, goes before the shape read from its id.
+    """
+    shape = text.trip_shape("trip_id")
+    own = F.coalesce(F.nullif(F.col("shape_id"), F.lit("")), shape) if "shape_id" in trips.columns else shape
     named = trips.filter(F.col("headsign").isNotNull() & (F.col("headsign") != "")).withColumns({
-        "_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")), "_shape": text.trip_shape("trip_id")})
+        "_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")), "_shape": own})
     named = named.withColumn("_dir", text.shape_direction("_shape"))
     wanted = live.withColumns({"_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")),
                                "_shape": text.trip_shape("trip_id")})
     out = wanted.withColumn("_dir", text.shape_direction("_shape"))
     for i, keys in enumerate((["_trip"], ["route_id", "_shape"], ["route_id", "_dir"]), 1):
-        tier = named.groupBy(*keys).agg(F.min_by("headsign", "trip_id").alias(f"_h{i}"))
-        out = out.join(tier.select(*[F.col(k).alias(f"_{i}{k}") for k in keys], f"_h{i}"),
-                       [F.col(k) == F.col(f"_{i}{k}") for k in keys], "left")
+        tier = named.dropna(subset=keys).groupBy(*keys).agg(F.min_by("headsign", "trip_id").alias(f"_h{i}"))
+        out = join_aggregate(out, tier, keys)
     return out.select(*live.columns, F.coalesce("_h1", "_h2", "_h3").alias("headsign"))
 
 
@@ -168,14 +173,13 @@ def monthly_reliability(base: DataFrame, otp: DataFrame | None = None, incidents
                         service: DataFrame | None = None) -> DataFrame:
     """Base rows with monthly aggregates of the optional tables, each aggregated before its join."""
     out = base.withColumns({"year": F.year(F.to_date("month")), "month_num": F.month(F.to_date("month"))})
+    pair = ["month", "division"]
     if otp is not None:
-        out = out.join(otp.groupBy("month", "division").agg(F.avg("terminal_on_time_performance").alias("otp_pct")),
-                       ["month", "division"], "left")
+        out = join_aggregate(out, otp.dropna(subset=pair).groupBy(*pair).agg(F.avg("terminal_on_time_performance").alias("otp_pct")), pair)
     if incidents is not None:
-        out = out.join(incidents.groupBy("month", "division").agg(F.sum("incident_count").alias("total_incidents")),
-                       ["month", "division"], "left")
+        out = join_aggregate(out, incidents.dropna(subset=pair).groupBy(*pair).agg(F.sum("incident_count").alias("total_incidents")), pair)
     if service is not None:
-        out = out.join(service.groupBy("month").agg(F.avg("service_delivered_pct").alias("service_pct")), ["month"], "left")
+        out = join_aggregate(out, service.dropna(subset=["month"]).groupBy("month").agg(F.avg("service_delivered_pct").alias("service_pct")), ["month"])
     return out
 
 
@@ -224,8 +228,8 @@ def prefer_fresh(sources: Sequence[tuple[str, DataFrame]], group: str) -> DataFr
     for i, (name, df) in enumerate(sources):
         tagged = df.withColumns({"source": F.lit(name), "_rank": F.lit(i)})
         rows = tagged if rows is None else rows.unionByName(tagged, allowMissingColumns=True)
-    best = rows.groupBy(F.col(group).alias("_g")).agg(F.min("_rank").alias("_best"))
-    return rows.join(best, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_rank") == F.col("_best"))).drop("_g", "_rank", "_best")
+    best = rows.groupBy(group).agg(F.min("_rank").alias("_best"))
+    return join_aggregate(rows, best, [group]).filter(F.col("_rank") == F.col("_best")).drop("_rank", "_best")
 
 
 # ---- positions from stop updates ---------------------------------------------------

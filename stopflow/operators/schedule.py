@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numbers import js_round_long
 from ..functions.times import minutes_to_clock
+from .joins import join_aggregate
 from .ordered import _match, latest_per_key, top_per_key, with_position, with_previous
 
 
@@ -158,7 +159,7 @@ def terminals(patterns: DataFrame) -> DataFrame:
 
 def with_terminal_flags(positions: DataFrame, ends: DataFrame) -> DataFrame:
     """Whether a position's next stop is the first or last stop of its route and direction."""
-    joined = _match(positions, ends, ["route_id", "direction_id"])
+    joined = join_aggregate(positions, ends, ["route_id", "direction_id"])
     at = text.parent_stop("next_stop_id")
     return joined.withColumns({"at_first_stop": F.coalesce(at == text.parent_stop("first_stop"), F.lit(False)),
                                "at_last_stop": F.coalesce(at == text.parent_stop("last_stop"), F.lit(False))}).drop("first_stop", "last_stop")

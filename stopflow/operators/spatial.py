@@ -1,7 +1,7 @@
 """Range joins on coordinates and proximity clusters.
 
 Theta conditions on distance become equi-joins on grid cells, so work follows local density. The
-grid is safe up to 60 degrees of latitude.
+grid holds at every latitude and across the antimeridian.
 """
 
 from __future__ import annotations
@@ -9,34 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, cell_sizes, haversine_m
+from ..functions.geo import cell, cells_around, grid_cell, haversine_m
 from ..session import cut_lineage
 from .ordered import top_per_key
 
 
-def _cells(lat: str, lon: str, metres: float) -> tuple[Column, Column]:
-    height, width = cell_sizes(metres)
-    return cell(lat, height), cell(lon, width)
-
-
 def _around(y: Column, x: Column) -> Column:
     """Array of the 3 by 3 cells around a cell."""
     return F.flatten(F.transform(F.sequence(y - 1, y + 1), lambda a: F.transform(F.sequence(x - 1, x + 1), lambda b: F.struct(a.alias("_cy"), b.alias("_cx")))))
 
 
 def _spread(stations: DataFrame, key: str, metres: float) -> DataFrame:
-    """Stations copied into their own and the eight neighbouring cells."""
-    y, x = _cells("lat", "lon", metres)
-    return stations.select(F.col(key).alias("_station"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), F.inline(_around(y, x)))
+    """Stations copied into every cell that a point within the radius may lie in."""
+    return stations.select(F.col(key).alias("_station"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"),
+                           F.inline(cells_around("lat", "lon", metres)))
 
 
 def _near(points: DataFrame, stations: DataFrame, station_key: str, metres: float) -> DataFrame:
-    y, x = _cells("lat", "lon", metres)
     near = _spread(stations, station_key, metres)
-    keyed = points.withColumns({"_py": y, "_px": x})
-    pairs = keyed.join(near, (F.col("_py") == F.col("_cy")) & (F.col("_px") == F.col("_cx")))
+    keyed = points.withColumn("_p", grid_cell("lat", "lon", metres))
+    pairs = keyed.join(near, (F.col("_p._cy") == F.col("_cy")) & (F.col("_p._cx") == F.col("_cx")))
     return (pairs.withColumn("distance_m", haversine_m("lat", "lon", "_slat", "_slon"))
-            .filter(F.col("distance_m") <= metres).drop("_py", "_px", "_cy", "_cx"))
+            .filter(F.col("distance_m") <= metres).drop("_p", "_cy", "_cx"))
 
 
 def nearest_stations(points: DataFrame, stations: DataFrame, point_key: str, station_key: str, k: int = 3,
@@ -51,13 +45,13 @@ def nearest_stations(points: DataFrame, stations: DataFrame, point_key: str, sta
 def near_any_station(points: DataFrame, stations: DataFrame, metres: float = 500) -> DataFrame:
     """Points with any station within the radius. Equal station spots count once."""
     spots = stations.select("lat", "lon").distinct().withColumn("_spot", F.lit(1))
-    y, x = _cells("lat", "lon", metres)
     near = _spread(spots, "_spot", metres)
-    cond = ((y == F.col("_cy")) & (x == F.col("_cx")) & (haversine_m("lat", "lon", "_slat", "_slon") <= metres))
+    at = grid_cell("lat", "lon", metres)
+    cond = ((at["_cy"] == F.col("_cy")) & (at["_cx"] == F.col("_cx")) & (haversine_m("lat", "lon", "_slat", "_slon") <= metres))
     return points.join(near, cond, "left_semi")
 
 
-def proximity_clusters(points: DataFrame, key: str, threshold: float = 0.0005, salts: int = 8, max_rounds: int = 10_000) -> DataFrame:
+def proximity_clusters(points: DataFrame, key: str, threshold: float = 0.0005, salts: int = 8) -> DataFrame:
     """Greedy clusters: in key order, each free point seeds a cluster and takes all free points within
     ``threshold`` degrees on both axes. Returns each point with its seed.
 
@@ -72,7 +66,7 @@ def proximity_clusters(points: DataFrame, key: str, threshold: float = 0.0005, s
                          F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt"))
     base = cut_lineage(base)
     free, seeds = base, None
-    for _ in range(max_rounds):
+    while True:
         first = free.groupBy("cy", "cx").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("c"))
         offers = first.select("cy", "cx", "c.*")
         shown = offers.select(F.col("id").alias("_other"), F.inline(_around(F.col("cy"), F.col("cx"))))

@@ -15,6 +15,7 @@ from ..functions import geo, text
 from ..functions.numbers import clamp
 from ..session import cut_lineage
 from .lookups import _join_folded, fold_platforms
+from .joins import join_aggregate
 from .ordered import with_previous, with_running_sum
 
 
@@ -48,11 +49,8 @@ def segments(track: DataFrame, keys: Sequence[str] = ("route_id",), seq: str = "
 
 
 def _box_cells(metres: float) -> Column:
-    """Cells touched by a segment's box, grown by one cell on each side."""
-    height, width = geo.cell_sizes(metres)
-    ys = F.sequence(geo.cell(F.least("lat", "lat2"), height) - 1, geo.cell(F.greatest("lat", "lat2"), height) + 1)
-    xs = F.sequence(geo.cell(F.least("lon", "lon2"), width) - 1, geo.cell(F.greatest("lon", "lon2"), width) + 1)
-    return F.flatten(F.transform(ys, lambda a: F.transform(xs, lambda b: F.struct(a.alias("_cy"), b.alias("_cx")))))
+    """Cells that points within the distance of a segment's box lie in."""
+    return geo.cells_of_box("lat", "lon", "lat2", "lon2", metres)
 
 
 def _best_match(points: DataFrame, lines: DataFrame, key: str, metres: float | None) -> DataFrame:
@@ -62,8 +60,8 @@ def _best_match(points: DataFrame, lines: DataFrame, key: str, metres: float | N
     cond = F.col("route_id") == F.col("_route")
     keyed = points.select(key, "route_id", "lat", "lon")
     if metres is not None:
-        height, width = geo.cell_sizes(metres)
-        cond = cond & (geo.cell("lat", height) == F.col("_cy")) & (geo.cell("lon", width) == F.col("_cx"))
+        at = geo.grid_cell("lat", "lon", metres)
+        cond = cond & (at["_cy"] == F.col("_cy")) & (at["_cx"] == F.col("_cx"))
     pairs = keyed.join(sides, cond)
     share = geo.segment_share("lat", "lon", "lat1", "lon1", "lat2", "lon2")
     placed = pairs.withColumn("_t", share).withColumns({
@@ -99,8 +97,8 @@ def stops_on_tracks(stops: DataFrame, lines: DataFrame, metres: float = 500) ->
     """Arclength of every stop on every track within the radius."""
     sides = lines.select("route_id", "seq", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "lat2", "lon2", "cum_m", "cum2_m",
                          F.inline(_box_cells(metres)))
-    height, width = geo.cell_sizes(metres)
-    pairs = stops.select("stop_id", "lat", "lon").join(sides, (geo.cell("lat", height) == F.col("_cy")) & (geo.cell("lon", width) == F.col("_cx")))
+    at = geo.grid_cell("lat", "lon", metres)
+    pairs = stops.select("stop_id", "lat", "lon").join(sides, (at["_cy"] == F.col("_cy")) & (at["_cx"] == F.col("_cx")))
     share = geo.segment_share("lat", "lon", "lat1", "lon1", "lat2", "lon2")
     placed = pairs.withColumn("_t", share).withColumns({
         "offset_m": geo.haversine_m("lat", "lon", F.col("lat1") + F.col("_t") * (F.col("lat2") - F.col("lat1")),
@@ -120,7 +118,7 @@ def at_arclength(queries: DataFrame, lines: DataFrame, s: str = "s", bucket_m: f
     segments of its bucket.
     """
     total = lines.groupBy("route_id").agg(F.max("cum2_m").alias("_total"))
-    clamped = queries.join(total, "route_id").withColumn("_s", F.greatest(F.lit(0.0), F.least(F.col(s).cast("double"), F.col("_total"))))
+    clamped = join_aggregate(queries, total.dropna(subset=["route_id"]), ["route_id"], "inner").withColumn("_s", F.greatest(F.lit(0.0), F.least(F.col(s).cast("double"), F.col("_total"))))
     clamped = clamped.withColumn("_bucket", F.floor(F.col("_s") / bucket_m))
     listed = lines.select(F.col("route_id").alias("_route"), F.col("seq").alias("segment"), F.col("lat").alias("_lat1"), F.col("lon").alias("_lon1"),
                           F.col("lat2").alias("_lat2"), F.col("lon2").alias("_lon2"), F.col("cum_m").alias("_from"), F.col("cum2_m").alias("_to"), "is_last",
@@ -163,7 +161,7 @@ def leg_slices(requests: DataFrame, track: DataFrame, lines: DataFrame, key: str
         spot = at_arclength(bounded.withColumn("_spot", F.col(c)), lines, "_spot", bucket_m)
         ends.append(spot.select(*requests.columns, F.col(c).cast("double").alias("_at"), F.lit(order).alias("_o"), "lat", "lon"))
     total = lines.groupBy("route_id").agg(F.max("cum2_m").alias("_total"))
-    spans = bounded.join(total, "route_id").select(
+    spans = join_aggregate(bounded, total.dropna(subset=["route_id"]), ["route_id"], "inner").select(
         *requests.columns, F.greatest(F.lit(0.0), F.least("_low", "_total")).alias("_a"), F.greatest(F.lit(0.0), F.least("_high", "_total")).alias("_z"))
     spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / bucket_m), F.floor(F.col("_z") / bucket_m))))
     vertices = track.select(F.col("route_id").alias("_route"), F.col("lat"), F.col("lon"), F.col("cum_m").alias("_cum"), F.floor(F.col("cum_m") / bucket_m).alias("_vb"))
@@ -180,13 +178,11 @@ def leg_slices(requests: DataFrame, track: DataFrame, lines: DataFrame, key: str
 
 def best_shape(requests: DataFrame, vertices: DataFrame, key: str, metres: float = 1000) -> DataFrame:
     """The shape whose vertices come closest to both ends, each nearer than ``metres``."""
-    height, width = geo.cell_sizes(metres)
-    cells = vertices.select(F.col("route_id").alias("_route"), "shape_id", "seq", "lat", "lon",
-                            geo.cell("lat", height).alias("_vy"), geo.cell("lon", width).alias("_vx"))
+    at = geo.grid_cell("lat", "lon", metres)
+    cells = vertices.select(F.col("route_id").alias("_route"), "shape_id", "seq", "lat", "lon", at["_cy"].alias("_vy"), at["_cx"].alias("_vx"))
     sides = []
     for tag in ("from", "to"):
-        y, x = geo.cell(f"{tag}_lat", height), geo.cell(f"{tag}_lon", width)
-        grown = F.flatten(F.transform(F.sequence(y - 1, y + 1), lambda a: F.transform(F.sequence(x - 1, x + 1), lambda b: F.struct(a.alias("_cy"), b.alias("_cx")))))
+        grown = geo.cells_around(f"{tag}_lat", f"{tag}_lon", metres)
         asked = requests.select(key, "route_id", F.col(f"{tag}_lat").alias("_lat"), F.col(f"{tag}_lon").alias("_lon"), F.inline(grown))
         near = asked.join(cells, (F.col("route_id") == F.col("_route")) & (F.col("_cy") == F.col("_vy")) & (F.col("_cx") == F.col("_vx")))
         near = near.withColumn("_d", geo.haversine_m("_lat", "_lon", "lat", "lon")).filter(F.col("_d") < metres)
@@ -237,8 +233,7 @@ def smooth_steps(measured, times, state, alpha, beta, gamma, vmax, amax, jump):
 
 
 def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: str, chunk: Column, alpha: float = 0.35,
-           beta: float = 0.15, gamma: float = 0.05, vmax: float = 20.0, amax: float = 1.0, jump: float = 5000.0,
-           max_rounds: int = 10_000) -> DataFrame:
+           beta: float = 0.15, gamma: float = 0.05, vmax: float = 20.0, amax: float = 1.0, jump: float = 5000.0) -> DataFrame:
     """Alpha-beta-gamma smoothing per key: predict, correct, clamp, restart on a jump.
 
     The filter is sequential, but a hot key must not sit in one task. Keys are cut into chunks that
@@ -280,7 +275,7 @@ def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: s
     starts = cut_lineage(clean.select(F.col("k").alias("k0"), F.col("c").alias("c0")).distinct().select("k0", "c0", *blank))
     order_of = Window.partitionBy("k0").orderBy("c0")
     ends, todo = None, starts
-    for _ in range(max_rounds):
+    while True:
         again = clean.join(todo.select("k0", "c0"), (F.col("k") == F.col("k0")) & (F.col("c") == F.col("c0")), "left_semi")
         ran = again.groupBy("k", "c").cogroup(todo.groupBy("k0", "c0")).applyInPandas(
             last_state, f"k {key_type}, c bigint, s double, v double, a double, t double")

@@ -415,7 +415,8 @@ RIDER_FEATURES = ["day_of_week", "month", "day_of_year", "week_of_year", "is_wee
 @query("ridership_boosting", None, "M7")
 def ridership_boosting(t):
     rows = S.chronological_split(ridership_rows(t), ["date"], F.year("date").cast("bigint"), test_rows=60)
-    return M.boosted_regression(rows, RIDER_FEATURES, "n", rounds=10, depth=4)[1].select("date", "n", "prediction")
+    # rounds follow one another as Spark jobs, so this binding fits 60 of the default 500
+    return M.boosted_regression(rows, RIDER_FEATURES, "n", rounds=60)[1].select("date", "n", "prediction")
 
 
 @query("reliability_forest", None, "M8")
@@ -423,7 +424,7 @@ def reliability_forest(t):
     rows = X.reliability_features(division_rows(t))
     rows = S.chronological_split(rows, ["month", "division"], F.year("month").cast("bigint"))
     names = ["incident_count", "otp_mean", "service_pct_mean", "month_num", "lag_1", "lag_3", "rolling_mean_3", "mdbf_min", "mdbf_max", "n_car_classes"]
-    return M.forest_regression(rows, names, "mdbf_mean", trees=20, depth=6)[1].select("month", "division", "mdbf_mean", "prediction")
+    return M.forest_regression(rows, names, "mdbf_mean")[1].select("month", "division", "mdbf_mean", "prediction")
 
 
 DELAY_FEATURES = ["route_id_index", "stop_id_index", "hour", "day_of_week", "is_weekend", "minute_of_day", "hour_x_dow", "is_am_rush", "is_pm_rush", "is_rush_hour", "hour_sin", "hour_cos",
@@ -435,7 +436,7 @@ def classified(t):
     d = F.col("delay_seconds")
     rows = rows.withColumn("target", F.when(d < 120, 0).when(d < 300, 1).otherwise(2))
     rows = S.chronological_split(rows, ["ts", "arrival_id"], time_segment_of("ts"))
-    return M.delay_classifier(X.with_class_weight(rows, "target"), DELAY_FEATURES, "target", trees=10, depth=5)
+    return M.delay_classifier(X.with_class_weight(rows, "target"), DELAY_FEATURES, "target")
 
 
 @query("delay_classification", None, "M9")

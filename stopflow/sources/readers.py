@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +17,24 @@ from ..functions.times import epoch_to_timestamp
 
 
 def read_csv_by_header(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV columns found by header name, in any order; declared columns the file lacks are NULL.
+    """CSV columns found by header name, in any order that may differ from file to file; declared columns a file lacks are NULL.
 
-    Only the header line is read ahead, to put the declared types in file order.
+    Only header lines are read ahead, to put the declared types in file order. Files of one order are read together.
     """
     declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "escape": '"', "multiLine": False}
-    header = spark.read.options(**options).csv(path).columns
     types = {f.name: f.dataType for f in declared.fields}
-    in_file = T.StructType([T.StructField(c, types.get(c.strip().lstrip("﻿"), T.StringType())) for c in header])
-    rows = spark.read.options(**options).schema(in_file).csv(path)
-    names = {c.strip().lstrip("﻿"): c for c in header}
-    return rows.select(*[(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in declared.fields])
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.text(path).inputFiles():  # a schedule comes as a handful of files
+        orders.setdefault(tuple(spark.read.options(**options).csv(file).columns), []).append(file)
+    parts = []
+    for header, files in orders.items():
+        in_file = T.StructType([T.StructField(c, types.get(c.strip().lstrip("﻿"), T.StringType())) for c in header])
+        rows = spark.read.options(**options).schema(in_file).csv(files)
+        names = {c.strip().lstrip("﻿"): c for c in header}
+        parts.append(rows.select(*[(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
+                                   for f in declared.fields]))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], declared)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,11 +49,14 @@ def partition_date() -> Column:
 
 def read_recent_json(spark: SparkSession, base: str, schema: str, today: str, days: int = 7,
                      partitions: str = "year string, month string, day string") -> DataFrame | None:
-    """The last N days of date-partitioned JSON lines, as one read pruned by partition; None without data."""
-    if not _exists(spark, base):
+    """The last N days of date-partitioned JSON lines, read from the folders of those days only; None without data."""
+    last = date.fromisoformat(today)
+    wanted = [last - timedelta(days=k) for k in range(days)]
+    folders = [f"{base}/year={d:%Y}/month={d:%m}/day={d:%d}" for d in wanted]
+    folders = [f for f in folders if _exists(spark, f)]
+    if not folders:
         return None
-    rows = spark.read.schema(f"{schema}, {partitions}").option("ignoreMissingFiles", True).option("basePath", base).json(base)
-    recent = rows.filter(partition_date().between(F.date_sub(F.lit(today).cast("date"), days - 1), F.lit(today).cast("date")))
+    recent = spark.read.schema(f"{schema}, {partitions}").option("ignoreMissingFiles", True).option("basePath", base).json(folders)
     return None if recent.isEmpty() else recent
 
 

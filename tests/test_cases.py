@@ -171,3 +171,35 @@ def test_feed_entities(spark):
     df = spark.createDataFrame([(x,) for x in lines], "j string").select(F.from_json("j", schemas.FEED_ENTITY).alias("e")).select("e.*")
     rows = sorted(((r.trip_id, r.route_id, r.seq, r.stop_id, r.schedule_relationship) for r in readers.flatten_feed(df).collect()), key=str)
     assert rows == [("t", "A", 0, "101N", "SCHEDULED"), ("t", "A", 1, "102N", "SKIPPED"), ("u", "B", None, None, None)]
+
+
+def test_schedule_files_with_columns_in_different_order(spark, new_path):
+    path = new_path("stop_times")
+    first = spark.createDataFrame([("t1", "s1", 1)], "trip_id string, stop_id string, stop_sequence int")
+    first.coalesce(1).write.option("header", True).csv(path)
+    first.selectExpr("'s2' AS stop_id", "2 AS stop_sequence", "'t2' AS trip_id").coalesce(1).write.mode("append").option("header", True).csv(path)
+    rows = readers.read_csv_by_header(spark, path, "trip_id string, stop_id string, stop_sequence int, note string").collect()
+    assert sorted(tuple(r) for r in rows) == [("t1", "s1", 1, None), ("t2", "s2", 2, None)]
+
+
+def test_only_the_folders_of_the_days_asked_for_are_read(spark, new_path):
+    base = new_path("days")
+    days = spark.createDataFrame([(1, "2024", "01", "02"), (2, "2024", "01", "03"), (3, "2023", "12", "31")], "v int, year string, month string, day string")
+    days.write.partitionBy("year", "month", "day").json(base)
+    got = readers.read_recent_json(spark, base, "v int", "2024-01-03", 3)
+    assert sorted(r.v for r in got.collect()) == [1, 2] and len(got.inputFiles()) == 2
+    assert readers.read_recent_json(spark, base, "v int", "2025-01-01", 7) is None
+
+
+def test_index_follows_the_type_of_the_column(spark):
+    rows = spark.createDataFrame([(10,), (9,), (100,), (2,), (9,), (None,)], "n int")
+    assert sorted((r.n, r.i) for r in S.sorted_index(rows, "n", "i").collect() if r.n is not None) == [(2, 0), (9, 1), (9, 1), (10, 2), (100, 3)]
+
+
+def test_own_shape_goes_before_the_shape_in_the_id(spark):
+    from stopflow.operators import lookups
+    trips = spark.createDataFrame([("x_113950_M..N20R", "M", "M..N07R", "North end"), ("y_113950_Q..N20R", "Q", None, "Other")],
+                                  "trip_id string, route_id string, shape_id string, headsign string")
+    live = spark.createDataFrame([("000001_M..N07R", "M"), ("000001_Q..N20R", "Q")], "trip_id string, route_id string")
+    got = {r.route_id: r.headsign for r in lookups.tiered_headsign(live, trips).collect()}
+    assert got == {"M": "North end", "Q": "Other"}

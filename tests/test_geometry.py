@@ -85,3 +85,27 @@ def test_nearest_with_many_at_one_spot(spark):
     got = G.nearest_stations(points, stations, "id", "station", 3, 2000).collect()
     assert [(r.id, r.station, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0, 1), (1, 1, 2), (1, 2, 3)]
     assert all(math.isclose(r.distance_m, 111.19, abs_tol=0.1) for r in got)
+
+
+@pytest.mark.parametrize("lat, lon", [(75.0, 10.0), (-84.9, -120.0), (0.0, 179.999), (60.0, -179.99), (89.95, 0.0), (51.0, 0.0)])
+def test_nearest_at_every_latitude_and_across_the_antimeridian(spark, lat, lon):
+    rng = random.Random(int(lat * 10))
+    spread = 0.05 / max(math.cos(math.radians(lat)), 0.003)
+    spots = []
+    for i in range(300):
+        x = lon + rng.uniform(-spread, spread)
+        spots.append((i, max(-90.0, min(90.0, lat + rng.uniform(-0.03, 0.03))), (x + 180) % 360 - 180))
+    points, stations = spots[:60], [(f"s{i:03}", y, x) for i, y, x in spots[60:]]
+
+    def metres(a, b):
+        p, q, d = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = {(p[0], r + 1, s) for p in points for r, (_, s) in enumerate(sorted((metres(p, s), s[0]) for s in stations if metres(p, s) <= 2000)[:3])}
+    ask = spark.createDataFrame(points, "id int, lat double, lon double")
+    near = spark.createDataFrame(stations, "sid string, lat double, lon double")
+    got = {(r["id"], r["rank"], r["sid"]) for r in G.nearest_stations(ask, near, "id", "sid").collect()}
+    assert got == want and want
+    some = {r["id"] for r in G.near_any_station(ask, near, 2000).collect()}
+    assert some == {p for p, _, _ in want}
