@@ -97,8 +97,7 @@ def feed_status_cycles(t: Tables):
 def streamed_feed_status(t: Tables):
     path, check = paths(t, "status", "check")
     finish(X.status_stream(live(t), "route_id", path, check, ONCE))
-    schema = "feed_group string, cycle timestamp, n_rows bigint, latency_ms bigint, status string, n_failed bigint"
-    return carry.read_parts(t.spark, path, schema).withColumn("cycle_ms", F.unix_millis("cycle")).drop("cycle", "batch_id")
+    return X.fold_status(carry.read_parts(t.spark, path, X.STATUS_PARTS)).withColumn("cycle_ms", F.unix_millis("cycle")).drop("cycle")
 
 
 @query("streamed_metric_feed", f"WITH {ARRIVALS} SELECT arrival_id, delay_seconds FROM arrivals WHERE route_id = 'click'", "I11")
@@ -212,17 +211,19 @@ def poll_changes(t: Tables):
 def streamed_poll_changes(t: Tables):
     out, state, check = paths(t, "changes", "state", "check")
     finish(Z.change_stream(polls(t.stream("events")), "feed_group", "trip_id", "poll", out, state, check, ONCE))
-    return carry.read_parts(t.spark, out, "feed_group string, trip_id bigint, poll date, change string").drop("batch_id").withColumn("poll", F.col("poll").cast("string"))
+    found = Z.changes_so_far(t.spark, out, state, "feed_group", "trip_id", "poll", "feed_group string, trip_id bigint, poll date")
+    return found.withColumn("poll", F.col("poll").cast("string"))
 
 
 @query("streamed_arrival_boards", f"""WITH {ARRIVALS}, w AS (SELECT DISTINCT s_suppkey || 'N' AS stop_id FROM supplier), f AS (SELECT * FROM arrivals WHERE stop_id IN (SELECT stop_id FROM w) QUALIFY row_number() OVER (PARTITION BY stop_id, latency_ms ORDER BY arrival_id) = 1)
   SELECT * FROM (SELECT stop_id, arrival_id, row_number() OVER (PARTITION BY stop_id ORDER BY ts, arrival_id)::INT AS rank FROM f) WHERE rank <= 8""", "I6 E7")
 def streamed_arrival_boards(t: Tables):
-    path, check = paths(t, "boards", "check")
+    path, state, check = paths(t, "boards", "state", "check")
     rows = live(t).select("arrival_id", "stop_id", F.col("latency_ms").alias("trip_id"), F.col("ts").alias("due"))
     wanted = t.supplier.select(F.concat(F.col("s_suppkey").cast("string"), F.lit("N")).alias("stop_id"))
-    finish(Z.board_stream(rows, wanted, path, check, 8, ONCE))
-    return carry.read_parts(t.spark, path, "arrival_id bigint, stop_id string, trip_id bigint, due timestamp, rank int").select("stop_id", "arrival_id", "rank")
+    finish(Z.board_stream(rows, wanted, path, state, check, 8, trigger=ONCE))
+    boards = Z.latest_boards(t.spark, path, "arrival_id bigint, stop_id string, trip_id bigint, due timestamp")
+    return boards.select(F.col("board").alias("stop_id"), "arrival_id", "rank")
 
 
 LATEST = """SELECT user_id, event_type, event_id FROM (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) WHERE event_type <> 'error'"""

@@ -25,11 +25,33 @@ def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"{schema}, batch_id bigint")
 
 
+def part_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batches that have written a part, from the list of folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+
+
 def read_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
     """Rows of the newest part before this batch."""
-    rows = read_parts(spark, path, schema).filter(F.col("batch_id") < batch_id)
-    newest = rows.agg(F.max("batch_id")).scalar()
-    return rows.filter(F.col("batch_id") == newest).drop("batch_id")
+    earlier = [i for i in part_ids(spark, path) if i < batch_id]
+    if not earlier:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={earlier[-1]}")
+
+
+def write_state(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the state after this batch; only it and the one before, from which the batch may run again, are kept.
+
+    An empty state is a part too, so a later batch never goes back to an older one.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in [i for i in part_ids(spark, path) if i < batch_id][:-1]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={old}"), True)
 
 
 def schema_text(df: DataFrame) -> str:

@@ -32,7 +32,7 @@ def headway_stream(arrivals: DataFrame, out_path: str, state_path: str, checkpoi
         both = carried.withColumn("_carried", F.lit(True)).unionByName(batch.withColumn("_carried", F.lit(False)))
         made = H.headways(both, keys, ts, tie, **limits)
         carry.write_part(made.filter(~F.col("_carried")).drop("_carried"), out_path, batch_id)
-        carry.write_part(latest_per_key(both.drop("_carried"), list(keys), F.struct(ts, tie)), state_path, batch_id)
+        carry.write_state(latest_per_key(both.drop("_carried"), list(keys), F.struct(ts, tie)), state_path, batch_id)
 
     return carry.run_batches(arrivals, each, checkpoint, trigger)
 
@@ -116,8 +116,26 @@ def feed_status(rows: DataFrame, group: str, poll: str = "minute", ts: str = "ts
         F.when(F.bool_or(F.col("status") == "error"), "error").otherwise("ok").alias("status"), F.count_if(F.col("status") != "success").alias("n_failed"))
 
 
+STATUS_PARTS = "feed_group string, cycle timestamp, n_rows bigint, latency_ms bigint, n_error bigint, n_failed bigint"
+
+
+def status_parts(rows: DataFrame, group: str, poll: str = "minute", ts: str = "ts") -> DataFrame:
+    """Additive sums per feed group and cycle; a cycle may come in several parts."""
+    return rows.groupBy(F.col(group).alias("feed_group"), F.date_trunc(poll, ts).alias("cycle")).agg(
+        F.count("*").alias("n_rows"), F.max("latency_ms").alias("latency_ms"), F.count_if(F.col("status") == "error").alias("n_error"),
+        F.count_if(F.col("status") != "success").alias("n_failed"))
+
+
+def fold_status(parts: DataFrame) -> DataFrame:
+    """One row per feed group and cycle from the parts that ``status_stream`` wrote."""
+    return parts.groupBy("feed_group", "cycle").agg(
+        F.sum("n_rows").alias("n_rows"), F.max("latency_ms").alias("latency_ms"),
+        F.when(F.sum("n_error") > 0, "error").otherwise("ok").alias("status"), F.sum("n_failed").alias("n_failed"))
+
+
 def status_stream(rows: DataFrame, group: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    return carry.run_batches(rows, lambda b, i: carry.write_part(feed_status(b, group), path, i), checkpoint, trigger)
+    """Parts per micro-batch, however the batches cut a cycle; read them with ``fold_status``."""
+    return carry.run_batches(rows, lambda b, i: carry.write_part(status_parts(b, group), path, i), checkpoint, trigger)
 
 
 def metric_feed(metrics: DataFrame, path: str, checkpoint: str, route_id: str | None = None, trigger: dict | None = None) -> StreamingQuery:

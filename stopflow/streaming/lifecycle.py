@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ordered import latest_per_key, sessions
-from ..operators.schedule import next_arrivals
+from ..functions import text
+from ..operators.ordered import latest_per_key, sessions, top_per_key
+from ..session import cut_lineage
 from ..sources.sinks import upsert_batch
 from . import carry
 
@@ -66,34 +67,70 @@ def poll_changes(seen: DataFrame, group: str, key: str, poll: str) -> DataFrame:
 
 def change_stream(seen: DataFrame, group: str, key: str, poll: str, out_path: str, state_path: str, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Streaming form: the last poll of each group is carried to the next micro-batch."""
+    """Streaming form: a group's newest poll stays open until a later one is seen, however the micro-batches cut it.
+
+    Carried are the rows of each group's last closed poll and of its open poll. Rows of a poll that is closed already come too late
+    and are left out. ``changes_so_far`` reads the changes including the open polls.
+    """
     rows = seen.select(group, key, poll)
-    schema = carry.schema_text(rows)
+    schema = f"{carry.schema_text(rows)}, closed boolean"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         carried = carry.read_before(batch.sparkSession, state_path, schema, batch_id)
-        both = carried.unionByName(batch).distinct()
-        carry.write_part(poll_changes(both, group, key, poll), out_path, batch_id)
-        newest = both.groupBy(F.col(group).alias("_g")).agg(F.max(poll).alias("_p"))
-        last = both.join(newest, (F.col(group) == F.col("_g")) & (F.col(poll) == F.col("_p"))).select(group, key, poll)
-        carry.write_part(last, state_path, batch_id)
+        floor = carried.filter("closed").groupBy(F.col(group).alias("_g")).agg(F.max(poll).alias("_floor"))
+        in_time = batch.join(floor, F.col(group).eqNullSafe(F.col("_g")), "left").filter(F.col("_floor").isNull() | (F.col(poll) > F.col("_floor")))
+        both = cut_lineage(carried.drop("closed").unionByName(in_time.select(group, key, poll)).distinct())
+        newest = both.groupBy(F.col(group).alias("_g")).agg(F.max(poll).alias("_open"))
+        marked = both.join(newest, F.col(group).eqNullSafe(F.col("_g"))).withColumn("closed", F.col(poll) < F.col("_open")).drop("_g", "_open")
+        carry.write_part(poll_changes(marked.filter("closed"), group, key, poll), out_path, batch_id)
+        last = marked.groupBy(F.col(group).alias("_g"), F.col("closed").alias("_c")).agg(F.max(poll).alias("_p"))
+        kept = marked.join(last, F.col(group).eqNullSafe(F.col("_g")) & (F.col("closed") == F.col("_c")) & (F.col(poll) == F.col("_p")))
+        carry.write_state(kept.select(group, key, poll, "closed"), state_path, batch_id)
 
     return carry.run_batches(rows, each, checkpoint, trigger)
 
 
+def changes_so_far(spark: SparkSession, out_path: str, state_path: str, group: str, key: str, poll: str, schema: str) -> DataFrame:
+    """Changes written by ``change_stream``, and those of the open polls as seen by now. ``schema`` types group, key and poll."""
+    closed = carry.read_parts(spark, out_path, f"{schema}, change string").drop("batch_id")
+    state = carry.read_before(spark, state_path, f"{schema}, closed boolean", 2 ** 62)
+    return closed.unionByName(poll_changes(state, group, key, poll))
+
+
 # ---- boards ------------------------------------------------------------------------
 
 
-def board_stream(arrivals: DataFrame, subscribed: DataFrame, path: str, checkpoint: str, k: int = 8, trigger: dict | None = None) -> StreamingQuery:
-    """Boards of subscribed stops per cycle: rows are cut to those stops before anything is built."""
-    wanted = subscribed.select("stop_id").distinct()
+def board_stream(arrivals: DataFrame, subscribed: DataFrame, path: str, state_path: str, checkpoint: str, k: int = 8,
+                 now_of=None, past_seconds: float = 60, ahead_seconds: float = 1200, trigger: dict | None = None) -> StreamingQuery:
+    """Boards of subscribed stops, each written whole with every micro-batch; ``latest_boards`` reads the newest.
+
+    A subscription to a parent station takes the rows of its platforms. Each trip's first row per board is carried, so boards do not
+    depend on how batches are cut. With ``now_of(rows)``, a scalar clock column, only rows due from ``past_seconds`` before to
+    ``ahead_seconds`` after it are kept, which bounds what is carried.
+    """
+    wanted = subscribed.select(F.col("stop_id").alias("board")).distinct()
+    schema = f"{carry.schema_text(arrivals)}, board {arrivals.schema['stop_id'].dataType.simpleString()}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        carry.write_part(next_arrivals(batch.join(wanted, "stop_id", "left_semi"), k), path, batch_id)
+        carried = carry.read_before(batch.sparkSession, state_path, schema, batch_id)
+        ids = F.array_distinct(F.array(F.col("stop_id"), text.parent_stop("stop_id")))
+        fresh = batch.withColumn("board", F.explode(ids)).join(wanted, "board", "left_semi")
+        both = carried.unionByName(fresh)
+        if now_of is not None:
+            due, now = F.unix_micros("due") / F.lit(1e6), F.unix_micros(now_of(both)) / F.lit(1e6)
+            both = both.filter((due >= now - past_seconds) & (due <= now + ahead_seconds))
+        first = cut_lineage(latest_per_key(both.filter(F.col("trip_id").isNotNull()), ["board", "trip_id"], F.struct("arrival_id"), first=True))
+        carry.write_part(top_per_key(first, ["board"], [F.col("due").asc(), F.col("arrival_id").asc()], k), path, batch_id)
+        carry.write_state(first.select(*arrivals.columns, "board"), state_path, batch_id)
 
     return carry.run_batches(arrivals, each, checkpoint, trigger)
 
 
+def latest_boards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The boards of the newest cycle. ``schema`` types the arrivals' columns."""
+    return carry.read_before(spark, path, f"{schema}, board string, rank int", 2 ** 62)
+
+
 # ---- latest state ---------------------------------------------------------------------
 
 
@@ -133,6 +170,6 @@ def rolling_store(events: DataFrame, path: str, checkpoint: str, now_of, hours:
         kept = carry.read_before(batch.sparkSession, path, schema, batch_id)
         both = kept.unionByName(batch)
         fresh = both.filter(F.col("timestamp") > now_of(both) - hours * 3_600_000)
-        carry.write_part(fresh.orderBy(F.desc("timestamp"), "pk").limit(limit), path, batch_id)
+        carry.write_state(fresh.orderBy(F.desc("timestamp"), "pk").limit(limit), path, batch_id)
 
     return carry.run_batches(events, each, checkpoint, trigger)

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import FOLDER
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stopflow.operators import headways as H
@@ -69,10 +70,80 @@ def test_poll_changes(spark, sliced, new_path):
     def polls(df):
         return df.select(F.col("event_type").alias("g"), F.col("user_id").alias("k"), F.to_date("ts").alias("p"))
 
-    out = new_path("out")
-    Z.change_stream(polls(read()), "g", "k", "p", out, new_path("state"), new_path("check"), ONCE).awaitTermination()
-    got = carry.read_parts(spark, out, "g string, k bigint, p date, change string").drop("batch_id")
+    out, state = new_path("out"), new_path("state")
+    Z.change_stream(polls(read()), "g", "k", "p", out, state, new_path("check"), ONCE).awaitTermination()
+    got = Z.changes_so_far(spark, out, state, "g", "k", "p", "g string, k bigint, p date")
+    assert rows(got) == rows(Z.poll_changes(polls(events), "g", "k", "p"))
+
+
+@pytest.fixture()
+def torn(spark, tmp_path):
+    """The events table cut inside days, hours and minutes: by event number, in four files."""
+    path = str(tmp_path / "torn")
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{FOLDER}/events.parquet")
+    ranked = events.withColumn("_at", F.percent_rank().over(Window.orderBy("ts", "event_id")))
+    for low, high in ((0.0, 0.13), (0.13, 0.4142), (0.4142, 0.777), (0.777, 2.0)):
+        part = ranked.filter((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return events, lambda: spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_poll_changes_do_not_depend_on_cuts(spark, torn, new_path):
+    events, read = torn
+
+    def polls(df):
+        return df.select(F.col("event_type").alias("g"), F.col("user_id").alias("k"), F.to_date("ts").alias("p"))
+
+    out, state = new_path("out"), new_path("state")
+    Z.change_stream(polls(read()), "g", "k", "p", out, state, new_path("check"), ONCE).awaitTermination()
+    got = Z.changes_so_far(spark, out, state, "g", "k", "p", "g string, k bigint, p date")
     assert rows(got) == rows(Z.poll_changes(polls(events), "g", "k", "p"))
+    assert len(carry.part_ids(spark, state)) == 2
+
+
+def test_a_poll_in_two_batches_is_one_poll(spark, new_path):
+    path = new_path("in")
+    for part in ([("a", 1, 1), ("a", 2, 1)], [("a", 1, 2)], [("a", 2, 2)], [("a", 2, 3), ("a", 9, 1)]):
+        spark.createDataFrame(part, "g string, k int, p int").coalesce(1).write.mode("append").parquet(path)
+    seen = spark.readStream.schema("g string, k int, p int").option("maxFilesPerTrigger", 1).parquet(path)
+    out, state = new_path("out"), new_path("state")
+    Z.change_stream(seen, "g", "k", "p", out, state, new_path("check"), ONCE).awaitTermination()
+    got = Z.changes_so_far(spark, out, state, "g", "k", "p", "g string, k int, p int")
+    assert rows(got) == [("a", 1, 3, "removed")]
+
+
+def test_a_cycle_in_several_batches_is_one_row(spark, torn, new_path):
+    events, read = torn
+    path = new_path("status")
+    rows_of = arrivals_of(read()).withColumn("ts", F.date_trunc("day", "ts"))
+    X.status_stream(rows_of, "route_id", path, new_path("check"), ONCE).awaitTermination()
+    parts = carry.read_parts(spark, path, X.STATUS_PARTS)
+    want = X.feed_status(arrivals_of(events).withColumn("ts", F.date_trunc("day", "ts")), "route_id")
+    assert parts.count() > want.count()
+    got = X.fold_status(parts)
+    assert rows(got.select(want.columns)) == rows(want)
+
+
+def test_boards_merge_over_batches_and_take_parents(spark, torn, new_path):
+    events, read = torn
+
+    def due(df):
+        return df.select(F.col("event_id").alias("arrival_id"), F.concat((F.col("user_id") % 3).cast("string"), F.when(F.col("user_id") % 2 == 0, "N").otherwise("S")).alias("stop_id"),
+                         (F.col("event_id") % 40).alias("trip_id"), F.col("ts").cast("timestamp").alias("due"))
+
+    path, state = new_path("boards"), new_path("state")
+    wanted = spark.createDataFrame([("0N",), ("1",), ("9",)], "stop_id string")
+    Z.board_stream(due(read()), wanted, path, state, new_path("check"), 5, trigger=ONCE).awaitTermination()
+    got = Z.latest_boards(spark, path, "arrival_id bigint, stop_id string, trip_id bigint, due timestamp")
+    want = []
+    for board, platforms in (("0N", ["0N"]), ("1", ["1N", "1S"])):
+        first = {}
+        for r in sorted(due(events).collect(), key=lambda r: r.arrival_id):
+            if r.stop_id in platforms:
+                first.setdefault(r.trip_id, r)
+        best = sorted(first.values(), key=lambda r: (r.due, r.arrival_id))[:5]
+        want += [(board, r.arrival_id, i + 1) for i, r in enumerate(best)]
+    assert sorted((r.board, r.arrival_id, r["rank"]) for r in got.collect()) == sorted(want)
 
 
 def test_daily_accumulator_and_state(spark, sliced, new_path):
