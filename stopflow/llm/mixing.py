@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, join_skewed, null_key, with_positions, words, written
 
 BUCKETS = 64
+LARGE_SHARE = 0.01
 # Size levels: each holds sizes within 5 percent of one another, so a corpus has a few hundred.
 LEVEL_RATIO = 1.05
 
@@ -42,9 +43,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     All documents of a source expect the same number of copies, its target over its size. Those are summed
     along the source, large documents first, one random offset per source (a hash of ``seed``) is added, and
-    a document is emitted once per integer crossed. Neighbours in that order are of nearly equal size, so
-    the words taken stay within about one document of the target. Returns one row per input row: doc_id,
-    source, size (words), source_size, target, copies, taken (copies * size).
+    a document is emitted once per integer crossed. Neighbours in that order are of nearly equal size. Documents above LARGE_SHARE of
+    their source are drawn first; the rate of the others makes up for what that draw took too much or too little, so the words taken
+    stay within about one smaller document of the target. Returns one row per input row: doc_id, source, size (words), source_size,
+    target, copies, taken (copies * size).
 
     NULL text has size 0, NULL sources form one source, sorted last; sources without words have target 0 and
     no copies; repeated rows are drawn separately, an empty table gives no rows, other columns are ignored.
@@ -57,17 +59,30 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     targets = source_targets(sources.select(order_key.alias("key"), "source_size", "_n"), weights, share, ceiling)
     targets = written(targets.select(F.coalesce(F.concat(F.lit("="), F.col("key.source")), F.lit("")).alias("_key"),
                                      "source_size", "target", "_n"), "mix-targets")
+    rows = join_skewed(slim, targets, "_key")
+    rows = rows.withColumn("_stratum", F.concat(F.when(_large(), "L").otherwise("S"), "_key"))
     level = F.when(F.col("size") > 0, -F.floor(F.log(LEVEL_RATIO, F.col("size").cast("double")))).otherwise(1)
-    keyed = slim.withColumn("_level", level.cast("int"))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int"))
-    placed = with_positions(keyed, "_key", "_level", "_bucket", [F.col("size").desc(), F.col("doc_id")], "_at")
-    joined = join_skewed(placed.drop("_level", "_bucket"), targets, "_key")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 52)) / float(1 << 52)
-    joined = joined.withColumn("_each", each).withColumn("_u", offset)
-    copies = F.floor(F.col("_each") * (F.col("_at") + 1) + F.col("_u")) - F.floor(F.col("_each") * F.col("_at") + F.col("_u"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
-                         (copies * F.col("size")).cast("bigint").alias("taken"))
+    rows = rows.withColumn("_level", level.cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int"))
+    placed = written(with_positions(rows, "_stratum", "_level", "_bucket", [F.col("size").desc(), F.col("doc_id")], "_at"), "mix-places")
+    placed = placed.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 52)) / float(1 << 52))
+
+    def copies(rate: Column) -> Column:
+        return (F.floor(rate * (F.col("_at") + 1) + F.col("_u")) - F.floor(rate * F.col("_at") + F.col("_u"))).cast("bigint")
+
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    drawn = placed.filter(_large()).groupBy("_key").agg(F.sum(copies(rate) * F.col("size")).alias("_took"), F.sum("size").alias("_size"))
+    left = targets.join(drawn, "_key", "left").fillna(0, subset=["_took", "_size"])
+    others = F.try_divide(F.col("target") - F.col("_took"), F.col("source_size") - F.col("_size"))
+    left = left.select("_key", "_n", F.least(F.greatest(F.coalesce(others, F.lit(0.0)), F.lit(0.0)), F.lit(float(ceiling))).alias("_rest"))
+    joined = join_skewed(placed, written(left, "mix-rates"), "_key")
+    made = joined.withColumn("copies", copies(F.when(_large(), rate).otherwise(F.col("_rest"))))
+    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def _large() -> Column:
+    """A source has fewer than 1 / LARGE_SHARE large documents."""
+    return F.col("size") > F.col("source_size") * LARGE_SHARE
 
 
 def emit(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFrame:

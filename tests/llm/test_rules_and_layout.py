@@ -84,7 +84,7 @@ def test_mixing_targets_and_draws(spark):
     rng = random.Random(5)
     names = ["a", "b", "c", "é", "Z", None, "d"]
     rows = [(i, " ".join(["w"] * rng.choice([0, 3, 50, 51, 52, 400])), rng.choice(names + ["a"] * 5)) for i in range(3000)]
-    rows += [(7, "w " * 50, "a"), (None, "w w", "b"), (None, None, "b")]
+    rows += [(7, "w " * 50, "a"), (None, "w w", "b"), (None, None, "b"), (9000, "w " * 9000, "d"), (9001, "w " * 4000, "d")]
     docs = docs_of(spark, rows)
     plan = mixing.mix(docs)
     got = plan.collect()
