@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round, js_round_long, lookup, mean_tenths, seconds_to_minutes
+from .joins import join_aggregate
+from .ordered import with_position
 
 # ---- reads ----------------------------------------------------------------
 
@@ -248,15 +250,20 @@ def direction_imbalance(metrics: DataFrame, keys: Sequence[str], ratio: float =
 
 def cascading_routes(events: DataFrame, since: Column | int, types: Sequence[str] = ("BUNCH", "GAP", "DELAY"),
                      minimum: int = 2) -> DataFrame:
-    """Routes with several anomalies in the period; one text entry per anomaly type with its count."""
+    """Every anomaly of the routes that have several in the period, as rows (route_id, rank, n_anomalies, summary) in time order.
+
+    The text is the type and the description, or the minutes of delay where there is none.
+    """
     parts = F.split("pk", "#")
-    hits = events.filter(parts[0].isin(*types) & (F.col("timestamp") >= since))
-    per_type = hits.groupBy(parts[1].alias("route_id"), parts[0].alias("event_type")).agg(
-        F.count("*").alias("n"), F.min("description").alias("detail"))
-    entry = F.concat("event_type", F.lit(" x"), F.col("n").cast("string"), F.lit(": "), F.col("detail"))
-    return per_type.groupBy("route_id").agg(
-        F.sum("n").alias("n_anomalies"),
-        F.array_join(F.array_sort(F.collect_list(entry)), "; ").alias("summary")).filter(F.col("n_anomalies") >= minimum)
+    detail = F.col("description")
+    if "delay_seconds" in events.columns:
+        detail = F.coalesce(detail, F.concat(seconds_to_minutes("delay_seconds").cast("string"), F.lit(" min delay")))
+    hits = events.filter(parts[0].isin(*types) & (F.col("timestamp") >= since)).select(
+        parts[1].alias("route_id"), "timestamp", F.concat(parts[0], F.lit(": "), F.coalesce(detail, F.lit(""))).alias("summary"))
+    several = hits.groupBy("route_id").agg(F.count("*").alias("n_anomalies")).filter(F.col("n_anomalies") >= minimum)
+    listed = join_aggregate(hits, several, ["route_id"], "inner")
+    ranked = with_position(listed, ["route_id"], ["timestamp", "summary"], F.floor(F.col("timestamp") / 3_600_000), "rank")
+    return ranked.select("route_id", "rank", "n_anomalies", "summary")
 
 
 def ahead_of_schedule(metrics: DataFrame, minutes: float = -0.5) -> DataFrame:

@@ -192,6 +192,18 @@ def best_shape(requests: DataFrame, vertices: DataFrame, key: str, metres: float
     return both.groupBy(key).agg(F.min_by(row, F.struct(F.col("from_m") + F.col("to_m"), F.col("shape_id"))).alias("_b")).select(key, "_b.*")
 
 
+def between_stops(positions: DataFrame, on_track: DataFrame, key: str, s: str = "arclength_m") -> DataFrame:
+    """Positions with the arclengths of the last stop at or before them and of the next one, where there are both.
+
+    A position meets the stops of its route, a bounded list, and both are found by one aggregate.
+    """
+    stops = on_track.select(F.col("route_id").alias("_route"), F.col("arclength_m").alias("_at"))
+    met = positions.join(stops, F.col("route_id") == F.col("_route"))
+    around = met.groupBy(key).agg(F.max(s).alias(s), F.max(F.when(F.col("_at") <= F.col(s), F.col("_at"))).alias("s_prev"),
+                                  F.min(F.when(F.col("_at") > F.col(s), F.col("_at"))).alias("s_next"))
+    return around.dropna(subset=["s_prev", "s_next"])
+
+
 def with_phase(df: DataFrame, s: str, s_prev: str, s_next: str, boarding: float = 20, arriving: float = 200) -> DataFrame:
     """Phase by remaining metres, and progress between the two stops."""
     left = F.abs(F.col(s_next) - F.col(s))

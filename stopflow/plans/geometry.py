@@ -164,13 +164,17 @@ def best_shapes(t):
     return out.select("vec_id", "shape_id", rd(F.col("from_m") + F.col("to_m"), 3).alias("total_m"))
 
 
-@query("train_phases", """WITH x AS (SELECT vec_id, (vec_id * 7 % 1000)::DOUBLE AS s, 100.0::DOUBLE AS a, (vec_id * 13 % 1100)::DOUBLE AS b FROM embeddings)
+@query("train_phases", f"""WITH {TRACK}, {POINTS}, {MATCHED}, {STOPS}, {ON_TRACK},
+  x AS (SELECT p.vec_id, any_value(m.arclength_m) AS s, max(CASE WHEN o.arclength_m <= m.arclength_m THEN o.arclength_m END) AS a, min(CASE WHEN o.arclength_m > m.arclength_m THEN o.arclength_m END) AS b
+    FROM points p JOIN matched m USING (vec_id) JOIN on_track o ON o.route_id = p.route_id GROUP BY p.vec_id)
   SELECT vec_id, CASE WHEN abs(b - s) <= 20 THEN 'BOARDING' WHEN abs(b - s) <= 200 THEN 'ARRIVING' ELSE 'APPROACHING' END AS phase,
-   floor(coalesce(greatest(0, least(1, (s - a) / nullif(b - a, 0))), 0) * 1e6 + 0.5) / 1e6 AS progress FROM x""", "L8")
+   floor(coalesce(greatest(0, least(1, (s - a) / nullif(b - a, 0))), 0) * 1e6 + 0.5) / 1e6 AS progress FROM x WHERE a IS NOT NULL AND b IS NOT NULL""", "L8")
 def train_phases(t):
-    k = F.col("vec_id")
-    rows = t.embeddings.select(k, (k * 7 % 1000).cast("double").alias("s"), F.lit(100.0).alias("a"), (k * 13 % 1100).cast("double").alias("b"))
-    return K.with_phase(rows, "s", "a", "b").select("vec_id", "phase", rd("progress", 6).alias("progress"))
+    """Matched positions between the two stops of their route around them."""
+    ways = lines(t)
+    matched = K.map_match(points(t), ways, "vec_id", metres=500, wider=(3000,)).join(points(t).select("vec_id", "route_id"), "vec_id")
+    placed = K.between_stops(matched, K.stops_on_tracks(stops(t), ways, 900), "vec_id")
+    return K.with_phase(placed, "arclength_m", "s_prev", "s_next").select("vec_id", "phase", rd("progress", 6).alias("progress"))
 
 
 @query("smoothed_positions", f"""WITH RECURSIVE x AS (SELECT vec_id, label, vec_id * 10 + embedding[3]::DOUBLE * 100 AS z, vec_id * 10000 AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),

@@ -368,10 +368,10 @@ def direction_imbalance(t):
     return R.direction_imbalance(daily, ["date", "route_id"])
 
 
-@query("cascading_routes", f"""WITH {EVENTS}, x AS (SELECT split_part(pk, '#', 2) AS route_id, split_part(pk, '#', 1) AS k, count(*) AS n, min(description) AS d
-  FROM facts WHERE timestamp >= epoch_ms(TIMESTAMP '{DAY0}') GROUP BY ALL)
-  SELECT route_id, sum(n)::BIGINT AS n_anomalies, string_agg(k || ' x' || n || ': ' || d, '; ' ORDER BY k) AS summary
-  FROM x GROUP BY route_id HAVING sum(n) >= 2""", "D44")
+@query("cascading_routes", f"""WITH {EVENTS}, x AS (SELECT split_part(pk, '#', 2) AS route_id, timestamp, split_part(pk, '#', 1) || ': ' || description AS summary
+  FROM facts WHERE timestamp >= epoch_ms(TIMESTAMP '{DAY0}'))
+  SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY timestamp, summary) AS rank, count(*) OVER (PARTITION BY route_id) AS n_anomalies, summary
+  FROM x QUALIFY n_anomalies >= 2""", "D44")
 def cascading_routes(t):
     return R.cascading_routes(service_events(t), F.unix_millis(F.lit(DAY0).cast("timestamp")))
 

@@ -274,11 +274,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY due, arriv
 
 @query("next_arrivals", f"WITH {DUE} SELECT arrival_id, stop_id, trip_id, epoch_us(due) AS due_us, rank::INT AS rank FROM ranked WHERE rank <= 8", "E7 G2")
 def next_arrivals(t):
-    feeds = None
-    for kind in ("click", "error", "purchase", "signup", "view"):
-        part = due_rows(t).filter(F.col("feed_group") == kind)
-        feeds = part if feeds is None else feeds.unionByName(part)
-    return S.next_arrivals(feeds).select("arrival_id", "stop_id", "trip_id", F.unix_micros("due").alias("due_us"), "rank")
+    return S.next_arrivals(due_rows(t)).select("arrival_id", "stop_id", "trip_id", F.unix_micros("due").alias("due_us"), "rank")
 
 
 @query("arrival_boards", f"""WITH {DUE}, req AS (SELECT DISTINCT user_id::VARCHAR || CASE event_id % 5 WHEN 0 THEN 'N' WHEN 1 THEN '' ELSE '' END AS board FROM events),
