@@ -192,6 +192,32 @@ def streamed_trip_sessions(t: Tables):
     return rows.select("trip_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_seen_at").alias("last_seen_us"), "n_seen", "stops_served")
 
 
+LISTED = """WITH x AS (SELECT event_type AS g, user_id AS k, date_trunc('day', ts) AS p, event_id % 7 AS s FROM events),
+  polls AS (SELECT g, p, row_number() OVER (PARTITION BY g ORDER BY p) AS i, count(*) OVER (PARTITION BY g) AS open FROM (SELECT DISTINCT g, p FROM x)),
+  placed AS (SELECT x.*, i, open FROM x JOIN polls USING (g, p)), marks AS (SELECT g, k, i, i - row_number() OVER (PARTITION BY g, k ORDER BY i) AS run FROM (SELECT DISTINCT g, k, i FROM placed)),
+  trips AS (SELECT g, k, run, min(p) AS a, max(p) AS b, max(i) AS i, any_value(open) AS open, count(DISTINCT s) AS n FROM placed JOIN marks USING (g, k, i) GROUP BY ALL)
+  SELECT k AS trip_id, 'TRIP_START#' || g AS pk, epoch_ms(a::TIMESTAMP) AS timestamp, NULL::BIGINT AS stops_served, NULL::BIGINT AS duration_seconds FROM trips
+  UNION ALL SELECT k, 'TRIP_END#' || g, epoch_ms(b::TIMESTAMP), n, (epoch_ms(b::TIMESTAMP) - epoch_ms(a::TIMESTAMP)) // 1000 FROM trips WHERE i + 1 < open"""
+
+
+def listed(events):
+    """Daily polls of feed groups that list the trips seen that day, each with a stop."""
+    return events.select(F.col("event_type").alias("feed_group"), F.col("user_id").alias("trip_id"), F.date_trunc("day", "ts").cast("timestamp").alias("poll"),
+                         (F.col("event_id") % 7).cast("string").alias("stop_id"))
+
+
+@query("listed_trip_events", LISTED, "I2")
+def listed_trip_events(t: Tables):
+    return Z.listed_trips(listed(t.events), "feed_group", "trip_id", "poll", "stop_id", "feed_group")
+
+
+@query("streamed_listed_trip_events", LISTED, "I2")
+def streamed_listed_trip_events(t: Tables):
+    out, state, check = paths(t, "listed", "state", "check")
+    finish(Z.listed_stream(listed(t.stream("events")), "feed_group", "trip_id", "poll", "stop_id", "feed_group", out, state, check, ONCE))
+    return carry.read_parts(t.spark, out, "trip_id bigint, pk string, timestamp bigint, stops_served bigint, duration_seconds bigint").drop("batch_id")
+
+
 CHANGES = """WITH rows_ AS (SELECT DISTINCT event_type AS g, user_id AS k, ts::DATE AS p FROM events), polls AS (SELECT *, lead(p) OVER (PARTITION BY g ORDER BY p) AS nx, lag(p) OVER (PARTITION BY g ORDER BY p) AS pv FROM (SELECT DISTINCT g, p FROM rows_)),
   x AS (SELECT rows_.*, nx, pv FROM rows_ JOIN polls USING (g, p))
   SELECT g AS feed_group, k AS trip_id, nx::VARCHAR AS poll, 'removed' AS change FROM x WHERE nx IS NOT NULL AND (g, k, nx) NOT IN (SELECT (g, k, p) FROM rows_)

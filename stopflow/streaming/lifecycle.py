@@ -44,6 +44,85 @@ def session_stream(positions: DataFrame, watermark: str, gap: str = "30 minutes"
         F.min(ts).alias("started_at"), F.max(ts).alias("last_seen_at"), F.count("*").alias("n_seen"), F.size(F.collect_set(stop)).cast("bigint").alias("stops_served")).drop("w")
 
 
+def listed_trips(seen: DataFrame, group: str, trip: str, poll: str, stop: str, route: str | None = None) -> DataFrame:
+    """TRIP_START at first sight, TRIP_END at last sight once a later closed poll of the group lacks the trip.
+
+    A trip runs while every poll of its group lists it; a trip that comes back starts anew. The group's newest poll is still
+    open and ends nothing. One row per event: trip, pk, timestamp (ms), stops_served and duration_seconds (of an end).
+    """
+    g, k, p = F.col(group).alias("g"), F.col(trip).alias("k"), F.col(poll).alias("p")
+    rows = seen.select(g, k, p, F.col(stop).alias("s"), (F.col(route) if route else F.lit(None).cast("string")).alias("r"))
+    order = Window.partitionBy("_g").orderBy("_p")
+    polls = rows.select(F.col("g").alias("_g"), F.col("p").alias("_p")).distinct().withColumn("_i", F.row_number().over(order))
+    last = polls.groupBy("_g").agg(F.max("_i").alias("_open"))
+    polls = polls.join(last, "_g")
+    placed = rows.join(polls, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_p")))
+    once = placed.groupBy("g", "k", "_i").agg(F.min("p").alias("p"), F.max("_open").alias("_open"))
+    run = F.col("_i") - F.row_number().over(Window.partitionBy("g", "k").orderBy("_i"))
+    runs = placed.drop("_open", "_g", "_p").join(once.select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("_i").alias("_j"), run.alias("run"), "_open"),
+                                                 F.col("g").eqNullSafe(F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("_i") == F.col("_j")))
+    trips = runs.groupBy("g", "k", "run").agg(
+        F.min("p").alias("started_at"), F.max("p").alias("last_seen_at"), F.max("_i").alias("_i"), F.max("_open").alias("_open"),
+        F.count_distinct("s").alias("stops_served"), F.min("r").alias("r"))
+    return _trip_events(trips, trip, F.col("_i") + 1 < F.col("_open"))
+
+
+def _trip_events(trips: DataFrame, trip: str, ended: Column, started: Column | None = None) -> DataFrame:
+    seconds = F.floor((F.unix_micros("last_seen_at") - F.unix_micros("started_at")) / F.lit(1e6) + 0.5).cast("bigint")
+    start = F.struct(F.concat_ws("#", F.lit("TRIP_START"), "r").alias("pk"), F.unix_millis("started_at").alias("timestamp"),
+                     F.lit(None).cast("bigint").alias("stops_served"), F.lit(None).cast("bigint").alias("duration_seconds"))
+    end = F.struct(F.concat_ws("#", F.lit("TRIP_END"), "r").alias("pk"), F.unix_millis("last_seen_at").alias("timestamp"),
+                   F.col("stops_served"), seconds.alias("duration_seconds"))
+    rows = F.array_compact(F.array(start if started is None else F.when(started, start), F.when(ended, end)))
+    return trips.select(F.col("k").alias(trip), F.inline(rows))
+
+
+def listed_stream(seen: DataFrame, group: str, trip: str, poll: str, stop: str, route: str | None, out_path: str, state_path: str, checkpoint: str,
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Streaming form of ``listed_trips``: starts are written at first sight, ends once a closed poll lacks the trip.
+
+    Carried are the trips that run: one row per trip, stop and open or last closed poll. Batches may cut a poll anywhere, as long as polls
+    come in order; rows of closed polls come too late and are left out.
+    """
+    rows = seen.select(F.col(group).cast("string").alias("g"), F.col(trip).alias("k"), F.col(poll).alias("p"), F.col(stop).cast("string").alias("s"),
+                       (F.col(route) if route else F.lit(None)).cast("string").alias("r"))
+    schema = f"{carry.schema_text(rows)}, known boolean, started_at timestamp, closed_at timestamp"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        carried = carry.read_before(batch.sparkSession, state_path, schema, batch_id)
+        floor = carried.groupBy(F.col("g").alias("_g")).agg(F.max("closed_at").alias("_floor"))
+        fresh = batch.join(floor, F.col("g").eqNullSafe(F.col("_g")), "left").filter(F.col("_floor").isNull() | (F.col("p") > F.col("_floor"))).drop("_g", "_floor")
+        none = F.lit(None).cast("timestamp")
+        both = cut_lineage(carried.unionByName(fresh.withColumns({"known": F.lit(False), "started_at": none, "closed_at": none})))
+        order = Window.partitionBy("_g").orderBy("_p")
+        polls = both.select(F.col("g").alias("_g"), F.col("p").alias("_p")).distinct().withColumn("_i", F.row_number().over(order))
+        polls = polls.join(polls.groupBy("_g").agg(F.max("_i").alias("_open")), "_g")
+        placed = both.join(polls, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_p"))).drop("_g", "_p")
+        marks = placed.groupBy("g", "k", "_i").agg(F.min("p").alias("_at"))
+        gap = F.col("_i") - F.row_number().over(Window.partitionBy("g", "k").orderBy("_i"))
+        marks = marks.select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("_i").alias("_j"), gap.alias("run"))
+        runs = cut_lineage(placed.join(marks, F.col("g").eqNullSafe(F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("_i") == F.col("_j"))).drop("_g", "_k", "_j"))
+        trips = runs.groupBy("g", "k", "run").agg(
+            F.coalesce(F.min("started_at"), F.min("p")).alias("started_at"), F.max("p").alias("last_seen_at"), F.max("_i").alias("_i"),
+            F.max("_open").alias("_open"), F.count_distinct("s").alias("stops_served"), F.min("r").alias("r"), F.bool_or("known").alias("known"))
+        trips = cut_lineage(trips)
+        ended = F.col("_i") + 1 < F.col("_open")
+        carry.write_part(_trip_events(trips, trip, ended, ~F.col("known")), out_path, batch_id)
+        alive = trips.filter(~ended).select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("run").alias("_r"), F.col("started_at").alias("_s"), F.col("_i").alias("_last"))
+        kept = runs.join(alive, F.col("g").eqNullSafe(F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("run") == F.col("_r")))
+        at = kept.groupBy("g", "k", "_r").agg(F.max("p").alias("_top"))
+        at = at.select(F.col("g").alias("_g2"), F.col("k").alias("_k2"), F.col("_r").alias("_r2"), "_top")
+        kept = kept.join(at, F.col("g").eqNullSafe(F.col("_g2")) & (F.col("k") == F.col("_k2")) & (F.col("_r") == F.col("_r2")))
+        closed = polls.filter(F.col("_i") < F.col("_open")).groupBy(F.col("_g").alias("_g3")).agg(F.max("_p").alias("_closed"))
+        # earlier polls of a running trip move up to the last closed one, or to its newest
+        kept = kept.join(closed, F.col("g").eqNullSafe(F.col("_g3")), "left")
+        moved = F.when(F.col("_closed").isNull() | (F.col("p") >= F.col("_closed")), F.col("p")).otherwise(F.least("_top", "_closed"))
+        state = kept.select("g", "k", moved.alias("p"), "s", "r", F.lit(True).alias("known"), F.col("_s").alias("started_at"), F.col("_closed").alias("closed_at"))
+        carry.write_state(state.distinct(), state_path, batch_id)
+
+    return carry.run_batches(rows, each, checkpoint, trigger)
+
+
 # ---- snapshots ---------------------------------------------------------------------
 
 

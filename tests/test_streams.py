@@ -186,3 +186,31 @@ def test_rolling_store_keeps_the_newest(spark, sliced, new_path):
     want = facts(events).orderBy(F.desc("timestamp"), "pk").limit(50)
     newest = want.agg(F.max("timestamp")).first()[0]
     assert rows(got) == rows(want.filter(F.col("timestamp") > newest - 48 * 3_600_000))
+
+
+def daily_lists(df):
+    """Daily polls that list trips with a stop each."""
+    return df.select(F.col("event_type").alias("g"), (F.col("user_id") % 5).alias("k"), F.date_trunc("day", "ts").cast("timestamp").alias("p"),
+                     (F.col("event_id") % 7).cast("string").alias("s"), F.col("event_type").alias("r"))
+
+
+def test_listed_trips_by_hand(spark):
+    import datetime as dt
+    def at(m):
+        return dt.datetime(2024, 1, 1, 0, m)
+
+    seen = spark.createDataFrame([("g", "t", at(0), "a", "R"), ("g", "t", at(1), "b", "R"), ("g", "u", at(1), "a", "R"), ("g", "u", at(2), "a", "R"), ("g", "u", at(3), "a", "R"),
+                                  ("g", "t", at(3), "c", "R"), ("g", "v", at(2), "a", "R")], "g string, k string, p timestamp, s string, r string")
+    got = sorted((r.k, r.pk, r.timestamp // 60000 % 60, r.stops_served, r.duration_seconds) for r in Z.listed_trips(seen, "g", "k", "p", "s", "r").collect())
+    assert got == [("t", "TRIP_END#R", 1, 2, 60), ("t", "TRIP_START#R", 0, None, None), ("t", "TRIP_START#R", 3, None, None),
+                   ("u", "TRIP_START#R", 1, None, None), ("v", "TRIP_START#R", 2, None, None)]
+
+
+def test_listed_trips_stream(spark, torn, new_path):
+    events, read = torn
+    out, state = new_path("out"), new_path("state")
+    Z.listed_stream(daily_lists(read()), "g", "k", "p", "s", "r", out, state, new_path("check"), ONCE).awaitTermination()
+    want = Z.listed_trips(daily_lists(events), "g", "k", "p", "s", "r")
+    got = carry.read_parts(spark, out, "k bigint, pk string, timestamp bigint, stops_served bigint, duration_seconds bigint").select(want.columns)
+    assert rows(got) == rows(want)
+    assert want.filter("pk LIKE 'TRIP_END%'").count() > 10
