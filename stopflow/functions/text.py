@@ -11,7 +11,7 @@ from .numbers import col, lookup
 def direction(stop_id: Column | str, unknown: str | None = None) -> Column:
     """N or S from the id suffix, else ``unknown``."""
     c = col(stop_id)
-    return F.when(c.rlike("[NS]$"), F.right(c, F.lit(1))).otherwise(F.lit(unknown))
+    return F.when(c.endswith("N"), "N").when(c.endswith("S"), "S").otherwise(F.lit(unknown))
 
 
 def direction_label(d: Column | str) -> Column:
@@ -19,7 +19,8 @@ def direction_label(d: Column | str) -> Column:
 
 
 def parent_stop(stop_id: Column | str) -> Column:
-    return F.regexp_replace(col(stop_id), "[NS]$", "")
+    c = col(stop_id)
+    return F.when(c.endswith("N") | c.endswith("S"), F.left(c, F.length(c) - 1)).otherwise(c)
 
 
 def canonical_route(route_id: Column | str, aliases: dict[str, str]) -> Column:
@@ -33,8 +34,9 @@ def route_tokens(routes: Column | str) -> Column:
 
 
 def trip_suffix(trip_id: Column | str) -> Column:
-    found = F.regexp_extract(col(trip_id), r"-00_(.+)$", 1)
-    return F.when(found != "", found)
+    c = col(trip_id)
+    at = F.instr(c, "-00_")
+    return F.when((at > 0) & (F.length(c) > at + 3), F.substr(c, at + 4))
 
 
 def trip_shape(trip_id: Column | str) -> Column:
@@ -49,7 +51,11 @@ def shape_direction(shape: Column | str) -> Column:
 
 def trip_key(trip_id: Column | str) -> Column:
     """Trip id (after its schedule prefix) cut after its ``..N`` or ``..S`` mark; ids without the mark are kept."""
-    return F.regexp_extract(col(trip_id), r"^(?:.*?-00_)?(.*?\.\..|.*)", 1)
+    c = col(trip_id)
+    prefix = F.instr(c, "-00_")
+    rest = F.when(prefix > 0, F.substr(c, prefix + 4)).otherwise(c)
+    at = F.instr(rest, "..")
+    return F.when((at > 0) & (F.length(rest) > at + 1), F.left(rest, at + 2)).otherwise(rest)
 
 
 def key_part(key: Column | str, index: int, sep: str = "#") -> Column:

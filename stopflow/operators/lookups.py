@@ -135,28 +135,26 @@ def stop_names(df: DataFrame, stops: DataFrame, stop: str = "stop_id") -> DataFr
 def segment_duration(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
     """Seconds from the duration matrix, exact ids first, then the other platforms in fixed order.
 
-    The matrix is folded to one row per route and pair of parents, so 17 candidates cost one join.
+    The matrix is folded to one row per route and pair of parents, with an array of nine slots by platforms, so the 16 candidates
+    cost one join. Parents and platforms are computed once per row.
     """
     def mark(c):
         return F.coalesce(text.direction(c), F.lit("-"))
 
+    def place(c):
+        return F.when(c == "N", 0).when(c == "S", 1).otherwise(2)
+
     marks = ["N", "S", "-"]
-    slots = {(a, b): f"_d{i}{j}" for i, a in enumerate(marks) for j, b in enumerate(marks)}
-    folded = matrix.groupBy(F.col("route_id").alias("_r"), text.parent_stop("from_stop").alias("_f"),
-                            text.parent_stop("to_stop").alias("_t")).agg(*[
-        F.min(F.when((mark("from_stop") == a) & (mark("to_stop") == b), F.col("seconds"))).alias(c) for (a, b), c in slots.items()])
-    joined = pairs.join(folded, (F.col("route_id") == F.col("_r")) & (text.parent_stop("from_stop") == F.col("_f"))
-                        & (text.parent_stop("to_stop") == F.col("_t")), "left")
-
-    def slot(a: Column, b: Column) -> Column:
-        out = F.lit(None)
-        for (x, y), c in slots.items():
-            out = F.when((a == x) & (b == y), F.col(c)).otherwise(out)
-        return out
-
-    froms = [mark("from_stop"), F.lit("N"), F.lit("S"), F.lit("-")]
-    tos = [mark("to_stop"), F.lit("N"), F.lit("S"), F.lit("-")]
-    return joined.withColumn("seconds", F.coalesce(*[slot(a, b) for a in froms for b in tos])).select(*pairs.columns, "seconds")
+    marked = matrix.select(F.col("route_id").alias("_r"), text.parent_stop("from_stop").alias("_f"), text.parent_stop("to_stop").alias("_t"),
+                           mark("from_stop").alias("_fm"), mark("to_stop").alias("_tm"), "seconds")
+    slots = [F.min(F.when((F.col("_fm") == a) & (F.col("_tm") == b), F.col("seconds"))) for a in marks for b in marks]
+    folded = marked.groupBy("_r", "_f", "_t").agg(F.array(*slots).alias("_slots"))
+    keyed = pairs.withColumns({"_pf": text.parent_stop("from_stop"), "_pt": text.parent_stop("to_stop"),
+                               "_i": place(mark("from_stop")), "_j": place(mark("to_stop"))})
+    joined = keyed.join(folded, (F.col("route_id") == F.col("_r")) & (F.col("_pf") == F.col("_f")) & (F.col("_pt") == F.col("_t")), "left")
+    froms, tos = ([F.col(own), F.lit(0), F.lit(1), F.lit(2)] for own in ("_i", "_j"))
+    found = F.coalesce(*[F.get("_slots", a * 3 + b) for a in froms for b in tos])
+    return joined.withColumn("seconds", found).select(*pairs.columns, "seconds")
 
 
 # ---- features and roll-up joins ------------------------------------------------

@@ -11,12 +11,13 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from stopflow.session import build_session
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
-        "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
+        "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
