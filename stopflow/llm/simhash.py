@@ -113,7 +113,9 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def edges(prints: DataFrame, distance: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all within ``distance``, never all pairs of a group."""
-    member = cells(prints, distance)
+    # A fingerprint makes 126 rows, so the small table of fingerprints is dealt over all tasks first.
+    wide = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = cells(prints.repartition(wide, "fp"), distance)
     crowded = member.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = written(crowded.select("cell", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "simhash-crowded")
     # A sort-merge join at every size, so a cell that owns many rows is split by skew handling.
