@@ -26,10 +26,10 @@ from .common import fresh
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# Results kept per worker to save work; a store is emptied when full, and long words are not kept.
-STORED_WORDS = 1_000_000
+# Results kept during a task to save work; a store is emptied when full, and long words are not kept.
+STORED_WORDS = 400_000
 STORED_LENGTH = 64
-STORED_ARCS = 1_000_000
+STORED_ARCS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -222,6 +222,11 @@ class Automaton:
         pieces = self.cut(text)
         return [t for p in pieces for t in ([self.added[p]] if p in self.added else self._plain(p))]
 
+    def forget(self) -> None:
+        """Give back the memory of the stores; tasks do so at their end, as workers live on."""
+        for store in (self._arcs, self._after_space, self._at_start):
+            store.clear()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", errors="replace")
 
@@ -254,6 +259,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
         for texts in batches:
             found = [machine.encode(t or "") for t in texts]
             yield pd.DataFrame({"ids": found, "text": [machine.decode(x) for x in found] if decoded else [""] * len(found)})
+        machine.forget()
 
     made = fresh(docs, "_bpe")
     out = docs.withColumn(made, run(F.coalesce(F.col(text), F.lit("")))).withColumn(ids, F.col(made)["ids"])
@@ -283,6 +289,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 plain.append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(plain)],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        machine.forget()
 
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
