@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,6 @@ from .common import fresh, written
 
 # Labelled rows used for mining terms and anchoring the label model: at most this many, taken by a hash of doc_id.
 MAX_LABELLED = 20_000
-TERMS = 400
 PREFIXES = (3, 4, 5, 6)
 LEXICONS = 3  # the mined whole words are dealt over this many voters by rank
 HELD_OUT = 5
@@ -86,32 +85,34 @@ def labelled(labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def mine(docs: DataFrame, sample: DataFrame, size: int = TERMS, least: int = 5) -> Lexicon:
-    """Terms that mark toxic documents: the ``size`` highest by z-score of smoothed log odds, of those in ``least`` toxic ones.
+def mine(docs: DataFrame, sample: DataFrame, least: int = 5) -> Lexicon:
+    """Terms that mark toxic documents: all with smoothed log odds over 3 at a z-score over 2.5, of those in ``least`` toxic texts.
 
-    ``docs`` has (doc_id, text), ``sample`` is bounded and broadcast. Each task counts its own terms before the shuffle.
+    ``docs`` has (doc_id, text), ``sample`` is bounded and broadcast, which bounds the terms too. Equal texts count once, by the
+    highest of their labels, so copies add nothing. Each task counts its own terms before the shuffle.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = Counter(), Counter()
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                seen[toxic.as_py()].update(terms_of(text.as_py() or ""))
+                seen[toxic.as_py()].update(terms_of(text.as_py()) | {""})  # the term "" counts the texts
             rows = [(t, 0, n) for t, n in seen[1].items()] + [(t, n, 0) for t, n in seen[0].items()]
             for at in range(0, len(rows), 100_000):
                 part = rows[at:at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
                                                   pa.array([r[2] for r in part], pa.int64())], names=["term", "clean", "toxic"])
 
-    chosen = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = chosen.mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= least)
-    total = sample.groupBy("toxic").count().collect()  # two rows
-    n = {r["toxic"]: r["count"] for r in total}
-    bad, good = n.get(1, 0) + 1.0, n.get(0, 0) + 1.0
+    chosen = docs.join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = chosen.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    counts = texts.select("text", "toxic").mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("toxic") >= least) | (F.col("term") == ""))
+    counts = written(counts, "toxic-terms")
+    total = counts.filter("term = ''").first()
+    bad, good = (total["toxic"] + 1.0, total["clean"] + 1.0) if total else (1.0, 1.0)
     odds = (F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (good - F.col("clean"))))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    z = counts.select("term", (odds / spread).alias("z"), odds.alias("odds")).filter("z > 2.5 AND odds > 3")
-    return Lexicon([r["term"] for r in z.orderBy(F.desc("odds"), F.desc("z"), "term").limit(size).collect()])
+    z = counts.filter("term <> ''").select("term", (odds / spread).alias("z"), odds.alias("odds")).filter("z > 2.5 AND odds > 3")
+    return Lexicon([r["term"] for r in z.orderBy(F.desc("odds"), F.desc("z"), "term").collect()])
 
 
 def blocks_of(patterns: np.ndarray, weight: np.ndarray, given: np.ndarray, most: float = 0.15, largest: int = 4) -> list[list[int]]:
@@ -190,7 +191,8 @@ class Model:
 
     def score(self, features: str | Column) -> Column:
         """The classifier's probability, rounded to 9 digits, from the features of a text."""
-        listed = F.array(*[F.lit(float(w)) for w in self.weights]) if self.weights else F.array().cast("array<double>")
+        # One text literal, folded once: weights are as many as terms.
+        listed = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>") if self.weights else F.array().cast("array<double>")
         total = F.aggregate(features, F.lit(float(self.bias)), lambda a, f: a + F.get(listed, f))
         return F.round(1 / (1 + F.exp(-total)), 9)
 
@@ -234,12 +236,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tupl
     table = docs.sparkSession.createDataFrame(list(posterior.items()), "votes int, p double")  # at most 2 ** VOTERS rows
     soft = rows.filter(~F.col("held_out")).join(F.broadcast(table), "votes").groupBy("features").agg(
         F.sum("p").alias("p"), F.count("*").alias("n"))
-    size = len(lexicon.terms)
-    vector = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("features", i).cast("double")))
     soft = written(soft, "toxic-soft")
     both = soft.select("features", F.lit(1.0).alias("label"), F.col("p").alias("w")).union(
         soft.select("features", F.lit(0.0), F.col("n") - F.col("p"))).filter("w > 0")
-    fitted = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=60, standardization=False).fit(both.withColumn("features", vector))
+    # Sparse vectors, made in the JVM: a row holds only the terms that it has.
+    sparse = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(lexicon.terms))], "_places", "features", minTF=0.0, binary=True)
+    vectors = sparse.transform(both.select("label", "w", F.col("features").cast("array<string>").alias("_places")))
+    fitted = LogisticRegression(weightCol="w", regParam=1e-5, maxIter=60, standardization=False).fit(vectors.drop("_places"))
     return Model(lexicon, fitted.coefficients.toArray().tolist(), float(fitted.intercept)), rows
 
 

@@ -191,6 +191,26 @@ def test_held_out_labels_teach_nothing(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("tail", [False, True])
+def test_copies_do_not_crowd_out_the_lexicon(spark, tail):
+    """Groups of copies, also with one word of their own each, leave every real term in the lexicon."""
+    rng = random.Random(12)
+    docs, labels = toxic_set(rng, 1500)
+    for g in range(3):
+        long = " ".join(f"{g}{''.join(rng.choices('abcdefghij', k=9))}" for _ in range(200)) + " grumblo"
+        for i in range(400):
+            docs.append((10_000 + 1000 * g + i, f"{long} n{i}x" if tail else long, "en"))
+            labels.append((10_000 + 1000 * g + i, 1, 1))
+    frame, known = docs_of(spark, docs), labels_of(spark, labels)
+    lexicon = toxicity.mine(frame.select("doc_id", "text"), toxicity.labelled(known.select("doc_id", "toxic")))
+    assert {"grumblo", "zorkish", "vexx*"} <= set(lexicon.terms) and (len(lexicon.terms) > 400) == tail
+    if tail:
+        return
+    truth = {i: t for i, _, t in labels if i < 10_000}
+    out = [(truth[r.doc_id], r.predicted) for r in toxicity.scores(frame, known).collect() if r.doc_id in truth and r.held_out]
+    assert sum(a == b for a, b in out) >= 0.97 * len(out) and len(out) > 200
+
+
 # ---- url filters
 
 def at(day, hour=0):
