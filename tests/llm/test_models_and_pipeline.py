@@ -116,6 +116,28 @@ def test_quality_verdicts(spark):
     assert quality_model.keep_good(docs, labels_of(spark, [])).count() == 308
 
 
+def test_threshold_by_labels_of_both_kinds():
+    step = np.array([1000, 2000, 2050, 2100, 3000])
+    chosen = quality_model.threshold(step, np.array([500, 499, 0, 1, 0]), np.array([1, 0, 40, 0, 9]), 0.999)
+    assert chosen == 2.025  # one trusted document is given up for forty rejected ones
+    assert quality_model.threshold(step[:2], np.array([500, 500]), np.array([0, 0]), 0.999) == 2.2
+    # a threshold never gives up over LEAST_KEPT of the trusted
+    assert quality_model.threshold(step[:2], np.array([50, 50]), np.array([0, 900]), 0.999) >= 2
+
+
+def test_recall_of_rejected_documents(spark):
+    """At sf0.1, on labelled documents that neither the model nor the threshold has seen, or for trusted ones, all."""
+    folder = FOLDER.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality_model.verdicts(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels.select("doc_id", "quality"), "doc_id")
+    rows = [(r.quality, r.kept) for r in got.select("doc_id", "quality", "kept").collect() if r.quality == 1 or not held(r.doc_id)]
+    dropped = [not kept for quality, kept in rows if quality == 0]
+    good = [kept for quality, kept in rows if quality == 1]
+    print("rejected", sum(dropped), len(dropped), "kept good", sum(good), len(good))
+    assert sum(dropped) >= 0.93 * len(dropped) and len(dropped) > 400
+    assert sum(good) >= 0.985 * len(good)
+
+
 # ---- toxicity
 
 def test_label_model_finds_accuracies_and_copied_voters():
