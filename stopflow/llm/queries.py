@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, quality_model, quality_rules, sharding, simhash, toxicity, url_filters, warc
+from . import ann, bpe, hard_negatives, mixing, periodic_runs, quality_model, quality_rules, sharding, simhash, substrings, toxicity, url_filters, warc
 from .common import table
 
 QUERIES = {}
@@ -76,3 +76,29 @@ def op5_url_filters(spark, sf_dir):
 
 
 ORACLES["op5_url_filters"] = url_filters.ORACLE
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+                        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = substrings.ORACLE
