@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import spatial as G
 from ..operators import track as K
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from ..streaming import carry
+from ..streaming import stateful as S
 from .base import Tables, query, r
 from .places import COORDS, coords, sql_bearing, sql_hav
 
@@ -177,19 +179,36 @@ def train_phases(t):
     return K.with_phase(placed, "arclength_m", "s_prev", "s_next").select("vec_id", "phase", rd("progress", 6).alias("progress"))
 
 
-@query("smoothed_positions", f"""WITH RECURSIVE x AS (SELECT vec_id, label, vec_id * 10 + embedding[3]::DOUBLE * 100 AS z, vec_id * 10000 AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+SMOOTHED = f"""WITH RECURSIVE x AS (SELECT vec_id, label, vec_id * 10 + embedding[3]::DOUBLE * 100 AS z, vec_id * 10000 AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
   f AS (SELECT label, vec_id, rn, z AS s, 0.0::DOUBLE AS v, 0.0::DOUBLE AS a, t FROM x WHERE rn = 1
     UNION ALL SELECT x.label, x.vec_id, x.rn, CASE WHEN jump THEN x.z ELSE p + 0.35 * off END, CASE WHEN jump THEN 0 ELSE least(20, greatest(-20, pv + 0.15 / dt * off)) END,
       CASE WHEN jump THEN 0 ELSE least(1, greatest(-1, pa + 0.1 / (dt * dt) * off)) END, x.t
     FROM f JOIN x ON x.label = f.label AND x.rn = f.rn + 1, LATERAL (SELECT (x.t - f.t) / 1000.0 AS dt), LATERAL (SELECT f.s + f.v * dt + 0.5 * f.a * dt * dt AS p, least(20, greatest(-20, f.v + f.a * dt)) AS pv, least(1, greatest(-1, f.a)) AS pa),
       LATERAL (SELECT x.z - p AS off), LATERAL (SELECT abs(off) > greatest(5000, 20 * dt * 1.5) AS jump))
-  SELECT vec_id, label, {r('s', 3)} AS s, {r('v', 4)} AS v, {r('a', 5)} AS a FROM f""", "L9")
-def smoothed_positions(t):
-    rows = t.embeddings.select("vec_id", "label", (F.col("vec_id") * 10 + F.col("embedding")[2].cast("double") * 100).alias("z"), (F.col("vec_id") * 10000).alias("t"))
-    out = K.smooth(rows, "label", "vec_id", "z", "t", F.floor(F.col("vec_id") / 250))
+  SELECT vec_id, label, {r('s', 3)} AS s, {r('v', 4)} AS v, {r('a', 5)} AS a FROM f"""
+
+
+def measured(embeddings):
+    return embeddings.select("vec_id", "label", (F.col("vec_id") * 10 + F.col("embedding")[2].cast("double") * 100).alias("z"), (F.col("vec_id") * 10000).alias("t"))
+
+
+def rounded(out):
     return out.select("vec_id", "label", rd("s", 3).alias("s"), rd("v", 4).alias("v"), rd("a", 5).alias("a"))
 
 
+@query("smoothed_positions", SMOOTHED, "L9")
+def smoothed_positions(t):
+    return rounded(K.smooth(measured(t.embeddings), "label", "vec_id", "z", "t", F.floor(F.col("vec_id") / 250)))
+
+
+@query("streamed_smoothed_positions", SMOOTHED, "L9")
+def streamed_smoothed_positions(t):
+    path, check = scratch_path(t.spark, "smoothed"), scratch_path(t.spark, "check")
+    stream = S.smooth_stream(measured(t.stream("embeddings")), path, check, "label", "vec_id", "z", "t", trigger={"availableNow": True})
+    stream.awaitTermination()
+    return rounded(carry.read_parts(t.spark, path, "label int, vec_id bigint, s double, v double, a double, restarted boolean"))
+
+
 # ---- range joins and clusters ----
 
 

@@ -10,6 +10,7 @@ from ..sources import schemas, sinks
 from ..streaming import carry
 from ..streaming import facts as X
 from ..streaming import lifecycle as Z
+from ..streaming import stateful as S
 from .base import ARRIVALS, Tables, arrivals_of, query, r, rl
 from .service import BUNCH, EVENTS, GAP, METRIC_COLS, METRICS, OBSERVED, ZONE, observed, sql_local
 
@@ -284,6 +285,41 @@ def marker_statuses(t: Tables):
     return out.select("trip_id", "status")
 
 
+# Markers of users that act: missed after an hour, dim after two, fading after ten, gone after a day.
+MARKER_SECONDS = {"missed_seconds": 3600, "dim_seconds": 7200, "cull_seconds": 36000, "forget_seconds": 86400}
+MARKER_CHANGES = """WITH x AS (SELECT user_id AS trip_id, floor(epoch_us(ts) / 1000.0)::BIGINT AS ms, event_id, event_type <> 'signup' AS shown, user_id % 10 = 0 AS at_last FROM events),
+  clock AS (SELECT max(ms) AS now FROM x),
+  n AS (SELECT *, coalesce(lead(ms) OVER w, now) - ms AS gap, lag(event_id) OVER w IS NULL AS first FROM x, clock WINDOW w AS (PARTITION BY trip_id ORDER BY ms, event_id)),
+  c AS (SELECT trip_id, 'removed' AS status, ms + 3600001 AS at_ms FROM n WHERE NOT shown AND gap > 3600000
+    UNION ALL SELECT trip_id, 'fading', ms + 3600001 FROM n WHERE shown AND at_last AND gap > 3600000
+    UNION ALL SELECT trip_id, 'stale-dim', ms + 7200001 FROM n WHERE shown AND NOT at_last AND gap > 7200000
+    UNION ALL SELECT trip_id, 'fading', ms + 36000001 FROM n WHERE shown AND NOT at_last AND gap > 36000000
+    UNION ALL SELECT trip_id, 'removed', ms + 86400001 FROM n WHERE shown AND gap > 86400000),
+  changed AS (SELECT *, lag(CASE WHEN NOT shown OR at_last THEN gap > 3600000 ELSE gap > 7200000 END) OVER (PARTITION BY trip_id ORDER BY ms, event_id) AS before FROM n)
+  SELECT trip_id, 'active' AS status, ms AS at_ms FROM changed WHERE first OR before UNION ALL SELECT * FROM c"""
+
+
+def markers(events):
+    return events.select(F.col("user_id").alias("trip_id"), "ts", F.col("event_id").alias("arrival_id"), F.col("event_type").alias("route_id"))
+
+
+def shown_and_last():
+    return F.col("route_id") != "signup", F.col("trip_id") % 10 == 0
+
+
+@query("marker_changes", MARKER_CHANGES, "I8")
+def marker_changes(t: Tables):
+    rows = markers(t.events)
+    return S.marker_changes(rows, rows.agg(F.unix_millis(F.max("ts"))).scalar(), *shown_and_last(), **MARKER_SECONDS)
+
+
+@query("streamed_marker_changes", MARKER_CHANGES, "I8")
+def streamed_marker_changes(t: Tables):
+    path, check = paths(t, "markers", "check")
+    finish(S.marker_stream(markers(t.stream("events")), path, check, *shown_and_last(), **MARKER_SECONDS, trigger=ONCE))
+    return carry.read_parts(t.spark, path, f"trip_id bigint, {S.TRANSITION}").drop("batch_id")
+
+
 @query("rolling_anomaly_store", """WITH x AS (SELECT event_type || '#' || event_id AS pk, floor(epoch_us(ts) / 1000.0)::BIGINT AS timestamp FROM events) SELECT * FROM x WHERE timestamp > (SELECT max(timestamp) FROM x) - 24 * 3600000 ORDER BY timestamp DESC, pk LIMIT 200""", "I10")
 def rolling_anomaly_store(t: Tables):
     path, check = paths(t, "store", "check")

@@ -165,26 +165,47 @@ def fewest_hop_paths(t):
     return N.fewest_hops(pairs(graph[0]), *graph, max_transfers=2).select("origin", "destination", "hops", "seconds", "transfers")
 
 
-ENUM = f"""{RIDES}, one AS MATERIALIZED (SELECT from_station AS origin, to_station, to_route, seconds, (kind = 'transfer')::INT AS transfers, [from_station || ':' || from_route, to_station || ':' || to_route] AS path FROM edges),
-  two AS MATERIALIZED (SELECT origin, e.to_station, e.to_route, o.seconds + e.seconds AS seconds, transfers + (kind = 'transfer')::INT AS transfers, list_append(path, e.to_station || ':' || e.to_route) AS path
-    FROM one o JOIN edges e ON e.from_station = o.to_station AND e.from_route = o.to_route WHERE NOT list_contains(path, e.to_station || ':' || e.to_route)),
-  found AS (SELECT * FROM one UNION ALL SELECT * FROM two), paths AS MATERIALIZED (SELECT origin, to_station AS destination, seconds, transfers, path FROM found WHERE transfers <= 2 AND (origin, to_station) IN (SELECT (from_station, to_station) FROM rides))"""
-
-
-@query("enumerated_paths", f"WITH {ENUM} SELECT origin, destination, seconds, transfers, array_to_string(path, '>') AS path, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, path)::INT AS rank FROM paths) WHERE rank <= 5", "K5")
+def sql_fastest(k, per_label, group):
+    """Exact enumeration of the simple paths that can be among the best: an upper bound per pair from the best ``per_label`` paths per
+    state (real paths, so the k-th of them bounds the k-th fastest), then all simple paths whose least remaining seconds stay within it."""
+    step = "l.seconds + e.seconds AS seconds, l.transfers + (kind = 'transfer')::INT AS transfers, list_append(l.path, e.to_station || ':' || e.to_route) AS path"
+    simple = "NOT list_contains(l.path, e.to_station || ':' || e.to_route) AND l.transfers + (kind = 'transfer')::INT <= 2"
+    out = ["k0 AS MATERIALIZED (SELECT station_id AS origin, station_id, route_id, 0::BIGINT AS seconds, 0 AS transfers, [station_id || ':' || route_id] AS path FROM nodes)",
+           "b0 AS MATERIALIZED (SELECT station_id AS destination, station_id, route_id, 0 AS used, 0::BIGINT AS rest FROM nodes)"]
+    for i in range(6):
+        out.append(f"""k{i + 1} AS MATERIALIZED (SELECT * FROM (SELECT * FROM k{i} UNION SELECT l.origin, e.to_station, e.to_route, {step} FROM k{i} l JOIN edges e ON e.from_station = l.station_id AND e.from_route = l.route_id WHERE {simple})
+          QUALIFY row_number() OVER (PARTITION BY origin, station_id, route_id, transfers ORDER BY seconds, path) <= {per_label})""")
+    for i in range(14):
+        out.append(f"""b{i + 1} AS MATERIALIZED (SELECT destination, station_id, route_id, used, min(rest) AS rest FROM (SELECT * FROM b{i} UNION ALL
+          SELECT destination, e.from_station, e.from_route, used + (kind = 'transfer')::INT, rest + e.seconds FROM b{i} b JOIN edges e ON e.to_station = b.station_id AND e.to_route = b.route_id WHERE used + (kind = 'transfer')::INT <= 2) GROUP BY ALL)""")
+    return f"""{RIDES}, {", ".join(out)},
+  rest AS MATERIALIZED (SELECT destination, station_id, route_id, l AS spent, min(b14.rest) AS rest FROM b14, range(3) t(l) WHERE used <= 2 - l GROUP BY ALL),
+  wanted AS (SELECT DISTINCT from_station AS origin, to_station AS destination FROM rides),
+  grouped AS (SELECT origin, station_id AS destination, {group} AS g, min(seconds) AS seconds FROM k6 l WHERE len(path) > 1 GROUP BY ALL),
+  lim AS MATERIALIZED (SELECT * FROM (SELECT w.origin, w.destination, max(seconds) AS most, count(*) AS n FROM wanted w JOIN (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY origin, destination ORDER BY seconds) <= {k}) USING (origin, destination) GROUP BY ALL)),
+  open AS (SELECT origin, destination, CASE WHEN n < {k} THEN 1000000000 ELSE most END AS most FROM lim),
+  walk AS (SELECT o.origin, o.destination, most, s.station_id, s.route_id, s.seconds, s.transfers, s.path FROM open o JOIN k0 s ON s.origin = o.origin
+    UNION ALL SELECT l.origin, l.destination, l.most, e.to_station, e.to_route, {step} FROM walk l JOIN edges e ON e.from_station = l.station_id AND e.from_route = l.route_id
+      JOIN rest r ON r.destination = l.destination AND r.station_id = e.to_station AND r.route_id = e.to_route AND r.spent = l.transfers + (kind = 'transfer')::INT
+      WHERE {simple} AND len(l.path) <= 50 AND l.seconds + e.seconds + r.rest <= l.most),
+  paths AS MATERIALIZED (SELECT origin, destination, seconds, transfers, path, {group} AS g FROM walk l WHERE station_id = destination AND len(path) > 1)"""
+
+
+ROUTES = "array_to_string(list_filter(list_transform(l.path, lambda x: split_part(x, ':', 2)), lambda x, i: NOT list_contains(list_transform(l.path, lambda y: split_part(y, ':', 2))[1:i - 1], x)), '>')"
+
+
+@query("enumerated_paths", f"WITH RECURSIVE {sql_fastest(5, 5, 'l.path')} SELECT origin, destination, seconds, transfers, array_to_string(path, '>') AS path, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, path)::INT AS rank FROM paths) WHERE rank <= 5", "K5")
 def enumerated_paths(t):
     graph = parts(t)
-    out = N.ranked_paths(N.simple_paths(pairs(graph[0]), *graph, max_hops=2, max_transfers=2), 5)
+    out = N.fastest_paths(pairs(graph[0]), *graph, k=5, max_transfers=2)
     return out.select("origin", "destination", "seconds", "transfers", path_text().alias("path"), "rank")
 
 
-@query("distinct_route_trips", f"""WITH {ENUM}, tagged AS (SELECT *, list_transform(path, lambda x: split_part(x, ':', 2)) AS rs FROM paths),
-  named AS (SELECT *, array_to_string(list_filter(rs, lambda x, i: NOT list_contains(rs[1:i - 1], x)), '>') AS routes FROM tagged),
-  s AS (SELECT origin, destination, routes, min(seconds) AS seconds, arg_min(array_to_string(path, '>'), (seconds, path)) AS path FROM named GROUP BY ALL)
+@query("distinct_route_trips", f"""WITH RECURSIVE {sql_fastest(3, 5, ROUTES)}, s AS (SELECT origin, destination, g AS routes, min(seconds) AS seconds, arg_min(array_to_string(path, '>'), (seconds, path)) AS path FROM paths GROUP BY ALL)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY seconds, routes)::INT AS rank FROM s) WHERE rank <= 3""", "K6")
 def distinct_route_trips(t):
     graph = parts(t)
-    out = N.distinct_route_trips(N.simple_paths(pairs(graph[0]), *graph, max_hops=2, max_transfers=2), 3)
+    out = N.fastest_paths(pairs(graph[0]), *graph, k=3, max_transfers=2, distinct_routes=True)
     return out.select("origin", "destination", "routes", "seconds", path_text().alias("path"), "rank")
 
 
