@@ -65,8 +65,8 @@ def marker_steps(missed_ms: int, dim_ms: int, cull_ms: int, forget_ms: int | Non
 class Markers(StatefulProcessor):
     """Status of one marker: the newest sight is the state, and a timer stands at its next change."""
 
-    def __init__(self, steps, key: str):
-        self.steps, self.key = steps, key
+    def __init__(self, steps):
+        self.steps = steps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -114,14 +114,14 @@ class Markers(StatefulProcessor):
             marker = [ms, tie, bool(shown), bool(at_last), 0, timer]
         # a timer that was set for an earlier sight comes too early, and is set anew then
         self._keep(marker)
-        yield pd.DataFrame(out, columns=[self.key, "status", "at_ms"])
+        yield pd.DataFrame(out, columns=["k", "status", "at_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         marker, out = self._load(), []
         if marker and marker[5] == expiredTimerInfo.getExpiryTimeInMs():
             marker[5] = -1
             self._keep(self._advance(key, marker, timerValues.getCurrentWatermarkInMs(), out))
-        yield pd.DataFrame(out, columns=[self.key, "status", "at_ms"])
+        yield pd.DataFrame(out, columns=["k", "status", "at_ms"])
 
     def close(self) -> None:
         pass
@@ -138,12 +138,12 @@ def marker_stream(sights: DataFrame, path: str, checkpoint: str, shown: Column,
     than the watermark, or than the newest of their trip in an earlier batch, come too late and change nothing.
     """
     steps = marker_steps(*(int(s * 1000) for s in (missed_seconds, dim_seconds, cull_seconds)), None if forget_seconds is None else int(forget_seconds * 1000))
-    rows = sights.withWatermark(ts, watermark).select(trip, ts, F.unix_millis(ts).alias("ms"), F.col(tie).cast("bigint").alias("tie"),
+    rows = sights.withWatermark(ts, watermark).select(F.col(trip).alias("k"), F.col(ts).alias("seen"), F.unix_millis(ts).alias("ms"), F.col(tie).cast("bigint").alias("tie"),
                                                       F.coalesce(shown, F.lit(False)).alias("shown"), F.coalesce(at_last_stop, F.lit(False)).alias("at_last"))
-    rows = rows.filter(F.col(trip).isNotNull() & F.col(ts).isNotNull())
-    kind = rows.schema[trip].dataType.simpleString()
-    made = rows.groupBy(trip).transformWithStateInPandas(Markers(steps, trip), f"`{trip}` {kind}, {TRANSITION}", "Append", "EventTime")
-    return run_parts(made, path, checkpoint, trigger)
+    rows = rows.filter(F.col("k").isNotNull() & F.col("seen").isNotNull())
+    kind = rows.schema["k"].dataType.simpleString()
+    made = rows.groupBy("k").transformWithStateInPandas(Markers(steps), f"k {kind}, {TRANSITION}", "Append", "EventTime")
+    return run_parts(made.withColumnRenamed("k", trip), path, checkpoint, trigger)
 
 
 def marker_changes(sights: DataFrame, now_ms: Column, shown: Column, at_last_stop: Column, missed_seconds: float = 30, dim_seconds: float = 120,
@@ -177,19 +177,19 @@ def marker_statuses(changes: DataFrame, trip: str = "trip_id") -> DataFrame:
 class Smoother(StatefulProcessor):
     """The filter's state per key: arclength, speed, acceleration, time."""
 
-    def __init__(self, settings: tuple, key: str, order: str):
-        self.settings, self.key, self.order = settings, key, order
+    def __init__(self, settings: tuple):
+        self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("filter", "s double, v double, a double, t double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        points = _frame(rows).sort_values("_order", kind="stable")
+        points = _frame(rows).sort_values("o", kind="stable")
         before = tuple(self.state.get()) if self.state.exists() else None
-        made, after = smooth_steps(points["_z"].tolist(), points["_ms"].tolist(), before, *self.settings)
+        made, after = smooth_steps(points["z"].tolist(), points["ms"].tolist(), before, *self.settings)
         self.state.update(tuple(float(x) for x in after))
         s, v, a, again = zip(*made, strict=True)
-        yield pd.DataFrame({self.key: [key[0]] * len(made), self.order: points["_order"].to_numpy(), "s": s, "v": v, "a": a, "restarted": again})
+        yield pd.DataFrame({"k": [key[0]] * len(made), "o": points["o"].to_numpy(), "s": s, "v": v, "a": a, "restarted": again})
 
     def close(self) -> None:
         pass
@@ -203,8 +203,8 @@ def smooth_stream(points: DataFrame, path: str, checkpoint: str, key: str, order
     batch than rows that follow them are taken as measured then.
     """
     rows = points.filter(F.col(key).isNotNull() & F.col(measurement).isNotNull()).select(
-        key, F.col(order).alias("_order"), F.col(measurement).cast("double").alias("_z"), F.col(time_ms).cast("bigint").alias("_ms"))
-    types = [rows.schema[c].dataType.simpleString() for c in (key, "_order")]
-    made = rows.groupBy(key).transformWithStateInPandas(Smoother((alpha, beta, gamma, vmax, amax, jump), key, order),
-                                                        f"`{key}` {types[0]}, `{order}` {types[1]}, s double, v double, a double, restarted boolean", "Append", "None")
-    return run_parts(made, path, checkpoint, trigger)
+        F.col(key).alias("k"), F.col(order).alias("o"), F.col(measurement).cast("double").alias("z"), F.col(time_ms).cast("bigint").alias("ms"))
+    types = [rows.schema[c].dataType.simpleString() for c in ("k", "o")]
+    made = rows.groupBy("k").transformWithStateInPandas(Smoother((alpha, beta, gamma, vmax, amax, jump)),
+                                                        f"k {types[0]}, o {types[1]}, s double, v double, a double, restarted boolean", "Append", "None")
+    return run_parts(made.withColumnsRenamed({"k": key, "o": order}), path, checkpoint, trigger)

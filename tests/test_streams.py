@@ -12,6 +12,7 @@ from stopflow.sources import sinks
 from stopflow.streaming import carry
 from stopflow.streaming import facts as X
 from stopflow.streaming import lifecycle as Z
+from stopflow.streaming import stateful as S
 
 ONCE = {"availableNow": True}
 LIMITS = {"bunch": 3600, "gap": 86400, "max_headway": None}
@@ -214,3 +215,85 @@ def test_listed_trips_stream(spark, torn, new_path):
     got = carry.read_parts(spark, out, "k bigint, pk string, timestamp bigint, stops_served bigint, duration_seconds bigint").select(want.columns)
     assert rows(got) == rows(want)
     assert want.filter("pk LIKE 'TRIP_END%'").count() > 10
+
+
+# ---- state store ----
+
+
+def sights(events):
+    return events.select(F.col("user_id").alias("trip_id"), "ts", F.col("event_id").alias("arrival_id"), F.col("event_type").alias("route_id"))
+
+
+def marked():
+    return F.col("route_id") != "signup", F.col("trip_id") % 10 == 0
+
+
+MARKS = {"missed_seconds": 3600, "dim_seconds": 7200, "cull_seconds": 36000, "forget_seconds": 86400}
+
+
+@pytest.mark.parametrize("cuts", [(1, 8, 16, 24, 32), (1, 2, 3, 20, 32), (1, 32)])
+def test_markers_do_not_depend_on_batches(spark, tmp_path, new_path, cuts):
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{FOLDER}/events.parquet")
+    path, out = str(tmp_path / "cut"), new_path("out")
+    for low, high in zip(cuts, cuts[1:]):
+        events.filter(F.dayofmonth("ts").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+    S.marker_stream(sights(stream), out, new_path("check"), *marked(), **MARKS, trigger=ONCE).awaitTermination()
+    got = carry.read_parts(spark, out, f"trip_id bigint, {S.TRANSITION}").drop("batch_id")
+    want = S.marker_changes(sights(events), events.agg(F.unix_millis(F.max("ts"))).scalar(), *marked(), **MARKS)
+    assert rows(got) == rows(want)
+
+
+def test_markers_change_without_a_row_of_their_own(spark, tmp_path, new_path):
+    """Trip 1 is seen once; the rows of trip 2 alone move the clock on."""
+    path, out, check = str(tmp_path / "seen"), new_path("out"), new_path("check")
+    schema = "trip_id bigint, ts timestamp, arrival_id bigint, shown boolean, last boolean"
+
+    def feed(*rows_):
+        spark.createDataFrame(list(rows_), "trip_id bigint, s long, arrival_id bigint, shown boolean, last boolean").selectExpr(
+            "trip_id", "timestamp_seconds(s) AS ts", "arrival_id", "shown", "last").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        S.marker_stream(stream, out, check, F.col("shown"), F.col("last"), 30, 120, 600, 900, trigger=ONCE).awaitTermination()
+        found = carry.read_parts(spark, out, f"trip_id bigint, {S.TRANSITION}").filter("trip_id <> 2").select("trip_id", "status", "at_ms")
+        return {(r.trip_id, r.status, r.at_ms) for r in found.collect()}
+
+    seen = feed((1, 1000, 1, True, False), (3, 1000, 2, False, False), (4, 1000, 3, True, True), (2, 1010, 4, True, False))
+    first = {(1, "active", 1_000_000), (3, "active", 1_000_000), (4, "active", 1_000_000)}
+    assert seen == first
+    second = first | {(3, "removed", 1_030_001), (4, "fading", 1_030_001)}
+    assert feed((2, 1031, 5, True, False)) == second
+    third = second | {(1, "stale-dim", 1_120_001)}
+    assert feed((2, 1300, 6, True, False)) == third
+    fourth = third | {(1, "fading", 1_600_001), (1, "removed", 1_900_001), (4, "removed", 1_900_001)}
+    assert feed((2, 5000, 7, True, False)) == fourth
+    assert feed((1, 5001, 8, True, False)) == fourth | {(1, "active", 5_001_000)}
+
+
+def test_newest_marker_status_equals_the_batch_form(spark, new_path):
+    """Without forgetting, the newest change per trip is what the batch operator says of the last cycle."""
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{FOLDER}/events.parquet")
+    known = sights(events)
+    now = events.agg(F.max("ts")).scalar()
+    got = S.marker_statuses(S.marker_changes(known, F.unix_millis(now), *marked(), 3600, 7200, 36000))
+    state = known.groupBy("trip_id").agg(F.max("ts").alias("last_seen_at"), F.max_by("route_id", F.struct("ts", "arrival_id")).alias("route_id"))
+    current = known.filter(F.unix_millis("ts") >= F.unix_millis(now) - 3_600_000)
+    want = Z.marker_status(state, current, now, *marked(), 7200, 36000).select("trip_id", "status")
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("cuts", [(0, 100, 250, 10_000), (0, 1, 2, 499, 10_000), (0, 10_000)])
+def test_smoothing_equals_one_pass(spark, tmp_path, new_path, cuts):
+    from stopflow.operators import track as K
+    base = spark.read.schema(SCHEMAS["embeddings"]).parquet(f"{FOLDER}/embeddings.parquet")
+    jump = F.when(F.col("vec_id") % 97 == 0, 50_000).otherwise(0)
+    points = base.select("vec_id", "label", (F.col("vec_id") * 10 + F.col("embedding")[2].cast("double") * 100 + jump).alias("z"), (F.col("vec_id") * 10000).alias("t"))
+    path, out = str(tmp_path / "points"), new_path("out")
+    for low, high in zip(cuts, cuts[1:]):
+        points.filter((F.col("vec_id") >= low) & (F.col("vec_id") < high)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    S.smooth_stream(stream, out, new_path("check"), "label", "vec_id", "z", "t", trigger=ONCE).awaitTermination()
+    cols = ["label", "vec_id", "s", "v", "a", "restarted"]
+    got = carry.read_parts(spark, out, "label int, vec_id bigint, s double, v double, a double, restarted boolean").select(cols)
+    want = K.smooth(points, "label", "vec_id", "z", "t", F.floor(F.col("vec_id") / 250)).select(cols)
+    assert rows(got) == rows(want)
+    assert got.filter("restarted").count() > 10
