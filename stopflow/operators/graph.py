@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import js_round_long
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .ordered import top_per_key
 
 # ---- building -------------------------------------------------------------------
@@ -234,24 +234,34 @@ def fewest_hops(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: D
 PAIR = ["origin", "destination"]
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back in the shared folder: cuts lineage, and joins know the table's true size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remaining_seconds(destinations: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, max_transfers: int) -> DataFrame:
     """Least seconds from every node to each destination with at most ``left`` transfers: destination, station_id, route_id, left, rest.
 
-    One backward search serves all destinations: rides are turned round, transfers go both ways. Rounds carry only the labels
+    One backward search serves all destinations: rides are turned round, transfers go both ways. Rounds extend only the labels
     that improved, and end when none does.
     """
     back = rides.select(F.col("to_station").alias("from_station"), F.col("from_station").alias("to_station"), "route_id", "seconds")
     state = ["destination", "station_id", "route_id", "left"]
     front = destinations.select("destination").distinct().join(nodes, F.col("destination") == F.col("station_id")).select(
         "destination", "station_id", "route_id", F.lit(0).alias("left"), F.lit(0).cast("bigint").alias("rest"))
-    front = best = cut_lineage(front)
-    while not front.isEmpty():
-        moved = _steps(front, back, members, nodes)
+    best = _stored(front.withColumn("new", F.lit(True)), "graph-rest")
+    while True:
+        moved = _steps(best.filter("new").drop("new"), back, members, nodes)
         moved = moved.withColumn("left", F.col("left") + (F.col("step_kind") == "transfer").cast("int")).filter(F.col("left") <= max_transfers)
         offered = moved.select("destination", F.col("to_station").alias("station_id"), F.col("to_route").alias("route_id"), "left",
-                               (F.col("rest") + F.col("step_seconds")).alias("rest")).groupBy(*state).agg(F.min("rest").alias("_new"))
-        front = cut_lineage(offered.join(best, state, "left").filter(F.col("rest").isNull() | (F.col("_new") < F.col("rest"))).select(*state, F.col("_new").alias("rest")))
-        best = cut_lineage(best.join(front.select(*state), state, "left_anti").unionByName(front))
+                               (F.col("rest") + F.col("step_seconds")).alias("rest"), F.lit(True).alias("new"))
+        # a tie keeps the label that is there
+        both = best.withColumn("new", F.lit(False)).unionByName(offered)
+        best = _stored(both.groupBy(*state).agg(F.min(F.struct("rest", "new")).alias("b")).select(*state, "b.*"), "graph-rest")
+        if best.filter("new").isEmpty():
+            break
     allowed = best.withColumn("left", F.explode(F.sequence(F.col("left"), F.lit(max_transfers))))
     return allowed.groupBy(*state).agg(F.min("rest").alias("rest"))
 
@@ -261,59 +271,57 @@ def _route_list() -> Column:
 
 
 def fastest_paths(pairs: DataFrame, rides: DataFrame, members: DataFrame, nodes: DataFrame, k: int, max_hops: int = 50, max_transfers: int = 3,
-                  distinct_routes: bool = False) -> DataFrame:
+                  distinct_routes: bool = False, width: int = 4) -> DataFrame:
     """The ``k`` fastest simple paths per pair, of up to ``max_hops`` edges: origin, destination, routes, seconds, transfers, path, rank.
 
     A path starts at any node of the origin, ends at one of the destination, and visits no node twice. With ``distinct_routes``
     only the fastest path of each combination of routes (in order of first use) counts. Ties go to the smaller path (or combination).
 
     Best-first search of all pairs together. A started path is bounded below by its seconds plus the least seconds that remain
-    (``remaining_seconds``), so the started and the finished paths of a pair, ordered by bound, say what to do: those among the first k
-    that are not finished are extended by one edge each. A pair is done when its first k are finished, and started paths beyond its
-    k-th finished one are dropped. So a pair extends about k paths a round and holds k times its nodes' edges, whatever the number of
-    paths in the graph. Each round is written to the shared folder. Pairs without a path give no rows.
+    (``remaining_seconds``). Each round orders the started and finished paths of a pair by bound, and extends by one edge the started ones among
+    the first ``width`` times k (and all as good as the k-th). Started paths beyond the k-th finished one are dropped, and a pair is done
+    when none is left. So a pair extends about width * k paths a round, whatever the number of paths in the graph. Each
+    round is written to the shared folder. Pairs without a path give no rows.
     """
-    wanted = cut_lineage(pairs.select(*PAIR).distinct())
-    rest = cut_lineage(remaining_seconds(wanted.select("destination"), rides, members, nodes, max_transfers))
+    rides, members, nodes = (_stored(x, "graph") for x in (rides, members, nodes))
+    wanted = _stored(pairs.select(*PAIR).distinct(), "graph-pairs")
+    rest = _stored(remaining_seconds(wanted.select("destination"), rides, members, nodes, max_transfers), "graph-rest")
     held = [*PAIR, "done", "station_id", "route_id", "seconds", "transfers", "path", "bound"]
+    group = F.when(F.col("done"), _route_list()) if distinct_routes else F.lit(None).cast("string")
+    whole, by_kind = Window.partitionBy(*PAIR), Window.partitionBy(*PAIR, "done")
 
     def bounded(started: DataFrame) -> DataFrame:
         """With the lower bound of the whole path; those that can't reach their destination go."""
         left = F.lit(max_transfers) - F.col("transfers")
         return started.withColumn("left", left).join(rest, ["destination", "station_id", "route_id", "left"]).withColumn("bound", F.col("seconds") + F.col("rest"))
 
+    def judged(table: DataFrame) -> DataFrame:
+        """The first k finished paths, the started ones that may still be among them, and which of those to extend now."""
+        rows = table.repartition(*PAIR).withColumn("_group", group)
+        if distinct_routes:
+            first = F.row_number().over(Window.partitionBy(*PAIR, "done", "_group").orderBy("seconds", "path"))
+            rows = rows.withColumn("_first", first).filter("NOT done OR _first = 1")
+        rows = rows.withColumn("_at", F.row_number().over(by_kind.orderBy("seconds", "_group", "path"))).filter(F.expr("NOT done") | (F.col("_at") <= k))
+        rows = rows.withColumn("_last", F.max(F.when(F.col("done") & (F.col("_at") == k), F.col("seconds"))).over(whole))
+        rows = rows.filter(F.col("done") | F.col("_last").isNull() | (F.col("bound") <= F.col("_last")))
+        rows = rows.withColumn("_order", F.row_number().over(whole.orderBy("bound")))
+        limit = F.max(F.when(F.col("_order") == k, F.col("bound"))).over(whole)
+        return rows.select(*held, (~F.col("done") & ((F.col("_order") <= width * k) | (F.col("bound") <= limit))).alias("go"))
+
     begun = wanted.join(nodes, F.col("origin") == F.col("station_id")).select(
         *PAIR, "station_id", "route_id", F.lit(0).cast("bigint").alias("seconds"), F.lit(0).alias("transfers"), _start_path().alias("path"))
-    table = cut_lineage(bounded(begun).withColumn("done", F.lit(False)).select(held))
-    group = _route_list() if distinct_routes else F.col("path")
-    by_bound = Window.partitionBy(*PAIR).orderBy("bound")
-    whole = Window.partitionBy(*PAIR)
-    while True:
-        ranked = table.withColumn("_at", F.row_number().over(by_bound)).withColumn("_limit", F.max(F.when(F.col("_at") == k, F.col("bound"))).over(whole))
-        marked = cut_lineage(ranked.withColumn("_go", ~F.col("done") & (F.col("_limit").isNull() | (F.col("bound") <= F.col("_limit")))).drop("_at", "_limit"))
-        active = marked.filter("_go").select(*[c for c in held if c not in ("done", "bound")])
-        if active.isEmpty():
-            break
-        moved = _steps(active.filter(F.size("path") <= max_hops), rides, members, nodes)
+    table = _stored(judged(bounded(begun).withColumn("done", F.lit(False)).select(held)), "graph-paths")
+    while not table.filter("go").isEmpty():
+        moved = _steps(table.filter(F.col("go") & (F.size("path") <= max_hops)).drop("go", "done", "bound"), rides, members, nodes)
         new = ~F.exists("path", lambda n: (n["station_id"] == F.col("to_station")) & (n["route_id"] == F.col("to_route")))
         moved = moved.filter(new).withColumn("transfers", F.col("transfers") + (F.col("step_kind") == "transfer").cast("int")).filter(F.col("transfers") <= max_transfers)
         moved = bounded(moved.select(*PAIR, F.col("to_station").alias("station_id"), F.col("to_route").alias("route_id"), (F.col("seconds") + F.col("step_seconds")).alias("seconds"),
                                      "transfers", _longer_path().alias("path")))
         # a path that ends at its destination is finished, and may also go on from there
         finished = F.when(F.col("station_id") == F.col("destination"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-        moved = moved.withColumn("done", F.explode(finished)).select(held)
-        table = marked.filter("NOT _go").select(held).unionByName(moved)
-        single = table.filter("done").withColumn("_group", group).withColumn(
-            "_in_group", F.row_number().over(Window.partitionBy(*PAIR, "_group").orderBy("seconds", "path"))).filter("_in_group = 1")
-        order = ["seconds", "_group" if distinct_routes else "path"]
-        first = single.withColumn("_at", F.row_number().over(Window.partitionBy(*PAIR).orderBy(*order))).filter(F.col("_at") <= k)
-        first = cut_lineage(first.select(*held, "_at"))
-        last = first.filter(F.col("_at") == k).select(*PAIR, F.col("bound").alias("_last"))
-        open_ = table.filter("NOT done").join(last, PAIR, "left").filter(F.col("_last").isNull() | (F.col("bound") <= F.col("_last")))
-        table = cut_lineage(first.select(held).unionByName(open_.select(held)))
-    found = marked.filter("done").withColumn("routes", _route_list())
-    order = ["seconds", "routes" if distinct_routes else "path"]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy(*order)))
+        table = _stored(judged(table.filter("NOT go").select(held).unionByName(moved.withColumn("done", F.explode(finished)).select(held))), "graph-paths")
+    order = ["seconds", "routes", "path"] if distinct_routes else ["seconds", "path"]
+    ranked = table.withColumn("routes", _route_list()).withColumn("rank", F.row_number().over(whole.orderBy(*order)))
     return ranked.select(*PAIR, "routes", "seconds", "transfers", "path", "rank")
 
 
