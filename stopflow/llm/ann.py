@@ -140,28 +140,35 @@ class Graph:
 
 
 class Shard:
-    """Vectors of one shard with their ids; equal vectors are one point of the graph."""
+    """Vectors of one shard and length with their ids; equal vectors are one point of the graph.
+
+    The graph works on single-precision copies, scaled and centred so that they keep as many digits as they can; distances are
+    taken from the vectors themselves.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        ids, first = np.unique(ids[order], return_index=True)
-        vectors = vectors[order][first] + np.float32(0)  # -0 becomes 0
+        vectors = vectors + 0.0  # -0 becomes 0
         points, of = np.unique(vectors, axis=0, return_inverse=True)
         by = np.argsort(of.ravel(), kind="stable")
         self.ids, counts = ids[by], np.bincount(of.ravel(), minlength=len(points))
         self.ends = np.cumsum(counts)
         self.begins = self.ends - counts
         self.points = points
-        self.graph = Graph(points)
+        self.unit = np.ldexp(1.0, min(1000, -int(np.frexp(np.abs(points).max())[1])))
+        self.centre = (points * self.unit).mean(axis=0)
+        self.graph = Graph(self._placed(points))
+
+    def _placed(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors * self.unit - self.centre).astype(np.float32)
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         out = []
         for at in range(0, len(ids), BATCH):
             q = queries[at:at + BATCH]
-            found, _, _ = self.graph.search(q, max(SEARCH_BEAM, k + 1))
-            for own, query, near in zip(ids[at:at + BATCH].tolist(), q.astype(np.float64), found, strict=True):
+            found, _, _ = self.graph.search(self._placed(q), max(SEARCH_BEAM, k + 1))
+            for own, query, near in zip(ids[at:at + BATCH].tolist(), q, found, strict=True):
                 near = near[near >= 0]
-                d = np.sqrt(((self.points[near].astype(np.float64) - query) ** 2).sum(axis=1))
+                d = np.sqrt(((self.points[near] - query) ** 2).sum(axis=1))
                 best = []
                 for distance, p in sorted(zip(d.tolist(), near.tolist(), strict=True)):
                     if len(best) >= k and distance > best[k - 1][0]:
@@ -175,27 +182,40 @@ class Shard:
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """Rows (vec_id, v) that take part: with an id, and a vector without NULL or non-finite components that is not zero."""
-    v = F.col(embedding).cast("array<float>")
+    v = F.col(embedding).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     zero = F.forall(v, lambda x: x == 0)
     return vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & ~zero)
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first value, length) of the lists."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(), offsets[:-1], np.diff(offsets)
+
+
+def _by_length(ids: np.ndarray, column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    values, first, length = _lists(column)
+    found = {}
+    for size in np.unique(length).tolist():
+        rows = np.nonzero(length == size)[0]
+        found[size] = ids[rows], values[first[rows][:, None] + np.arange(size)[None, :]]
+    return found
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding",
             shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The ``k`` nearest rows found for each query, a row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    Score is the Euclidean distance in double precision; ties go to the smaller id. All rows are indexed. A shard holds about
-    ``shard_rows`` vectors; the queries are copied to every shard, and merged rows are ``k`` per query and shard.
-    Ids or vectors that are NULL, zero, or hold NULL or non-finite components take no part, and so do vectors whose length is
-    not the most frequent one. Rows that repeat an id are one candidate (the first in order of components), an empty table gives no rows.
+    Score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. All rows are indexed. A shard
+    holds about ``shard_rows`` vectors; the queries are copied to every shard, and merged rows are ``k`` per query and shard.
+    Ids or vectors that are NULL, zero, or hold NULL or non-finite components take no part. Vectors of different lengths have no distance:
+    each length has graphs of its own, and a query is answered from its length. Rows that repeat an id are one candidate (the first in order
+    of components), an empty table gives no rows.
     """
     good = usable(vectors, vec_id, embedding)
-    lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    dim, n = (lengths["dim"], lengths["n"]) if lengths else (1, 0)
-    good = good.filter(F.size("v") == dim)
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-good.count() // shard_rows))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     rows = good.select(home.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     queries = good.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -203,23 +223,29 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     dealt = rows.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, parts, built = None, [], [], None
+        shard, parts, built = None, [], None
         for batch in batches:
-            numbers, kinds, keys = (batch.column(i).to_numpy() for i in range(3))
-            values = batch.column(3).flatten().to_numpy().reshape(-1, dim)
+            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[tuple[int, int, float]] = []
             borders = np.nonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0))[0] + 1
-            for begin, end in zip([0, *borders], [*borders, len(numbers)], strict=True):
+            for begin, end in zip([0, *borders.tolist()], [*borders.tolist(), len(numbers)], strict=True):
                 if begin == end:
                     continue
                 if numbers[begin] != shard:
-                    shard, ids, parts, built = numbers[begin], [], [], None
+                    shard, parts, built = numbers[begin], [], None
+                piece = batch.slice(begin, end - begin)
                 if kinds[begin] == 0:
-                    ids.append(keys[begin:end])
-                    parts.append(values[begin:end])
-                elif ids:
-                    built = built or Shard(np.concatenate(ids), np.concatenate(parts))
-                    out += built.nearest(keys[begin:end], values[begin:end], k)
+                    parts.append(piece)
+                elif parts:
+                    if built is None:
+                        whole = pa.Table.from_batches(parts).combine_chunks()
+                        keys, once = np.unique(whole.column("vec_id").to_numpy(), return_index=True)  # rows come sorted by id and vector
+                        lists = whole.column("v").take(pa.array(once)).combine_chunks()
+                        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                        built = {size: Shard(*of) for size, of in _by_length(keys, lists).items()}
+                    for size, (keys, asked) in _by_length(piece.column("vec_id").to_numpy(), piece.column("v")).items():
+                        if size in built:
+                            out += built[size].nearest(keys, asked, k)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                                              names=["query_id", "vec_id", "score"])
 

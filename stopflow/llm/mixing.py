@@ -51,8 +51,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     NULL text has size 0, NULL sources form one source, sorted last; sources without words have target 0 and
     no copies; repeated rows are drawn separately, an empty table gives no rows, other columns are ignored.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), null_key(source).alias("_key"),
-                       F.size(words(text)).cast("bigint").alias("size"))
+    made = _plan(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), null_key(source).alias("_key"),
+                             F.size(words(text)).cast("bigint").alias("size")), weights, share, ceiling, seed)
+    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def _plan(slim: DataFrame, weights: Sequence[float], share: float, ceiling: float, seed: int) -> DataFrame:
+    """Copies of each row of (doc_id, source, _key, size), which may hold further columns."""
     slim = written(slim, "mix-sizes")
     sources = slim.groupBy("_key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     order_key = F.struct(F.col("source").isNull().alias("last"), F.col("source"))
@@ -63,8 +68,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("_stratum", F.concat(F.when(_large(), "L").otherwise("S"), "_key"))
     level = F.when(F.col("size") > 0, -F.floor(F.log(LEVEL_RATIO, F.col("size").cast("double")))).otherwise(1)
     rows = rows.withColumn("_level", level.cast("int"))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int"))
-    placed = written(with_positions(rows, "_stratum", "_level", "_bucket", [F.col("size").desc(), F.col("doc_id")], "_at"), "mix-places")
+    # rows without an id are told apart by their number, where they have one
+    number = ["_row"] if "_row" in slim.columns else []
+    drawn = F.xxhash64(F.lit(seed), "doc_id")
+    if number:
+        drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "_row")).otherwise(drawn)
+    rows = rows.withColumn("_bucket", F.pmod(drawn, F.lit(BUCKETS)).cast("int"))
+    placed = written(with_positions(rows, "_stratum", "_level", "_bucket", [F.col("size").desc(), F.col("doc_id"), *number], "_at"), "mix-places")
     placed = placed.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.lit(1 << 52)) / float(1 << 52))
 
     def copies(rate: Column) -> Column:
@@ -76,8 +86,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     others = F.try_divide(F.col("target") - F.col("_took"), F.col("source_size") - F.col("_size"))
     left = left.select("_key", "_n", F.least(F.greatest(F.coalesce(others, F.lit(0.0)), F.lit(0.0)), F.lit(float(ceiling))).alias("_rest"))
     joined = join_skewed(placed, written(left, "mix-rates"), "_key")
-    made = joined.withColumn("copies", copies(F.when(_large(), rate).otherwise(F.col("_rest"))))
-    return made.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+    return joined.withColumn("copies", copies(F.when(_large(), rate).otherwise(F.col("_rest"))))
 
 
 def _large() -> Column:
@@ -85,12 +94,15 @@ def _large() -> Column:
     return F.col("size") > F.col("source_size") * LARGE_SHARE
 
 
-def emit(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents of a plan from ``mix``, each row as often as its copies say, with the columns of ``docs``.
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
+          share: float = 1.5, ceiling: float = 2.0, seed: int = 20240501) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` draws them, with the columns of ``docs``.
 
-    Rows that share a doc_id (or have none) are emitted as often as the least of their copies.
+    Rows are numbered in a table of their own, so each gets its own copies, also rows that share a doc_id or have none.
     """
-    key, n = fresh(docs, "_key"), fresh(docs, "_copies")
-    times = plan.groupBy(F.col("doc_id").alias(key)).agg(F.min("copies").cast("int").alias(n)).filter(F.col(n) > 0)
-    joined = docs.join(times, F.col(doc_id).eqNullSafe(F.col(key)))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(fresh(docs, "_copy"))).select(*docs.columns)
+    row, n, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    made = _plan(numbered.select(F.col(row).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), null_key(source).alias("_key"),
+                                 F.size(words(text)).cast("bigint").alias("size")), weights, share, ceiling, seed)
+    times = made.filter("copies > 0").select(F.col("_row").alias(row), F.col("copies").cast("int").alias(n))
+    return numbered.join(times, row).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(copy)).select(*docs.columns)

@@ -163,10 +163,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distanc
     slim = written(fingerprints(docs, doc_id, text, shingle), "simhash-prints")
     prints = written(slim.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "simhash-distinct")
     root = components(edges(prints.select("fp"), distance))
-    rooted = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "least", "_n", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "least", F.col("_n").alias("_rows"), F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = written(rooted.join(smallest, "root").select("fp", "_n", "component_id"), "simhash-labels")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    labelled = join_skewed(rooted, written(smallest, "simhash-smallest"), "root")
+    labelled = written(labelled.select("fp", F.col("_rows").alias("_n"), "component_id"), "simhash-labels")
     return join_skewed(slim, labelled, "fp").select("doc_id", "fp", "component_id")
 
 

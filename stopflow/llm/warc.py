@@ -72,19 +72,21 @@ def running_digests(chunks: DataFrame) -> DataFrame:
 
 
 def plan_records(digests: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Add record_type and refers_to to rows (row, record, payload_bytes, payload_digest).
+    """Add record_type, refers_to and refers_row (the row of one record with that id) to rows (row, record, payload_bytes, payload_digest).
 
     Of equal payloads of at least ``min_bytes``, the largest record id is the response and the others revisit it;
     a NULL id is never the largest. Smaller payloads are all responses.
     """
     large = digests.filter(F.col("payload_bytes") >= min_bytes)
-    heads = written(large.groupBy("payload_digest").agg(F.max("record").alias("head"), F.count("*").alias("_n")), "warc-heads")
+    heads = large.groupBy("payload_digest").agg(F.max(F.struct("record", "row")).alias("_head"), F.count("*").alias("_n"))
+    heads = written(heads.select("payload_digest", F.col("_head.record").alias("head"), F.col("_head.row").alias("head_row"), "_n"), "warc-heads")
     known = join_skewed(large, heads, "payload_digest")
     first = F.col("record").eqNullSafe(F.col("head"))
     known = known.withColumn("record_type", F.when(first, "response").otherwise("revisit"))
-    known = known.withColumn("refers_to", F.when(~first, F.col("head"))).drop("head")
+    known = known.withColumns({"refers_to": F.when(~first, F.col("head")), "refers_row": F.when(~first, F.col("head_row"))}).drop("head", "head_row")
     small = digests.filter(F.col("payload_bytes") < min_bytes)
-    return known.unionByName(small.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to")))
+    return known.unionByName(small.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"),
+                                           F.lit(None).cast("bigint").alias("refers_row")))
 
 
 def _urn(record: Column, row: Column, chunk: Column) -> Column:
@@ -115,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         ("WARC-Target-URI", F.col("url")),
         ("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("payload_digest")))),
         ("WARC-Profile", F.when(~response, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        ("WARC-Refers-To", F.when(~response, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
+        ("WARC-Refers-To", F.when(~response, _urn(F.col("refers_to"), F.col("refers_row"), F.lit(0)))),
         ("WARC-Segment-Number", F.when(segmented, (F.col("chunk") + 1).cast("string"))),
         ("WARC-Segment-Origin-ID", F.when(segmented & ~first, _urn(F.col("record"), F.col("row"), F.lit(0)))),
         ("WARC-Segment-Total-Length", F.when(segmented & (F.col("chunk") == F.col("chunks") - 1), whole_bytes)),

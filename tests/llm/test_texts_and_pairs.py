@@ -222,6 +222,17 @@ def test_archive_files_are_plain_records(spark, new_path):
         at += 4
 
 
+def test_every_revisit_names_a_response_of_the_archive(spark, new_path):
+    path = new_path("warc")
+    rows = [(i, f"http://{i}", "x" * (1000 + i % 3)) for i in range(40)] + [(39, "again", "x" * 1000), (None, "none", "x" * 1001), (7, "s", "small")]
+    warc.write_archives(pages_of(spark, rows), path, chunk=600)
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    heads = [dict(line.split(": ", 1) for line in h.split("\r\n")[1:]) for h in re.findall(r"WARC/1\.1\r\nWARC-Warcinfo-ID.*?(?=\r\n\r\n)", text, re.S)]
+    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 42 - 1 - 3 and all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
+
+
 def test_a_damaged_chunk_is_noticed(spark):
     chunks = spark.createDataFrame([(1, 0, 2, b"a"), (1, 2, 2, b"b")], "row bigint, chunk int, chunks int, part binary")
     with pytest.raises(Exception, match="chunk 2 of record 1"):
@@ -264,7 +275,7 @@ def test_neighbours_of_odd_rows(spark):
     rows += [(300, None), (400, [0.0] * 8), (500, [float("nan")] + [1.0] * 7), (600, [None] + [1.0] * 7), (None, same), (700, [1.0, 2.0]), (101, same),
              (800, [float("inf")] + [1.0] * 7)]
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<float>, shard string, kind int")
-    want = brute([r for r in rows if r[1] is None or len(r[1]) == 8], 10, 100)
+    want = brute([r for r in rows if r[1] is None or len(r[1]) == 8], 10, 100)  # the only query of another length has no candidate
     got = {}
     for r in ann.nearest(frame, shard_rows=50).collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
@@ -275,10 +286,37 @@ def test_neighbours_of_odd_rows(spark):
     assert sorted(r["rank"] for r in few) == [1, 2]
 
 
+def test_neighbours_keep_original_digits_and_lengths(spark):
+    rows = [(100, [1e8 + 0.25, 1.0]), (1, [1e8 + 1.5, 1.0]), (2, [1e8 + 0.25, 1.0]), (3, [1e300, 1e300]), (200, [1.0, 2.0, 3.0]), (300, [1.0, 2.0, 3.5]),
+            (4, [1.0, 2.0, 3.25]), (400, [5e-324]), (5, [1e-323]), (4, [0.5, 2.0, 3.25])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {100, 200, 300, 400}
+    assert sorted(got[100])[:2] == [(1, 2, 0.0), (2, 1, 1.25)] and len(got[100]) == 3
+    assert sorted(got[200]) == [(1, 300, 0.5), (2, 4, float(np.sqrt(0.25 + 0.0625)))] and [i for _, i, _ in got[400]] == [5]
+
+
+def test_neighbours_of_mixed_lengths_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(3, 5, 8)[i % 3]).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, shard_rows=200).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    hit = 0
+    for q, v in rows[::100]:
+        want = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+        assert len(got[q]) == 10
+        hit += len(set(want) & set(got[q]))
+    assert hit >= 85
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
