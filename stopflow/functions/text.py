@@ -51,11 +51,8 @@ def shape_direction(shape: Column | str) -> Column:
 
 def trip_key(trip_id: Column | str) -> Column:
     """Trip id (after its schedule prefix) cut after its ``..N`` or ``..S`` mark; ids without the mark are kept."""
-    c = col(trip_id)
-    prefix = F.instr(c, "-00_")
-    rest = F.when(prefix > 0, F.substr(c, prefix + 4)).otherwise(c)
-    at = F.instr(rest, "..")
-    return F.when((at > 0) & (F.length(rest) > at + 1), F.left(rest, at + 2)).otherwise(rest)
+    # one expression that uses its input once: a derived id is not copied into the plan several times
+    return F.regexp_extract(col(trip_id), r"^(?:.*?-00_)?(.*?\.\..|.*)", 1)
 
 
 def key_part(key: Column | str, index: int, sep: str = "#") -> Column:

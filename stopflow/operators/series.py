@@ -137,9 +137,10 @@ def trajectory(positions: DataFrame, segment: Column, trip: str = "trip_id", at:
                              "segment_speed": F.when(hours > min_hours, km / hours)}).drop("_lat", "_lon", "_at")
 
 
-def sorted_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Index of each value in the sorted order of its own type, from 0; NULL has none."""
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return join_aggregate(df, with_rank_of_values(values, column, name), [column])
-
+def sorted_index(df: DataFrame, column: str, name: str, source: DataFrame | None = None) -> DataFrame:
+    """Index of each value in the sorted order of its own type, from 0; NULL has none.
 
+    ``source`` is a cheaper table with the same values, so a long chain behind ``df`` does not run for them once more.
+    """
+    values = (df if source is None else source).select(column).filter(F.col(column).isNotNull()).distinct()
+    return join_aggregate(df, with_rank_of_values(values, column, name), [column])

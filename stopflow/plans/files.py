@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import rollups as R
 from ..session import scratch_path
-from ..sources import historical, readers, schemas, sinks
+from ..sources import historical, keyed, readers, schemas, sinks
 from .base import ALERT_TYPES, ROUTE_IDS, Tables, query, r, route_of, sql_list, sql_route_of
 from .geometry import TRACK, vertices
 
@@ -296,6 +296,34 @@ def unexpired_rows(t: Tables):
     return sinks.unexpired(sinks.with_expiry(t.events, F.col("ts"), 10), F.lit("2024-01-25").cast("timestamp")).select("event_id", "expire_at")
 
 
+@query("keyed_table_rows", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL", "A10")
+def keyed_table_rows(t: Tables):
+    """Overlapping batches with compactions between them, one batch run again after it was folded in, and two not folded yet."""
+    rows = t.events.select("user_id", "event_type", "value", "event_id")
+    table = keyed.KeyedTable(scratch_path(t.spark, "keyed"), "user_id bigint, event_type string, value double, event_id bigint", ["user_id", "event_type"], "event_id", 16)
+    cut = t.events.agg(F.max("event_id")).scalar()
+    early, late = rows.filter(F.col("event_id") <= cut / 2), rows.filter(F.col("event_id") > cut / 4)
+    table.upsert(early.filter(F.col("event_type") != "error"), 1)
+    table.compact(t.spark)
+    table.upsert(early, 2)
+    table.upsert(early, 2)
+    table.compact(t.spark)
+    table.upsert(early.filter("event_id < 0"), 2)
+    table.upsert(late, 3)
+    table.upsert(rows.filter(F.col("event_id") % 2 == 0), 4)
+    return table.rows(t.spark)
+
+
+@query("kept_days", """SELECT event_id FROM events WHERE epoch(date_trunc('second', ts))::BIGINT + 10 * 86400 > epoch(TIMESTAMP '2024-01-25 09:30:00')""", "A15")
+def kept_days(t: Tables):
+    """Events by day, expired twice: whole days go as folders, the day of the limit is written anew."""
+    path = scratch_path(t.spark, "days")
+    sinks.with_partitions(t.events.select("event_id", "ts"), F.col("ts"), hour=False).write.partitionBy("year", "month", "day").parquet(path)
+    for _ in range(2):
+        keyed.expire_days(t.spark, path, "event_id bigint, ts timestamp", F.lit("2024-01-25 09:30:00").cast("timestamp"), 10)
+    return t.spark.read.schema(f"event_id bigint, ts timestamp, {DAYS}").parquet(path).select("event_id")
+
+
 @query("written_forecast", f"""SELECT o_orderdate::DATE::VARCHAR AS date, count(*)::DOUBLE AS forecast, {r('stddev_samp(count(*)) OVER ()', 4)} AS spread FROM orders GROUP BY 1, o_orderdate::DATE""", "A16")
 def written_forecast(t: Tables):
     csv, js = scratch_path(t.spark, "forecast"), scratch_path(t.spark, "metrics")

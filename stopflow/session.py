@@ -32,7 +32,7 @@ def build_session(app: str = "stopflow", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-master session without that setting gets a folder of its own.
+    Only a local-master session without that setting gets a folder of its own, kept as the context's checkpoint folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,9 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir().rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="stopflow-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stopflow-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
