@@ -12,7 +12,7 @@ from ..streaming import facts as X
 from ..streaming import lifecycle as Z
 from ..streaming import stateful as S
 from .base import ARRIVALS, Tables, arrivals_of, query, r, rl
-from .service import BUNCH, EVENTS, GAP, METRIC_COLS, METRICS, OBSERVED, ZONE, observed, sql_local
+from .service import BUNCH, EVENTS, GAP, METRIC_COLS, METRICS, OBSERVED, ROLLUP_COLS, ROLLUPS, ZONE, observed, sql_local
 
 ONCE = {"availableNow": True}
 rd = numbers.js_round
@@ -78,6 +78,18 @@ def streamed_daily_totals(t: Tables):
     return X.daily_sums(carry.read_parts(t.spark, run_metrics(t)[2], ROLLUP_SCHEMA)).withColumn("date", F.col("date").cast("string"))
 
 
+CLOSED_ROLLUPS = METRICS + ROLLUPS[len(METRICS):].replace("FROM observed GROUP BY", f"FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start FROM observed) WHERE {CLOSED} GROUP BY").replace(
+    "FROM metrics GROUP BY", f"FROM metrics WHERE {CLOSED} GROUP BY")
+
+
+@query("streamed_daily_rollup", f"WITH {CLOSED_ROLLUPS} SELECT date::VARCHAR AS date, {', '.join(ROLLUP_COLS)} FROM rollups", "I1 I9 D6")
+def streamed_daily_rollup(t: Tables):
+    parts, counts, check = paths(t, "daily", "headways", "check")
+    finish(X.daily_stream(observed_stream(t), parts, counts, check, ZONE, trigger=ONCE))
+    out = X.daily_rollup_so_far(carry.read_parts(t.spark, parts, X.DAILY_PARTS), carry.read_parts(t.spark, counts, X.HEADWAY_COUNTS))
+    return out.select(F.col("date").cast("string").alias("date"), *ROLLUP_COLS)
+
+
 @query("streamed_daily_accumulator", f"""WITH {ARRIVALS} SELECT {sql_local('ts')}::VARCHAR AS date, route_id, direction, sum(delay_seconds)::BIGINT AS sum_delay, count(*) AS n_delay, count(*) FILTER (abs(delay_seconds) < 300) AS n_on_time, count(*) AS n_seen FROM arrivals GROUP BY ALL""", "I9")
 def streamed_daily_accumulator(t: Tables):
     path, check = paths(t, "daily", "check")

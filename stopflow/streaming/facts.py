@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numbers import js_round, js_round_long
 from ..operators import headways as H
-from ..operators.ordered import latest_per_key
+from ..operators.ordered import _match, latest_per_key, with_running_sum
 from ..sources.sinks import upsert_batch
 from . import carry
 
@@ -97,6 +97,69 @@ def daily_sums(parts: DataFrame) -> DataFrame:
                                             F.sum("n_windows").alias("n_windows"), F.sum("total_bunching").alias("total_bunching"), F.sum("total_gaps").alias("total_gaps"))
 
 
+DAILY_PARTS = ("date date, route_id string, direction string, sum_delay double, n_delay bigint, n_on_time bigint, sum_headway double, n_headway bigint, total_bunching bigint, "
+               "total_gaps bigint, peak_train_count bigint, total_trains bigint, n_windows bigint")
+HEADWAY_COUNTS = "date date, route_id string, direction string, headway_seconds double, n bigint"
+
+
+def daily_stream(observed: DataFrame, parts_path: str, counts_path: str, checkpoint: str, zone: str, watermark: str = "10 minutes", window: str = "5 minutes",
+                 poll: str = "minute", on_time: float = 300, trigger: dict | None = None) -> StreamingQuery:
+    """The whole daily roll-up as additive parts of closed windows: sums per local day and key, and counts per headway.
+
+    The counts are an exact histogram that merges by adding, so a day's median needs no row of its own; a window's rows hold the
+    headways of one poll and stop. ``daily_rollup_so_far`` reads the roll-up. A batch that runs again replaces its parts.
+    """
+    delay = F.col("delay_seconds")
+    late = observed.withWatermark("ts", watermark)
+    partials = late.groupBy(F.window("ts", window).alias("w"), *KEYS, "stop_id", F.date_trunc(poll, "ts").alias("poll")).agg(
+        F.count("*").alias("n"), F.sum(delay).alias("sum_delay"), F.count(delay).alias("n_delay"), F.count_if(F.abs(delay) < on_time).alias("n_on_time"),
+        F.collect_list("headway_seconds").alias("headways"), F.count_if("is_bunch").alias("n_bunch"), F.count_if("is_gap").alias("n_gap"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("date", F.to_date(F.from_utc_timestamp("w.start", zone))).persist()
+        headways = F.aggregate("headways", F.lit(0.0), lambda a, x: a + x)
+        polls = batch.groupBy("date", "w", *KEYS, "poll").agg(
+            F.sum("n").alias("n"), F.sum(F.col("sum_delay").cast("double")).alias("sum_delay"), F.sum("n_delay").alias("n_delay"), F.sum("n_on_time").alias("n_on_time"),
+            F.sum(headways).alias("sum_headway"), F.sum(F.size("headways")).alias("n_headway"), F.sum("n_bunch").alias("n_bunch"), F.sum("n_gap").alias("n_gap"))
+        sums = [F.sum(c).alias(c) for c in ("sum_delay", "n_delay", "n_on_time", "sum_headway", "n_headway", "n_bunch", "n_gap")]
+        windows = polls.groupBy("date", "w", *KEYS).agg(js_round_long(F.avg("n")).alias("train_count"), *sums)
+        daily = windows.groupBy("date", *KEYS).agg(
+            *sums[:5], F.sum("n_bunch").alias("total_bunching"), F.sum("n_gap").alias("total_gaps"), F.max("train_count").alias("peak_train_count"),
+            F.sum("train_count").alias("total_trains"), F.count("*").alias("n_windows"))
+        carry.write_part(daily, parts_path, batch_id)
+        counts = batch.select("date", *KEYS, F.explode("headways").alias("headway_seconds")).groupBy("date", *KEYS, "headway_seconds").agg(F.count("*").alias("n"))
+        carry.write_part(counts, counts_path, batch_id)
+        batch.unpersist()
+
+    return carry.run_batches(partials, each, checkpoint, trigger)
+
+
+def weighted_median(counts: DataFrame, keys: Sequence[str], value: str, n: str, name: str, bucket: float = 60.0) -> DataFrame:
+    """Exact median per key from counts per value; even totals take the mean of the two values in the middle."""
+    merged = counts.groupBy(*keys, value).agg(F.sum(n).alias("_n"))
+    upto = with_running_sum(merged, keys, [value], {"_upto": "_n"}, F.floor(F.col(value) / bucket))
+    totals = merged.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    placed = _match(upto, totals, keys)
+    lower, upper = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+
+    def at(place):
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col(value)))
+
+    return placed.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(name))
+
+
+def daily_rollup_so_far(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The columns of ``headways.daily_rollup`` from the parts that ``daily_stream`` wrote."""
+    by_day = ["date", *KEYS]
+    daily = parts.groupBy(*by_day).agg(
+        js_round(F.try_divide(F.sum("sum_delay"), F.sum("n_delay")), 1).alias("avg_delay"),
+        js_round(F.try_divide(F.sum("n_on_time") * 100.0, F.sum("n_delay")), 1).alias("on_time_percent"),
+        js_round_long(F.try_divide(F.sum("sum_headway"), F.sum("n_headway"))).alias("avg_headway"), F.sum("total_bunching").alias("total_bunching"),
+        F.sum("total_gaps").alias("total_gaps"), F.max("peak_train_count").alias("peak_train_count"), F.sum("total_trains").alias("total_trains"), F.sum("n_windows").alias("n_windows"))
+    medians = weighted_median(counts, by_day, "headway_seconds", "n", "median_headway")
+    return _match(daily, medians.withColumn("median_headway", js_round_long("median_headway")), by_day)
+
+
 def daily_accumulator(arrivals: DataFrame, path: str, checkpoint: str, zone: str, watermark: str = "1 day", on_time: float = 300,
                       trigger: dict | None = None) -> StreamingQuery:
     """Running daily sums per route and direction on local days; each batch upserts the days it changed."""

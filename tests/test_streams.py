@@ -65,6 +65,30 @@ def test_window_metrics(spark, sliced, new_path):
     assert sums.agg(F.sum("n_windows")).first()[0] >= got.count()
 
 
+@pytest.mark.parametrize("cuts", [(1, 32), (1, 8, 16, 32), (1, 2, 30, 32)])
+def test_daily_rollup_in_full(spark, tmp_path, new_path, cuts):
+    """All columns of the batch roll-up, the median among them, however the stream is cut."""
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{FOLDER}/events.parquet")
+    observed = H.headways(arrivals_of(events), **LIMITS)
+    path, parts, counts = str(tmp_path / "observed"), new_path("parts"), new_path("counts")
+    for low, high in zip(cuts, cuts[1:]):
+        observed.filter(F.dayofmonth("ts").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(HEADWAY_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    X.daily_stream(stream, parts, counts, new_path("check"), "America/New_York", trigger=ONCE).awaitTermination()
+    got = X.daily_rollup_so_far(carry.read_parts(spark, parts, X.DAILY_PARTS), carry.read_parts(spark, counts, X.HEADWAY_COUNTS))
+    end = observed.agg(F.max("ts")).scalar()
+    shut = F.window("ts", "5 minutes")["end"] <= F.timestamp_millis(F.unix_millis(end)) - F.expr("interval 10 minutes")
+    want = H.daily_rollup(observed.filter(shut), "America/New_York")
+    assert rows(got.select(sorted(got.columns))) == rows(want.select(sorted(got.columns))) and set(got.columns) == set(want.columns)
+    assert got.filter("median_headway IS NOT NULL").count() > 20
+
+
+def test_weighted_median(spark):
+    data = [("a", 1.0, 3), ("a", 90.0, 2), ("a", 70.0, 1), ("b", 5.0, 1), ("b", 200.0, 1), ("c", 7.0, 9), (None, 3.0, 2)]
+    got = X.weighted_median(spark.createDataFrame(data + [("a", 1.0, 1)], "k string, v double, n bigint"), ["k"], "v", "n", "m")
+    assert rows(got) == rows(spark.createDataFrame([("a", 1.0), ("b", 102.5), ("c", 7.0), (None, 3.0)], "k string, m double"))
+
+
 def test_poll_changes(spark, sliced, new_path):
     events, read = sliced
 
