@@ -140,11 +140,47 @@ def stop_arclength(requests: DataFrame, on_track: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, F.coalesce(exact, "a_b", "a_n", "a_s")["value"].alias("arclength_m"))
 
 
-def stops_between(requests: DataFrame, on_track: DataFrame, key: str) -> DataFrame:
-    """Stops strictly between two arclengths of a route, ranked in travel order."""
-    low, high = F.least("s_from", "s_to"), F.greatest("s_from", "s_to")
-    stops = on_track.select(F.col("route_id").alias("_route"), "stop_id", "arclength_m")
-    hit = requests.join(stops, (F.col("route_id") == F.col("_route")) & (F.col("arclength_m") > low) & (F.col("arclength_m") < high)).drop("_route")
+def _stop_blocks(on_track: DataFrame, block_m: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stops cut into blocks of arclength: (numbered stops, first and last block per route, every block between with what lies before and after it).
+
+    A block lists its own arclengths and carries the number and the last arclength of the stops before it, and the first after it.
+    All three are as large as the stops and tracks, which are dimension tables.
+    """
+    stops = on_track.filter(F.col("arclength_m").isNotNull()).select(F.col("route_id").alias("_route"), "stop_id", "arclength_m")
+    along = Window.partitionBy("_route").orderBy("arclength_m", "stop_id")
+    numbered = stops.withColumn("_ordinal", F.row_number().over(along))
+    per = stops.groupBy("_route", F.floor(F.col("arclength_m") / block_m).alias("_block")).agg(F.sort_array(F.collect_list("arclength_m")).alias("_ats"))
+    ends = per.groupBy("_route").agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"))
+    every = ends.select("_route", F.explode(F.sequence("_low", "_high")).alias("_block")).join(per, ["_route", "_block"], "left")
+    by_block = Window.partitionBy("_route").orderBy("_block")
+    before, after = by_block.rowsBetween(Window.unboundedPreceding, -1), by_block.rowsBetween(1, Window.unboundedFollowing)
+    carried = every.select("_route", "_block", F.coalesce("_ats", F.array().cast("array<double>")).alias("_ats"),
+                           F.coalesce(F.sum(F.size("_ats")).over(before), F.lit(0)).alias("_n_before"), F.max(F.array_max("_ats")).over(before).alias("_before"),
+                           F.min(F.array_min("_ats")).over(after).alias("_after"))
+    return numbered, ends, carried
+
+
+def _met_block(rows: DataFrame, at: str, ends: DataFrame, carried: DataFrame, block_m: float) -> DataFrame:
+    """Each row with the one block of its route that its arclength falls in, or the nearest one."""
+    placed = rows.join(ends, F.col("route_id") == F.col("_route")).drop("_route")
+    placed = placed.withColumn("_at_block", F.greatest("_low", F.least("_high", F.floor(F.col(at) / block_m)))).drop("_low", "_high")
+    return placed.join(carried, (F.col("route_id") == F.col("_route")) & (F.col("_at_block") == F.col("_block"))).drop("_route", "_block", "_at_block")
+
+
+def stops_between(requests: DataFrame, on_track: DataFrame, key: str, block_m: float = 1000.0) -> DataFrame:
+    """Stops strictly between two arclengths of a route, ranked in travel order.
+
+    Each end meets one block of its route, which tells how many stops lie before it; the stops between are then joined by their
+    number on the route, so the joins have a row per request and a row per result.
+    """
+    numbered, ends, carried = _stop_blocks(on_track, block_m)
+    columns = requests.columns
+    asked = requests.withColumns({"_from": F.least("s_from", "s_to").cast("double"), "_to": F.greatest("s_from", "s_to").cast("double")})
+    for end, count in (("_from", lambda a: a <= F.col("_from")), ("_to", lambda a: a < F.col("_to"))):
+        asked = _met_block(asked, end, ends, carried, block_m)
+        asked = asked.withColumn(f"{end}_n", F.col("_n_before") + F.size(F.filter("_ats", count))).drop("_ats", "_n_before", "_before", "_after")
+    listed = asked.filter(F.col("_to_n") > F.col("_from_n")).select(*columns, F.explode(F.sequence(F.col("_from_n") + 1, F.col("_to_n"))).alias("_n"))
+    hit = listed.join(numbered, (F.col("route_id") == F.col("_route")) & (F.col("_n") == F.col("_ordinal"))).drop("_route", "_n", "_ordinal")
     forward = F.when(F.col("s_from") <= F.col("s_to"), F.col("arclength_m")).otherwise(-F.col("arclength_m"))
     return hit.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(forward, "stop_id")))
 
@@ -192,16 +228,17 @@ def best_shape(requests: DataFrame, vertices: DataFrame, key: str, metres: float
     return both.groupBy(key).agg(F.min_by(row, F.struct(F.col("from_m") + F.col("to_m"), F.col("shape_id"))).alias("_b")).select(key, "_b.*")
 
 
-def between_stops(positions: DataFrame, on_track: DataFrame, key: str, s: str = "arclength_m") -> DataFrame:
+def between_stops(positions: DataFrame, on_track: DataFrame, key: str, s: str = "arclength_m", block_m: float = 1000.0) -> DataFrame:
     """Positions with the arclengths of the last stop at or before them and of the next one, where there are both.
 
-    A position meets the stops of its route, a bounded list, and both are found by one aggregate.
+    A position meets one block of its route, with the stops in it and the nearest ones before and after it, so the join has one row
+    per position however many stops a route has.
     """
-    stops = on_track.select(F.col("route_id").alias("_route"), F.col("arclength_m").alias("_at"))
-    met = positions.join(stops, F.col("route_id") == F.col("_route"))
-    around = met.groupBy(key).agg(F.max(s).alias(s), F.max(F.when(F.col("_at") <= F.col(s), F.col("_at"))).alias("s_prev"),
-                                  F.min(F.when(F.col("_at") > F.col(s), F.col("_at"))).alias("s_next"))
-    return around.dropna(subset=["s_prev", "s_next"])
+    _, ends, carried = _stop_blocks(on_track, block_m)
+    met = _met_block(positions.filter(F.col(s).isNotNull()).select(key, "route_id", F.col(s).alias("_s")), "_s", ends, carried, block_m)
+    before = F.coalesce(F.array_max(F.filter("_ats", lambda a: a <= F.col("_s"))), "_before")
+    after = F.coalesce(F.array_min(F.filter("_ats", lambda a: a > F.col("_s"))), "_after")
+    return met.select(key, F.col("_s").alias(s), before.alias("s_prev"), after.alias("s_next")).dropna(subset=["s_prev", "s_next"])
 
 
 def with_phase(df: DataFrame, s: str, s_prev: str, s_next: str, boarding: float = 20, arriving: float = 200) -> DataFrame:

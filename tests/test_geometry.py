@@ -109,3 +109,23 @@ def test_nearest_at_every_latitude_and_across_the_antimeridian(spark, lat, lon):
     assert got == want and want
     some = {r["id"] for r in G.near_any_station(ask, near, 2000).collect()}
     assert some == {p for p, _, _ in want}
+
+
+def test_stops_around_and_between_by_blocks(spark):
+    """Empty blocks, ends beyond the first and last stop, several stops at one place, and unknown routes."""
+    rng = random.Random(3)
+    stops = [(r, f"s{i:02d}", rng.choice([0.0, 5.0, 999.5, 1000.0, 7000.0, 7000.0, 7400.0, float(rng.randrange(20_000))])) for r in (1, 2) for i in range(12)]
+    on_track = spark.createDataFrame(stops, "route_id int, stop_id string, arclength_m double")
+    asked = [(i, rng.choice([1, 2, 3]), float(rng.choice([-50, 0, 5, 1000, 7000, 7400, 30_000, rng.randrange(20_000)])), float(rng.randrange(21_000))) for i in range(300)]
+    requests = spark.createDataFrame(asked, "id int, route_id int, s_from double, s_to double")
+    got = sorted((r.id, r["rank"], r.stop_id, r.arclength_m) for r in K.stops_between(requests, on_track, "id").collect())
+    want = []
+    for i, route, a, b in asked:
+        hit = [(x, s) for r, s, x in stops if r == route and min(a, b) < x < max(a, b)]
+        hit.sort(key=lambda h: (h[0] if a <= b else -h[0], h[1]))
+        want += [(i, n + 1, s, x) for n, (x, s) in enumerate(hit)]
+    assert got == sorted(want) and len(want) > 300
+    around = {r.id: (r.s_prev, r.s_next) for r in K.between_stops(requests.withColumnRenamed("s_from", "arclength_m"), on_track, "id").collect()}
+    for i, route, a, _ in asked:
+        before, after = [x for r, _, x in stops if r == route and x <= a], [x for r, _, x in stops if r == route and x > a]
+        assert around.get(i) == ((max(before), min(after)) if before and after else None)
