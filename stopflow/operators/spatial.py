@@ -6,6 +6,8 @@ grid holds at every latitude and across the antimeridian.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,35 @@ def _near(points: DataFrame, stations: DataFrame, station_key: str, metres: floa
             .filter(F.col("distance_m") <= metres).drop("_p", "_cy", "_cx"))
 
 
+def _rings(spots: DataFrame, k: int, metres: float, crowd: int = 16) -> list[float]:
+    """Radii to search one after another, the last being ``metres``: halved until the most crowded cell holds about ``crowd`` times k."""
+    cells = spots.groupBy(grid_cell("lat", "lon", metres).alias("_cell")).agg(F.count("*").alias("n"))
+    most = cells.agg(F.max("n")).first()[0] or 0
+    halvings = max(0, math.ceil(math.log2(max(1.0, most / (crowd * k))) / 2))  # a quarter of the stations per halving
+    return [metres / 2 ** i for i in range(min(halvings, 12), -1, -1)]
+
+
 def nearest_stations(points: DataFrame, stations: DataFrame, point_key: str, station_key: str, k: int = 3,
                      metres: float = 2000) -> DataFrame:
-    """The k nearest stations within a radius. Stations at one spot are first cut to the k smallest keys."""
+    """The k nearest stations within a radius. Stations at one spot are first cut to the k smallest keys.
+
+    Where stations lie densely the radius is opened in rings: a point that finds k stations within a ring is done, as nothing outside
+    can be nearer, and only the others go on to the next ring of twice the radius. So a point in a dense place meets some
+    k stations instead of all within ``metres``; how many rings there are follows the most crowded cell. Each ring is written down.
+    """
     spots = top_per_key(stations.select(station_key, "lat", "lon"), ["lat", "lon"], [F.col(station_key).asc()], k, "_r").drop("_r")
-    pairs = _near(points.select(point_key, "lat", "lon"), spots, station_key, metres)
-    ranked = top_per_key(pairs, [point_key], [F.col("distance_m").asc(), F.col("_station").asc()], k)
-    return ranked.select(point_key, F.col("_station").alias(station_key), "distance_m", "rank")
+    rings = _rings(spots, k, metres)
+    left, found = points.select(point_key, "lat", "lon"), None
+    for ring in rings:
+        pairs = _near(left, spots, station_key, ring)
+        ranked = top_per_key(pairs, [point_key], [F.col("distance_m").asc(), F.col("_station").asc()], k)
+        ranked = ranked.select(point_key, F.col("_station").alias(station_key), "distance_m", "rank")
+        if ring < metres:
+            full = ranked.groupBy(point_key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select(point_key)
+            ranked = cut_lineage(ranked.join(full, point_key, "left_semi"))
+            left = cut_lineage(left.join(ranked.select(point_key).distinct(), point_key, "left_anti"))
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
 
 
 def near_any_station(points: DataFrame, stations: DataFrame, metres: float = 500) -> DataFrame:

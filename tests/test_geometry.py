@@ -129,3 +129,24 @@ def test_stops_around_and_between_by_blocks(spark):
     for i, route, a, _ in asked:
         before, after = [x for r, _, x in stops if r == route and x <= a], [x for r, _, x in stops if r == route and x > a]
         assert around.get(i) == ((max(before), min(after)) if before and after else None)
+
+
+def test_nearest_in_dense_and_sparse_places(spark):
+    """Rings: the result is that of the plain search, and points in the dense place are done in a small ring."""
+    rng = random.Random(8)
+    near = [(i, 40.7 + rng.gauss(0, 0.002), -74.0 + rng.gauss(0, 0.002)) for i in range(3000)] + [(3000 + i, 40.7 + rng.uniform(-0.1, 0.1), -74.0 + rng.uniform(-0.1, 0.1)) for i in range(60)]
+    asked = [(i, 40.7 + rng.gauss(0, 0.003), -74.0 + rng.gauss(0, 0.003)) for i in range(60)] + [(60 + i, 40.7 + rng.uniform(-0.1, 0.1), -74.0 + rng.uniform(-0.1, 0.1)) for i in range(60)]
+    stations = spark.createDataFrame(near, "sid int, lat double, lon double")
+    points = spark.createDataFrame(asked, "id int, lat double, lon double")
+    assert len(G._rings(stations, 3, 2000)) > 2 and G._rings(stations.filter("sid >= 3000"), 3, 2000) == [2000]
+    got = sorted((r.id, r["rank"], r.sid) for r in G.nearest_stations(points, stations, "id", "sid").collect())
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(h))
+
+    want = []
+    for i, lat, lon in asked:
+        best = sorted((m, sid) for sid, y, x in near if (m := metres(lat, lon, y, x)) <= 2000)[:3]
+        want += [(i, n + 1, sid) for n, (_, sid) in enumerate(best)]
+    assert got == sorted(want)
