@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def settle(spark) -> None:
+    """Give back the driver's memory between stages of a long job: Python's and Arrow's garbage, and the heap's, upon which Spark also
+    drops the broadcasts and shuffle files of tables that nothing refers to any more. Results don't depend on it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
 def join_skewed(rows: DataFrame, small: DataFrame, key: str, n: str = "_n") -> DataFrame:
     """Inner join where a few keys may own most rows. ``small`` has one row per key, ``n`` its number of ``rows``.
 
