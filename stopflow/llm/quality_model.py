@@ -39,8 +39,9 @@ MARGIN = 0.05  # bits added to the quantile
 DIGITS = 3  # quantiles are taken over mean bits of so many digits, so a language takes few values
 SPLITS = 5
 TUNE, TEST = 0, 1
-PART_BYTES = 16 << 20
-PARTS_A_BUCKET = 4
+PART_BYTES = 16 << 20  # text of a part
+WAVES = 3  # parts are scored in so many turns, to keep requests and replies of one turn on disk only
+MAX_BUCKETS = 50_000  # Spark takes at most 100,000; beyond, a bucket holds several parts
 PIECE = 1_000_000  # characters worked on at a time
 
 U = np.uint64
@@ -342,7 +343,7 @@ def dealt(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str,
     spread = F.col("_heavy_id").isNotNull() | F.col(doc_id).cast("bigint").isNull()
     place = F.when(spread, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(doc_id).cast("bigint")))
     rows = rows.withColumn(part, F.pmod(place, F.lit(parts)).cast("int")).withColumn(sure, F.coalesce(sure, F.lit(False))).drop("_heavy_id")
-    buckets = -(-parts // PARTS_A_BUCKET)
+    buckets = min(parts, MAX_BUCKETS)
     name = f"quality_{uuid.uuid4().hex}"
     (rows.repartition(buckets, part).write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
      .bucketBy(buckets, part).saveAsTable(name))
@@ -359,11 +360,21 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "
     counts = by_part.cogroup(trusted.groupBy(part)).applyInArrow(count_part(text, key, doc_id, sure), "lang string, gram string, c bigint")
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kn-counts")
     model = written(keyed(kneser_ney(counts)), "kn-model")
-    requests = by_part.applyInArrow(request_part(text, key, part), "part int, key bigint")
-    replies = requests.join(model.hint("merge"), "key")
     chars, bits = fresh(table, "_chars"), fresh(table, "_bits")
-    made = by_part.cogroup(replies.groupBy("part")).applyInArrow(score_part(text, key, chars, bits), StructType([*table.schema, StructField(chars, LongType()), StructField(bits, DoubleType())]))
-    return written(made.drop(part, sure), "kn-scores"), key, chars, bits
+    schema = StructType([*table.schema, StructField(chars, LongType()), StructField(bits, DoubleType())])
+    score = score_part(text, key, chars, bits)
+
+    def turn(wave: int) -> DataFrame:
+        own = table.filter(F.pmod(part, F.lit(WAVES)) == wave).groupBy(part)
+        requests = own.applyInArrow(request_part(text, key, part), "part int, key bigint")
+        replies = requests.join(model.hint("merge"), "key")
+        settle(docs.sparkSession)
+        return written(own.cogroup(replies.groupBy("part")).applyInArrow(score, schema).drop(part, sure), "kn-scores")
+
+    out = turn(0)
+    for wave in range(1, WAVES):
+        out = out.unionByName(turn(wave))
+    return out, key, chars, bits
 
 
 def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from .common import written
 WINDOW = 35
 PART_BYTES = 8 << 20  # text of a part
 PARTS_A_BUCKET = 4
+MAX_BUCKETS = 50_000  # Spark takes at most 100,000; beyond, a bucket holds more parts
 CHUNK_BYTES = 1 << 20  # text hashed at a time
 CELLS_A_BYTE = 1 / 8  # cells a row of the sketch per byte of text: about eight per counted gram
 RANGE_BITS = 22  # cells merged by one task, while there are fewer than MAX_RANGES ranges
@@ -328,7 +329,7 @@ def dealt(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     row = F.xxhash64(F.monotonically_increasing_id())
     rows = docs.select(F.pmod(row, F.lit(parts)).cast("int").alias("part"), F.col(doc_id).cast("bigint").alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
-    buckets = -(-parts // PARTS_A_BUCKET)
+    buckets = min(-(-parts // PARTS_A_BUCKET), MAX_BUCKETS)
     name = f"substrings_{uuid.uuid4().hex}"
     (rows.repartition(buckets, "part").write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
      .bucketBy(buckets, "part").saveAsTable(name))
