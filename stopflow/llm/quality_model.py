@@ -40,7 +40,7 @@ DIGITS = 3  # quantiles are taken over mean bits of so many digits, so a languag
 SPLITS = 5
 TUNE, TEST = 0, 1
 PART_BYTES = 16 << 20  # text of a part
-WAVES = 3  # parts are scored in so many turns, to keep requests and replies of one turn on disk only
+WAVES = 6  # parts are scored in so many turns, to keep requests and replies of one turn on disk only
 MAX_BUCKETS = 50_000  # Spark takes at most 100,000; beyond, a bucket holds several parts
 PIECE = 1_000_000  # characters worked on at a time
 
