@@ -107,18 +107,20 @@ def tiered_schedule(live: DataFrame, index: list[tuple[list[str], DataFrame]]) -
 def tiered_headsign(live: DataFrame, trips: DataFrame) -> DataFrame:
     """Headsign by trip (or its suffix), else route and shape, else route and direction; lowest trip id first.
 
-    A scheduled trip's own shape_id, where the table has one, goes before the shape read from its id.
+    A scheduled trip's own shape_id, where the table has one, goes before the shape read from its id. The trips are read once; the
+    tiers are folds of their first rows by trip, route and shape.
     """
     shape = text.trip_shape("trip_id")
     own = F.coalesce(F.nullif(F.col("shape_id"), F.lit("")), shape) if "shape_id" in trips.columns else shape
     named = trips.filter(F.col("headsign").isNotNull() & (F.col("headsign") != "")).withColumns({
         "_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")), "_shape": own})
-    named = named.withColumn("_dir", text.shape_direction("_shape"))
+    finest = cut_lineage(named.groupBy("_trip", "route_id", "_shape").agg(F.min(F.struct("trip_id", "headsign")).alias("_first")))
+    finest = finest.withColumn("_dir", text.shape_direction("_shape"))
     wanted = live.withColumns({"_trip": F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")),
                                "_shape": text.trip_shape("trip_id")})
     out = wanted.withColumn("_dir", text.shape_direction("_shape"))
     for i, keys in enumerate((["_trip"], ["route_id", "_shape"], ["route_id", "_dir"]), 1):
-        tier = named.dropna(subset=keys).groupBy(*keys).agg(F.min_by("headsign", "trip_id").alias(f"_h{i}"))
+        tier = finest.dropna(subset=keys).groupBy(*keys).agg(F.min("_first")["headsign"].alias(f"_h{i}"))
         out = join_aggregate(out, tier, keys)
     return out.select(*live.columns, F.coalesce("_h1", "_h2", "_h3").alias("headsign"))
 

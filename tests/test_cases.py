@@ -203,3 +203,22 @@ def test_own_shape_goes_before_the_shape_in_the_id(spark):
     live = spark.createDataFrame([("000001_M..N07R", "M"), ("000001_Q..N20R", "Q")], "trip_id string, route_id string")
     got = {r.route_id: r.headsign for r in lookups.tiered_headsign(live, trips).collect()}
     assert got == {"M": "North end", "Q": "Other"}
+
+
+# ---- aggregates too large to broadcast ----
+
+
+def test_large_aggregate_is_merged_and_heavy_keys_are_not(spark, monkeypatch):
+    """Beyond the limit nothing is copied or broadcast but the rows of heavy keys, also where Spark expects a small table."""
+    from stopflow.operators import joins, ordered
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    large = spark.sql("select if(id < 40, null, if(id < 80, 7, id)) k, id from range(200)")
+    small = spark.sql("select id k, id * 2 v from range(5, 190) union all select null, -1L")
+    expected = {(None if i < 40 else 7 if i < 80 else i, i, -1 if i < 40 else 14 if i < 80 else i * 2 if i < 190 else None) for i in range(200)}
+    plain = joins.join_aggregate(large, small, ["k"])
+    text = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text and "Generate" not in text
+    assert {tuple(r) for r in plain.select("k", "id", "v").collect()} == expected
+    monkeypatch.setattr(ordered, "HEAVY_ROWS", 30)
+    assert len(ordered.heavy_key(large, ["k"])._jc.toString()) and {tuple(r) for r in joins.join_aggregate(large, small, ["k"]).select("k", "id", "v").collect()} == expected
