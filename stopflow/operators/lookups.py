@@ -78,12 +78,17 @@ def _trip_columns(df: DataFrame) -> DataFrame:
     return shaped.withColumn("_dir", text.shape_direction("_shape"))
 
 
-def schedule_index(schedule: DataFrame, order: Sequence[str] = ("trip_id", "stop_sequence")) -> list[tuple[list[str], DataFrame]]:
+def schedule_index(schedule: DataFrame, order: Sequence[str] = ("trip_id", "stop_sequence"),
+                   asked: DataFrame | None = None) -> list[tuple[list[str], DataFrame]]:
     """Scheduled seconds by trip, by route and shape, by route and direction, each folded by platform.
 
     The schedule is read once; its finest fold is written to the shared folder and the coarser
-    tiers are folds of that. Build it once per schedule and use it for many lookups.
+    tiers are folds of that. Build it once per schedule and use it for many lookups. With ``asked``, rows that are to be looked up,
+    it covers their stops, on every platform, and no others.
     """
+    if asked is not None:
+        parents = asked.select(text.parent_stop("stop_id").alias("_asked")).distinct()
+        schedule = join_aggregate(schedule.withColumn("_asked", text.parent_stop("stop_id")), parents, ["_asked"], "left_semi").drop("_asked")
     tailed = schedule.withColumn("_trip", F.coalesce(text.trip_suffix("trip_id"), F.col("trip_id")))
     finest = cut_lineage(_trip_columns(fold_platforms(tailed, ["_trip", "route_id"], "stop_id", "arrival_seconds", order)))
     by_shape = refold(finest.filter(F.col("_shape").isNotNull()), ["route_id", "_shape", "_dir"])

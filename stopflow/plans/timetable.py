@@ -212,7 +212,8 @@ def sql_tier(i, keys):
     CASE WHEN t1.v IS NOT NULL THEN 1 WHEN t2.v IS NOT NULL THEN 2 WHEN t3.v IS NOT NULL THEN 3 END AS tier
   FROM live LEFT JOIN t1 USING (event_id) LEFT JOIN t2 USING (event_id) LEFT JOIN t3 USING (event_id)""", "C2 H7")
 def tiered_schedule_lookup(t):
-    out = L.tiered_schedule(live(t), L.schedule_index(stop_times(t), ["trip_id", *ORDER]))
+    rows = live(t)
+    out = L.tiered_schedule(rows, L.schedule_index(stop_times(t), ["trip_id", *ORDER], rows))
     return out.select("event_id", "scheduled_seconds", "tier")
 
 
