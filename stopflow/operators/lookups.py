@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -13,7 +13,7 @@ from ..functions.numbers import interpolate, progress
 from ..functions.times import local_date, seconds_of_local_day, service_day_type
 from ..session import cut_lineage
 from .joins import join_aggregate
-from .ordered import _match
+from .ordered import _match, whole_or_cut
 
 # ---- platform variants ------------------------------------------------------
 #
@@ -244,16 +244,20 @@ def bracketing_stops(updates: DataFrame, stops: DataFrame, now: Column, trip: st
     """Interpolated position per trip between the first stop still ahead and the one before it.
 
     Both stops come from mergeable aggregates: the first sequence with arrival after now, then the
-    largest sequence below it.
+    largest sequence below it. Trips are shuffled once, whole, but for those of more than ``ordered.HEAVY_ROWS`` rows.
     """
-    ahead = F.col("arrival_time") > now
-    nxt = updates.filter(ahead).groupBy(trip).agg(
-        F.min(seq).alias("_next_seq"), F.min_by(F.struct("stop_id", "arrival_time"), seq).alias("_next"))
-    before = updates.join(nxt.select(F.col(trip).alias("_t"), "_next_seq"),
-                          (F.col(trip) == F.col("_t")) & (F.col(seq) < F.col("_next_seq")))
-    prev = before.groupBy(trip).agg(F.max_by(F.struct(
-        "stop_id", F.coalesce("departure_time", "arrival_time").alias("left_at"), "route_id"), seq).alias("_prev"))
-    pair = nxt.join(prev, trip)
+    ahead = (F.col("arrival_time") > now) & F.col(trip).isNotNull()
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_next_seq", F.min(F.when(ahead, F.col(seq))).over(Window.partitionBy(trip)))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return join_aggregate(rows, rows.filter(ahead).groupBy(trip).agg(F.min(seq).alias("_next_seq")), [trip])
+
+    left = F.struct("stop_id", F.coalesce("departure_time", "arrival_time").alias("left_at"), "route_id")
+    pair = whole_or_cut(updates, [trip], None, whole, cut).groupBy(trip).agg(
+        F.min_by(F.struct("stop_id", "arrival_time"), F.when(ahead, F.col(seq))).alias("_next"),
+        F.max_by(left, F.when(F.col(seq) < F.col("_next_seq"), F.col(seq))).alias("_prev"))
     a = stops.select(F.col("stop_id").alias("_a"), F.col("lat").alias("_lat1"), F.col("lon").alias("_lon1"))
     b = stops.select(F.col("stop_id").alias("_b"), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"))
     placed = pair.join(a, F.col("_prev.stop_id") == F.col("_a")).join(b, F.col("_next.stop_id") == F.col("_b"))

@@ -8,7 +8,7 @@ from ..functions import text
 from ..functions.numbers import js_round
 from ..operators import lookups as L
 from ..operators import schedule as S
-from ..operators.ordered import with_position
+from ..operators.ordered import with_position_of_many
 from .base import ARRIVALS, STOPS, Tables, query, r, rl, route_of, sql_route_of
 
 ORDER = ["stop_sequence", "tie_part", "tie_supplier", "tie_price"]
@@ -313,7 +313,7 @@ def terminal_flags(t):
 def updates(t: Tables):
     """Stop updates of trips on one day, in stop order."""
     rows = stop_times(t).select("trip_id", "route_id", "stop_id", *ORDER, "arrival_seconds", "departure_seconds")
-    placed = with_position(rows, ["trip_id"], ORDER, F.floor(F.col("stop_sequence") / 1000), "seq")
+    placed = with_position_of_many(rows, ["trip_id"], ORDER, F.floor(F.col("stop_sequence") / 1000), "seq")
     start = F.unix_timestamp(F.lit("2024-01-15 00:00:00").cast("timestamp"))
     return placed.select("trip_id", "route_id", "stop_id", "seq", F.timestamp_seconds(start + F.col("arrival_seconds")).alias("arrival_time"),
                          F.timestamp_seconds(start + F.col("departure_seconds")).alias("departure_time"))
