@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numbers import js_round_long
 from ..functions.times import minutes_to_clock
+from ..session import cut_lineage
 from .joins import join_aggregate
-from .ordered import _match, latest_per_key, top_per_key, with_position, with_previous
+from .ordered import _match, latest_per_key, top_per_key, with_position_of_many, with_previous, with_previous_of_many
 
 
 def schedule_stats(stop_times: DataFrame, trips: DataFrame, service_id: str, max_headway: int = 120,
@@ -48,10 +49,13 @@ def busiest_stations(stop_times: DataFrame, trips: DataFrame, service_id: str, k
 
 
 def stop_steps(stop_times: DataFrame, order: Sequence[str] = ("stop_sequence",), segment: Column | None = None) -> DataFrame:
-    """Each stop of a trip with the next one and the seconds between; past-midnight steps are repaired."""
+    """Each stop of a trip with the next one and the seconds between; past-midnight steps are repaired.
+
+    Trips are shuffled whole; one of more than ``ordered.HEAVY_ROWS`` rows is cut by ``segment``.
+    """
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
-    steps = with_previous(stop_times, ["trip_id"], list(order), {"next_stop": "stop_id", "next_arrival": "arrival_seconds"},
-                          block, following=True)
+    steps = with_previous_of_many(stop_times, ["trip_id"], list(order), {"next_stop": "stop_id", "next_arrival": "arrival_seconds"},
+                                  block, following=True)
     seconds = F.col("next_arrival") - F.col("departure_seconds")
     return steps.filter(F.col("next_stop").isNotNull()).withColumn(
         "step_seconds", F.when(seconds < 0, seconds + 86400).otherwise(seconds))
@@ -70,11 +74,12 @@ def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str
     """Stops, in order, of the most frequent stop pattern per route and direction.
 
     A trip's pattern is identified by its length and two order-aware hashes that combine row by
-    row, so no trip is ever held as a list. Ties go to the pattern with the lowest trip id.
+    row, so no trip is ever held as a list. Ties go to the pattern with the lowest trip id. Once the patterns are chosen, the stops
+    of their trips alone are read again.
     """
     block = F.floor(F.col(order[0]) / 1000) if segment is None else segment
     parented = stop_times.select("trip_id", *order, text.parent_stop("stop_id").alias("stop_id"))
-    placed = with_position(parented, ["trip_id"], list(order), block)
+    placed = with_position_of_many(parented, ["trip_id"], list(order), block)
     signed = placed.groupBy("trip_id").agg(
         F.count("*").alias("n_stops"), F.bit_xor(F.xxhash64("position", "stop_id")).alias("_h1"),
         F.bit_xor(F.xxhash64("stop_id", "position", F.lit("second"))).alias("_h2"))
@@ -84,7 +89,8 @@ def common_patterns(stop_times: DataFrame, trips: DataFrame, order: Sequence[str
     best = patterns.groupBy(*keys).agg(F.min_by(F.struct("trip_id", "n_trips", "n_stops"),
                                                 F.struct(-F.col("n_trips"), F.col("trip_id"))).alias("_b"))
     chosen = best.select(*keys, "_b.trip_id", "_b.n_trips")
-    return placed.join(chosen, "trip_id").select(*keys, "n_trips", "position", "stop_id")
+    listed = join_aggregate(parented, chosen, ["trip_id"], "inner")
+    return cut_lineage(with_position_of_many(listed, [*keys, "trip_id"], list(order), block).select(*keys, "n_trips", "position", "stop_id"))
 
 
 def route_segments(patterns: DataFrame, steps: DataFrame, trips: DataFrame, max_seconds: int = 1800) -> DataFrame:
