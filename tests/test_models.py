@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from conftest import FOLDER
+from pyspark.sql import functions as F
 
 from stopflow.plans import catalog
 
@@ -75,3 +76,28 @@ def test_forecast_follows_the_series(spark):
     assert len(rows) == 30 and (rows[0].date - history[-1][0]).days == 1
     assert max(abs(r.forecast - w) for r, w in zip(rows, want)) < 0.25 * spread
     assert all(r.upper - r.forecast == pytest.approx(1.2816 * spread, rel=0.02) and r.forecast - r.lower == pytest.approx(r.upper - r.forecast) for r in rows)
+
+
+def test_split_computes_its_rows_once(spark):
+    """The rows of a split are read back, not computed again by all that follows it."""
+    from stopflow.operators import series as S
+
+    df = spark.range(100).select("id", (F.col("id") * 7 % 100).alias("o"))
+    out = S.chronological_split(df, ["o"], F.floor(F.col("o") / 10))
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["o"] for r in out.filter("part = 'test'").collect()} == set(range(80, 100))
+
+
+def test_classifier_keeps_nodes_and_grows_the_same_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from stopflow.operators import models as M
+
+    rows = spark.range(300).selectExpr("id", "cast(id % 17 as double) a", "cast(id % 5 as double) b", "cast(id * id % 3 as int) y",
+                                       "1.0D weight", "if(id < 240, 'train', 'test') part")
+    model, _ = M.delay_classifier(rows, ["a", "b"], "y", trees=5, depth=4)
+    grown = model.stages[-1]
+    assert grown.getCacheNodeIds()
+    plain = M._fit(M.complete_rows(rows, ["a", "b"], "y").filter("part = 'train'"), ["a", "b"],
+                   RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=5, maxDepth=4, seed=42)).stages[-1]
+    assert grown.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
