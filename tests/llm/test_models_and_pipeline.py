@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -161,6 +162,22 @@ def test_quality_verdicts(spark):
     assert quality_model.keep_good(docs, labels_of(spark, [])).count() == 308
 
 
+def test_verdicts_keep_no_texts_or_counts(spark, monkeypatch):
+    """Texts stay in the table of parts alone, and the counts go once the model is written; both filled the disk."""
+    made = defaultdict(list)
+
+    def write(df, name, written=quality_model.written):
+        made[name].append(written(df, name))
+        return made[name][-1]
+
+    monkeypatch.setattr(quality_model, "written", write)
+    labels = labels_of(spark, [(i, 1, 0) for i in range(20)])
+    assert quality_model.verdicts(docs_of(spark, [(i, "the cat sat", "en") for i in range(20)]), labels).count() == 20
+    assert len(made["kn-scores"]) == quality_model.WAVES and all("text" not in df.columns for df in made["kn-scores"])
+    left = [f for df in made["kn-counts"] for f in df.inputFiles() if os.path.exists(f.removeprefix("file:").replace("///", "/"))]
+    assert len(made["kn-counts"]) == quality_model.ORDER and not left
+
+
 def test_threshold_by_labels_of_both_kinds(spark):
     """The level with the fewest wrong verdicts among the quantiles; without rejected documents the highest."""
     held_ids = [i for i in range(20_000) if held(i)]
