@@ -16,7 +16,7 @@ from ..functions.numbers import clamp
 from ..session import cut_lineage
 from .lookups import _join_folded, fold_platforms
 from .joins import join_aggregate
-from .ordered import with_previous, with_running_sum
+from .ordered import _match, with_previous, with_running_sum
 
 
 def longest_shape(shapes: DataFrame) -> DataFrame:
@@ -253,6 +253,8 @@ def with_phase(df: DataFrame, s: str, s_prev: str, s_next: str, boarding: float
 # ---- smoothing ---------------------------------------------------------------------
 
 STATE = ["s", "v", "a", "t"]
+# Neighbouring chunks of a key are smoothed together up to about so many rows.
+BLOCK_ROWS = 20_000
 
 
 def smooth_steps(measured, times, state, alpha, beta, gamma, vmax, amax, jump):
@@ -290,11 +292,16 @@ def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: s
     a guessed start state (the end state of the chunk before in the last round); a chunk is run again
     when its start state changed. When none changed, every chunk has run from its true start state,
     so the result equals one sequential pass. The filter forgets its start quickly, so few rounds
-    are needed; the worst case is one round per chunk of a key.
+    are needed; the worst case is one round per chunk of a key. Small neighbouring chunks are taken together first, up to
+    BLOCK_ROWS rows and one chunk: every group and round of its own costs more than the few rows in it.
     """
     clean = points.select(F.col(key).alias("k"), chunk.cast("bigint").alias("c"), F.col(order).alias("o"),
                           F.col(measurement).cast("double").alias("z"), F.col(time_ms).cast("bigint").alias("ms"))
-    clean = cut_lineage(clean.filter(F.col("z").isNotNull()))
+    clean = clean.filter(F.col("z").isNotNull())
+    along = Window.partitionBy("k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("n").over(along), F.lit(0))
+    blocks = clean.groupBy("k", "c").agg(F.count("*").alias("n")).select("k", "c", F.floor(earlier / BLOCK_ROWS).alias("b"))
+    clean = cut_lineage(_match(clean, blocks, ["k", "c"]).select("k", F.col("b").alias("c"), "o", "z", "ms"))
     key_type = clean.schema["k"].dataType.simpleString()
     order_type = clean.schema["o"].dataType.simpleString()
     settings = (alpha, beta, gamma, vmax, amax, jump)

@@ -57,6 +57,26 @@ def test_smoothing_in_chunks_equals_one_pass(spark, chunk):
     assert sum(r.restarted for r in out if r.trip == "b") == 2
 
 
+@pytest.mark.parametrize("limit, most", [(15, 3), (20_000, 1)])
+def test_small_chunks_are_smoothed_together(spark, monkeypatch, limit, most):
+    """Blocks of any size give one pass; no key has more of them than its rows ask for."""
+    rng, starts = random.Random(6), []
+
+    def cut(df, cut_lineage=K.cut_lineage):
+        done = cut_lineage(df)
+        if done.columns[:2] == ["k0", "c0"]:
+            starts.append(done.groupBy("k0").count().agg(F.max("count")).first()[0] or 0)
+        return done
+
+    monkeypatch.setattr(K, "BLOCK_ROWS", limit, raising=False)
+    monkeypatch.setattr(K, "cut_lineage", cut)
+    rows = {k: [(i, i * 100.0 + rng.gauss(0, 20), i * 10_000) for i in range(40)] for k in "ab"}
+    df = spark.createDataFrame([(k, *r) for k, rs in rows.items() for r in rs], "trip string, seq int, z double, ms bigint")
+    out = K.smooth(df, "trip", "seq", "z", "ms", F.floor(F.col("seq") / 5)).collect()
+    assert all(sorted((r.seq, r.s, r.v, r.a, r.restarted) for r in out if r.trip == k) == brute_smooth(rows[k]) for k in "ab")
+    assert max(starts) <= most
+
+
 def brute_clusters(points, t):
     seeds, owner = [], {}
     for i, y, x in points:
