@@ -40,6 +40,7 @@ DIGITS = 3  # quantiles are taken over mean bits of so many digits, so a languag
 SPLITS = 5
 TUNE, TEST = 0, 1
 PART_BYTES = 16 << 20  # text of a part
+DEALS = 3  # documents are dealt in so many turns, to keep the shuffled texts of one turn on disk only
 WAVES = 6  # parts are scored in so many turns, to keep requests and replies of one turn on disk only
 MAX_BUCKETS = 50_000  # Spark takes at most 100,000; beyond, a bucket holds several parts
 PIECE = 1_000_000  # characters worked on at a time
@@ -331,7 +332,8 @@ def dealt(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str,
     """The documents by part in a bucketed table, and the ids of trusted ones of TRAIN by part.
 
     Rows of one id share a part, to which its label goes. Ids of more than HEAVY_SHARE of all rows (under 1 / HEAVY_SHARE of them,
-    so a broadcast of them is bounded) and NULL are spread over all parts, their label in the column ``sure``.
+    so a broadcast of them is bounded) and NULL are spread over all parts, their label in the column ``sure``. A row's turn
+    follows from its id and text alone, so each row is dealt once even where another read would send it to another part.
     """
     spark = docs.sparkSession
     total, n = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
@@ -346,9 +348,12 @@ def dealt(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str,
     rows = rows.withColumn(part, F.pmod(place, F.lit(parts)).cast("int")).withColumn(sure, F.coalesce(sure, F.lit(False))).drop("_heavy_id")
     buckets = min(parts, MAX_BUCKETS)
     name = f"quality_{uuid.uuid4().hex}"
-    (rows.repartition(buckets, part).write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
-     .bucketBy(buckets, part).saveAsTable(name))
-    settle(spark)
+    path = scratch_path(spark, name)
+    turn = F.pmod(F.xxhash64(F.col(doc_id).cast("bigint"), text), F.lit(DEALS))
+    for now in range(DEALS):
+        (rows.filter(turn == now).repartition(buckets, part).write.mode("append").format("parquet").option("compression", "zstd").option("path", path)
+         .bucketBy(buckets, part).saveAsTable(name))
+        settle(spark)
     by_part = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias(part), "doc_id")
     return spark.table(name), by_part
 

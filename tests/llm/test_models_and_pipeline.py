@@ -178,6 +178,18 @@ def test_verdicts_keep_no_texts_or_counts(spark, monkeypatch):
     assert len(made["kn-counts"]) == quality_model.ORDER and not left
 
 
+def test_documents_are_dealt_in_turns(spark, monkeypatch):
+    """Each row is dealt once, copies, NULL ids and NULL texts too, and no turn shuffles most of the texts at once."""
+    paths, dealt = [], [0]
+    monkeypatch.setattr(quality_model, "scratch_path", lambda spark, name, path=quality_model.scratch_path: paths.append(path(spark, name)) or paths[-1])
+    monkeypatch.setattr(quality_model, "settle", lambda spark: dealt.append(spark.read.parquet(paths[-1]).count()))
+    rows = [(None if i % 5 == 0 else 7 if i % 5 == 1 else i, None if i % 11 == 0 else f"the cat sat {i % 300}", "en") for i in range(3000)]
+    table, trusted = quality_model.dealt(docs_of(spark, rows), labels_of(spark, [(2, 1, 0), (7, 1, 0)]), "text", "lang", "doc_id", "_part", "_sure")
+    assert Counter(map(tuple, table.select("doc_id", "text", "lang").collect())) == Counter(rows)
+    turns = [b - a for a, b in zip(dealt, dealt[1:])]
+    assert len(turns) == quality_model.DEALS and max(turns) < 0.5 * len(rows)
+
+
 def test_threshold_by_labels_of_both_kinds(spark):
     """The level with the fewest wrong verdicts among the quantiles; without rejected documents the highest."""
     held_ids = [i for i in range(20_000) if held(i)]
