@@ -37,24 +37,39 @@ def headway_stream(arrivals: DataFrame, out_path: str, state_path: str, checkpoi
     return carry.run_batches(arrivals, each, checkpoint, trigger)
 
 
+# A window's rows of one key lie in so many state rows, by stop: few, since each costs a read and a write, and none holds all of a busy window.
+SHARDS = 4
+
+
+def _shard():
+    return F.pmod(F.xxhash64("stop_id"), F.lit(SHARDS)).alias("shard")
+
+
+def _n_polls():
+    return F.size(F.array_distinct(F.flatten(F.collect_list("polls"))))
+
+
 def window_partials(observed: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes", poll: str = "minute",
                     keys: Sequence[str] = KEYS, on_time: float = 300) -> DataFrame:
-    """Streaming sums per window, key, stop and poll; a window's rows leave together when the watermark passes its end."""
-    delay = F.col("delay_seconds")
+    """Streaming sums per window, key and shard of stops; a window's rows leave together when the watermark passes its end.
+
+    ``polls`` are the polls seen, ``worst`` the largest delay and its stop, ``bunches`` and ``gaps`` one stop per flag.
+    """
+    delay, stop = F.col("delay_seconds"), F.struct("stop_id")
     late = observed.withWatermark("ts", watermark)
-    return late.groupBy(F.window("ts", window).alias("w"), *keys, "stop_id", F.date_trunc(poll, "ts").alias("poll")).agg(
-        F.count("*").alias("n"), F.sum(delay).alias("sum_delay"), F.count(delay).alias("n_delay"), F.max(delay).alias("max_delay"),
+    return late.groupBy(F.window("ts", window).alias("w"), *keys, _shard()).agg(
+        F.count("*").alias("n"), F.sum(delay).alias("sum_delay"), F.count(delay).alias("n_delay"),
         F.count_if(F.abs(delay) < on_time).alias("n_on_time"), F.sum("headway_seconds").alias("sum_headway"),
         F.count("headway_seconds").alias("n_headway"), F.sum("latency_ms").alias("sum_latency"), F.count("latency_ms").alias("n_latency"),
         F.max(F.struct("ts", "arrival_id", "status")).alias("last"), F.count_if("is_bunch").alias("n_bunch"), F.count_if("is_gap").alias("n_gap"),
-    ).select(F.col("w.start").alias("window_start"), "*").drop("w")
+        F.collect_set(F.date_trunc(poll, "ts")).alias("polls"), F.min(F.when(delay.isNotNull(), F.struct((-delay).alias("early"), "stop_id"))).alias("worst"),
+        F.collect_list(F.when(F.col("is_bunch"), stop)).alias("bunches"), F.collect_list(F.when(F.col("is_gap"), stop)).alias("gaps"),
+    ).select(F.col("w.start").alias("window_start"), "*").drop("w", "shard")
 
 
 def fold_metrics(partials: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Window metrics from closed windows' partial rows."""
-    per_poll = partials.groupBy("window_start", *keys, "poll").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in (
-        "sum_delay", "n_delay", "n_on_time", "sum_headway", "n_headway", "sum_latency", "n_latency", "n_bunch", "n_gap")], F.max("last").alias("last"))
-    sums = per_poll.groupBy("window_start", *keys).agg(F.avg("n").alias("n"), *[F.sum(c).alias(c) for c in (
+    sums = partials.groupBy("window_start", *keys).agg((F.sum("n") / _n_polls()).alias("n"), *[F.sum(c).alias(c) for c in (
         "sum_delay", "n_delay", "n_on_time", "sum_headway", "n_headway", "sum_latency", "n_latency", "n_bunch", "n_gap")], F.max("last").alias("last"))
     return sums.select(
         *keys, "window_start", js_round_long("n").alias("train_count"),
@@ -67,7 +82,14 @@ def fold_metrics(partials: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def fold_events(partials: DataFrame, keys: Sequence[str] = KEYS, threshold: float = 300) -> DataFrame:
     """DELAY, BUNCH and GAP events from closed windows' partial rows."""
-    stops = partials.groupBy("window_start", *keys, "stop_id").agg(
+    def seen(stop, delay, bunch, gap):
+        return F.struct(stop.alias("stop_id"), delay.alias("max_delay"), F.lit(bunch).alias("n_bunch"), F.lit(gap).alias("n_gap"))
+
+    late = -F.col("worst.early")
+    none = F.lit(None).cast(partials.select(late).schema[0].dataType)
+    each = F.concat(F.array(seen(F.col("worst.stop_id"), late, 0, 0)), F.transform("bunches", lambda x: seen(x["stop_id"], none, 1, 0)),
+                    F.transform("gaps", lambda x: seen(x["stop_id"], none, 0, 1)))
+    stops = partials.select("window_start", *keys, F.inline(each)).groupBy("window_start", *keys, "stop_id").agg(
         F.max("max_delay").alias("max_delay"), F.sum("n_bunch").alias("n_bunch"), F.sum("n_gap").alias("n_gap"))
     return H.events_of_stops(stops, keys, threshold)
 
@@ -107,22 +129,20 @@ def daily_stream(observed: DataFrame, parts_path: str, counts_path: str, checkpo
     """The whole daily roll-up as additive parts of closed windows: sums per local day and key, and counts per headway.
 
     The counts are an exact histogram that merges by adding, so a day's median needs no row of its own; a window's rows hold the
-    headways of one poll and stop. ``daily_rollup_so_far`` reads the roll-up. A batch that runs again replaces its parts.
+    headways of one shard of stops. ``daily_rollup_so_far`` reads the roll-up. A batch that runs again replaces its parts.
     """
     delay = F.col("delay_seconds")
     late = observed.withWatermark("ts", watermark)
-    partials = late.groupBy(F.window("ts", window).alias("w"), *KEYS, "stop_id", F.date_trunc(poll, "ts").alias("poll")).agg(
+    partials = late.groupBy(F.window("ts", window).alias("w"), *KEYS, _shard()).agg(
         F.count("*").alias("n"), F.sum(delay).alias("sum_delay"), F.count(delay).alias("n_delay"), F.count_if(F.abs(delay) < on_time).alias("n_on_time"),
-        F.collect_list("headway_seconds").alias("headways"), F.count_if("is_bunch").alias("n_bunch"), F.count_if("is_gap").alias("n_gap"))
+        F.collect_set(F.date_trunc(poll, "ts")).alias("polls"), F.collect_list("headway_seconds").alias("headways"), F.count_if("is_bunch").alias("n_bunch"), F.count_if("is_gap").alias("n_gap"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("date", F.to_date(F.from_utc_timestamp("w.start", zone))).persist()
         headways = F.aggregate("headways", F.lit(0.0), lambda a, x: a + x)
-        polls = batch.groupBy("date", "w", *KEYS, "poll").agg(
-            F.sum("n").alias("n"), F.sum(F.col("sum_delay").cast("double")).alias("sum_delay"), F.sum("n_delay").alias("n_delay"), F.sum("n_on_time").alias("n_on_time"),
-            F.sum(headways).alias("sum_headway"), F.sum(F.size("headways")).alias("n_headway"), F.sum("n_bunch").alias("n_bunch"), F.sum("n_gap").alias("n_gap"))
         sums = [F.sum(c).alias(c) for c in ("sum_delay", "n_delay", "n_on_time", "sum_headway", "n_headway", "n_bunch", "n_gap")]
-        windows = polls.groupBy("date", "w", *KEYS).agg(js_round_long(F.avg("n")).alias("train_count"), *sums)
+        shards = batch.withColumns({"sum_delay": F.col("sum_delay").cast("double"), "sum_headway": headways, "n_headway": F.size("headways")})
+        windows = shards.groupBy("date", "w", *KEYS).agg(js_round_long(F.sum("n") / _n_polls()).alias("train_count"), *sums)
         daily = windows.groupBy("date", *KEYS).agg(
             *sums[:5], F.sum("n_bunch").alias("total_bunching"), F.sum("n_gap").alias("total_gaps"), F.max("train_count").alias("peak_train_count"),
             F.sum("train_count").alias("total_trains"), F.count("*").alias("n_windows"))

@@ -1,5 +1,7 @@
 """Streams over several micro-batches must equal the batch operators."""
 
+import datetime as dt
+
 import pytest
 from conftest import FOLDER
 from pyspark.sql import Window
@@ -83,6 +85,30 @@ def test_daily_rollup_in_full(spark, tmp_path, new_path, cuts):
     assert got.filter("median_headway IS NOT NULL").count() > 20
 
 
+@pytest.mark.parametrize("which", ["metrics", "daily"])
+def test_state_of_windows_does_not_grow_with_arrivals(spark, new_path, which):
+    """A busy window's stops share a few state rows, and counts, worst and most frequent stops stay right, a NULL stop's too."""
+    at = dt.datetime(2024, 1, 1, 12, 0)
+    made = [(i, "A", "N", None if i % 7 == 0 else f"s{i % 40}", i, at + dt.timedelta(seconds=i % 180), i % 900, 1, "success", float(i % 50), i % 3 == 0, i % 2 == 0) for i in range(2000)]
+    end = [(9000, "B", "S", "x", 1, at + dt.timedelta(hours=1), None, None, "ok", None, False, False)]
+    observed = spark.createDataFrame(made + end, HEADWAY_SCHEMA)
+    path, check, out = new_path("observed"), new_path("check"), [new_path(n) for n in "abc"]
+    observed.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(HEADWAY_SCHEMA).parquet(path)
+    query = X.metric_stream(stream, *out, check, "UTC", trigger=ONCE) if which == "metrics" else X.daily_stream(stream, *out[:2], check, "UTC", trigger=ONCE)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2 * X.SHARDS
+    shut = observed.filter("route_id = 'A'")
+    if which == "metrics":
+        cols = ["pk", "timestamp", "stop_id", "description"]
+        assert rows(carry.read_parts(spark, out[1], "pk string, timestamp bigint, stop_id string, description string").select(cols)) == rows(H.service_events(shut).select(cols))
+        cols = ["route_id", "direction", "window_start", "train_count", "avg_delay_seconds", "headway_avg_seconds", "feed_status", "bunch_count"]
+        assert rows(carry.read_parts(spark, out[0], METRIC_SCHEMA).select(cols)) == rows(H.window_metrics(shut).select(cols))
+    else:
+        got = X.daily_rollup_so_far(carry.read_parts(spark, out[0], X.DAILY_PARTS), carry.read_parts(spark, out[1], X.HEADWAY_COUNTS))
+        assert rows(got.select(sorted(got.columns))) == rows(H.daily_rollup(shut, "UTC").select(sorted(got.columns)))
+
+
 def test_weighted_median(spark):
     data = [("a", 1.0, 3), ("a", 90.0, 2), ("a", 70.0, 1), ("b", 5.0, 1), ("b", 200.0, 1), ("c", 7.0, 9), (None, 3.0, 2)]
     got = X.weighted_median(spark.createDataFrame(data + [("a", 1.0, 1)], "k string, v double, n bigint"), ["k"], "v", "n", "m")
