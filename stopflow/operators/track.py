@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numbers import clamp
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .lookups import _join_folded, fold_platforms
 from .joins import join_aggregate
 from .ordered import _match, with_previous, with_running_sum
@@ -254,7 +254,7 @@ def with_phase(df: DataFrame, s: str, s_prev: str, s_next: str, boarding: float
 
 STATE = ["s", "v", "a", "t"]
 # Neighbouring chunks of a key are smoothed together up to about so many rows.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 200_000
 
 
 def smooth_steps(measured, times, state, alpha, beta, gamma, vmax, amax, jump):
@@ -271,7 +271,7 @@ def smooth_steps(measured, times, state, alpha, beta, gamma, vmax, amax, jump):
         speed = min(vmax, max(-vmax, v + a * dt))
         push = min(amax, max(-amax, a))
         off = z - ahead
-        if abs(off) > max(jump, vmax * dt * 1.5):
+        if not abs(off) <= max(jump, vmax * dt * 1.5):  # NaN is a jump too, or no later row would come free of it
             state = (z, 0.0, 0.0, t)
             rows.append((z, 0.0, 0.0, True))
             continue
@@ -288,27 +288,29 @@ def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: s
     """Alpha-beta-gamma smoothing per key: predict, correct, clamp, restart on a jump.
 
     The filter is sequential, but a hot key must not sit in one task. Keys are cut into chunks that
-    follow their order (``chunk`` must not decrease with ``order``). All chunks run side by side from
-    a guessed start state (the end state of the chunk before in the last round); a chunk is run again
-    when its start state changed. When none changed, every chunk has run from its true start state,
-    so the result equals one sequential pass. The filter forgets its start quickly, so few rounds
-    are needed; the worst case is one round per chunk of a key. Small neighbouring chunks are taken together first, up to
-    BLOCK_ROWS rows and one chunk: every group and round of its own costs more than the few rows in it.
+    follow their order (``chunk`` must not decrease with ``order``), and neighbouring chunks are taken together up to
+    BLOCK_ROWS rows and one chunk. In the first two rounds all blocks run side by side, from no state and then from the end state
+    of the block before; later a block runs again only when its start state changed and the block before it is not due as well.
+    When none is due, every block has run from its true start state, so the result equals one sequential pass. After a jump
+    the start is forgotten; without one it hardly ever is to the last bit, and then there is one round per block of
+    a key, each running and reading one block. Keys of one block take no round.
+    Rows without key or measurement are left out, as in the streaming form.
     """
     clean = points.select(F.col(key).alias("k"), chunk.cast("bigint").alias("c"), F.col(order).alias("o"),
                           F.col(measurement).cast("double").alias("z"), F.col(time_ms).cast("bigint").alias("ms"))
-    clean = clean.filter(F.col("z").isNotNull())
+    clean = clean.filter(F.col("k").isNotNull() & F.col("z").isNotNull())
     along = Window.partitionBy("k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("n").over(along), F.lit(0))
     blocks = clean.groupBy("k", "c").agg(F.count("*").alias("n")).select("k", "c", F.floor(earlier / BLOCK_ROWS).alias("b"))
-    clean = cut_lineage(_match(clean, blocks, ["k", "c"]).select("k", F.col("b").alias("c"), "o", "z", "ms"))
+    # a folder per block number, so a round reads the blocks it runs and no others
+    clean = written(_match(clean, blocks, ["k", "c"]).select("k", "o", "z", "ms", F.col("b").alias("c")), "smooth", "c")
     key_type = clean.schema["k"].dataType.simpleString()
     order_type = clean.schema["o"].dataType.simpleString()
     settings = (alpha, beta, gamma, vmax, amax, jump)
 
     def begin(start: pd.DataFrame):
         one = start[STATE].iloc[0]
-        return None if pd.isna(one["s"]) else tuple(float(x) for x in one)
+        return None if pd.isna(one["t"]) else tuple(float(x) for x in one)
 
     def run(rows: pd.DataFrame, start: pd.DataFrame):
         rows = rows.sort_values("o", kind="stable")
@@ -316,8 +318,6 @@ def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: s
         return rows, made, end
 
     def last_state(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or start.empty:
-            return pd.DataFrame({"k": [], "c": [], **{n: [] for n in STATE}})
         _, _, end = run(rows, start)
         return pd.DataFrame({"k": [rows["k"].iloc[0]], "c": [rows["c"].iloc[0]], **{n: [float(x)] for n, x in zip(STATE, end)}})
 
@@ -326,27 +326,34 @@ def smooth(points: DataFrame, key: str, order: str, measurement: str, time_ms: s
         return pd.DataFrame({"k": rows["k"].to_numpy(), "o": rows["o"].to_numpy(), "s": [m[0] for m in made], "v": [m[1] for m in made],
                              "a": [m[2] for m in made], "restarted": [m[3] for m in made]})
 
-    # Start states carry their own key names, so they never clash with the points they join.
-    blank = [F.lit(None).cast("double").alias(n) for n in STATE]
-    starts = cut_lineage(clean.select(F.col("k").alias("k0"), F.col("c").alias("c0")).distinct().select("k0", "c0", *blank))
+    # One row per block: the state it ran from and the one it ended in. Names differ from those of the points they join.
     order_of = Window.partitionBy("k0").orderBy("c0")
-    ends, todo = None, starts
+    state = "struct<" + ",".join(f"{n}:double" for n in STATE) + ">"
+    states = cut_lineage(clean.select(F.col("k").alias("k0"), F.col("c").alias("c0")).distinct())
+    states = states.select("k0", "c0", F.lit(None).cast(state).alias("began"), F.lit(None).cast(state).alias("ended"),
+                           F.lead("c0").over(order_of).isNull().alias("is_last"))
+    states, turn = written(states, "smooth-states"), 0
     while True:
-        again = clean.join(todo.select("k0", "c0"), (F.col("k") == F.col("k0")) & (F.col("c") == F.col("c0")), "left_semi")
-        ran = again.groupBy("k", "c").cogroup(todo.groupBy("k0", "c0")).applyInPandas(
-            last_state, f"k {key_type}, c bigint, s double, v double, a double, t double")
-        ran = ran.withColumnsRenamed({"k": "k0", "c": "c0"})
-        kept = None if ends is None else ends.join(todo.select("k0", "c0"), ["k0", "c0"], "left_anti")
-        ends = cut_lineage(ran if kept is None else kept.unionByName(ran))
-        handed = cut_lineage(ends.select("k0", "c0", *[F.lag(n).over(order_of).alias(n) for n in STATE]))
-        same = F.lit(True)
-        for n in STATE:
-            same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
-        before = starts.select("k0", "c0", *[F.col(n).alias(f"_{n}") for n in STATE])
-        todo = cut_lineage(handed.join(before, ["k0", "c0"]).filter(~same).select("k0", "c0", *STATE))
-        starts = handed
-        if todo.isEmpty():
+        handed = states.withColumn("handed", F.lag("ended").over(order_of))
+        # the last block of a key hands no state on
+        is_due = ~F.col("is_last") & (F.col("ended").isNull() | ~F.col("handed").eqNullSafe(F.col("began")))
+        handed = handed.withColumn("is_due", is_due)
+        if turn > 1:
+            handed = handed.withColumn("is_due", F.col("is_due") & ~F.lag("is_due", 1, False).over(order_of))
+        due = handed.filter("is_due").select("k0", "c0", *[F.col(f"handed.{n}").alias(n) for n in STATE])
+        numbers = [row["c0"] for row in due.select("c0").distinct().collect()]
+        if not numbers:
             break
+        again = clean.filter(F.col("c").isin(numbers)).join(due.select("k0", "c0"), (F.col("k") == F.col("k0")) & (F.col("c") == F.col("c0")), "left_semi")
+        ran = again.groupBy("k", "c").cogroup(due.groupBy("k0", "c0")).applyInPandas(
+            last_state, f"k {key_type}, c bigint, s double, v double, a double, t double")
+        ran = ran.select(F.col("k").alias("k0"), F.col("c").alias("c0"), F.struct(*STATE).alias("now"))
+        states = handed.join(ran, ["k0", "c0"], "left").select(
+            "k0", "c0", F.when(F.col("is_due"), F.col("handed")).otherwise(F.col("began")).alias("began"),
+            F.coalesce("now", "ended").alias("ended"), "is_last")
+        # a checkpoint would hand on size estimates that are multiplied in every round, until planning takes longer than the work
+        states, turn = written(states, "smooth-states"), turn + 1
+    starts = handed.select("k0", "c0", *[F.col(f"handed.{n}").alias(n) for n in STATE])
     out = clean.groupBy("k", "c").cogroup(starts.groupBy("k0", "c0")).applyInPandas(
         all_states, f"k {key_type}, o {order_type}, s double, v double, a double, restarted boolean")
     return out.select(F.col("k").alias(key), F.col("o").alias(order), "s", "v", "a", "restarted")

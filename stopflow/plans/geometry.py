@@ -189,7 +189,7 @@ SMOOTHED = f"""WITH RECURSIVE x AS (SELECT vec_id, label, vec_id * 10 + embeddin
 
 
 def measured(embeddings):
-    return embeddings.select("vec_id", "label", (F.col("vec_id") * 10 + F.col("embedding")[2].cast("double") * 100).alias("z"), (F.col("vec_id") * 10000).alias("t"))
+    return embeddings.select("vec_id", "label", (F.col("vec_id") * 10 + F.get("embedding", F.lit(2)).cast("double") * 100).alias("z"), (F.col("vec_id") * 10000).alias("t"))
 
 
 def rounded(out):

@@ -77,6 +77,41 @@ def test_small_chunks_are_smoothed_together(spark, monkeypatch, limit, most):
     assert max(starts) <= most
 
 
+def noisy(seed, n=40):
+    rng = random.Random(seed)
+    return [(i, i * 100.0 + rng.gauss(0, 20), i * 10_000) for i in range(n)]
+
+
+def test_blocks_that_remember_their_start_run_a_few_times(spark, monkeypatch, tmp_path):
+    """Without jumps no block forgets its start to the last bit; work and size estimates still don't grow with the number of rounds."""
+    def counted(*args, steps=K.smooth_steps, folder=str(tmp_path)):
+        import uuid
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return steps(*args)
+
+    rows = noisy(7, 240)
+    want = brute_smooth(rows)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(K, "smooth_steps", counted)
+    df = spark.createDataFrame([("a", *r) for r in rows], "trip string, seq int, z double, ms bigint")
+    out = K.smooth(df, "trip", "seq", "z", "ms", F.floor(F.col("seq") / 20))
+    assert sorted((r.seq, r.s, r.v, r.a, r.restarted) for r in out.collect()) == want
+    assert 24 <= len(list(tmp_path.iterdir())) <= 4 * 12
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 ** 30
+
+
+@pytest.mark.parametrize("limit", [10, 20_000])
+def test_smoothing_gets_over_rows_without_trip_or_number(spark, monkeypatch, limit):
+    """A measurement that is no number is a jump of one row, wherever the blocks are cut; rows without a trip are left out."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", limit)
+    rows = [(i, math.nan if i in (9, 23) else z, t) for i, z, t in noisy(8)]
+    df = spark.createDataFrame([(k, *r) for k in ("a", None) for r in rows], "trip string, seq int, z double, ms bigint")
+    got = sorted((r.seq, r.s, r.v, r.a, r.restarted) for r in K.smooth(df, "trip", "seq", "z", "ms", F.floor(F.col("seq") / 5)).collect())
+    parts = [row for low, high in ((0, 9), (10, 23), (24, 40)) for row in brute_smooth(rows[low:high])]
+    assert [g for g in got if g[0] not in (9, 23)] == parts
+    assert [g[2:] for g in got if g[0] in (9, 23)] == [(0.0, 0.0, True)] * 2
+
+
 def brute_clusters(points, t):
     seeds, owner = [], {}
     for i, y, x in points:
