@@ -101,3 +101,32 @@ def test_classifier_keeps_nodes_and_grows_the_same_trees(spark):
     plain = M._fit(M.complete_rows(rows, ["a", "b"], "y").filter("part = 'train'"), ["a", "b"],
                    RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=5, maxDepth=4, seed=42)).stages[-1]
     assert grown.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
+def test_large_forest_grows_in_parts(spark, monkeypatch):
+    """Rows hold the draws of a part of the trees at a time; the forest has them all, and votes and ranks features with all."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from stopflow.operators import models as M
+
+    rows = spark.range(600).selectExpr("id", "cast(id % 17 as double) a", "cast(id % 5 as double) b", "cast(id % 7 as double) c", "cast(id % 17 div 6 as int) y",
+                                       "1.0D + id % 2 weight", "if(id < 480, 'train', 'test') part")
+    names, grown, fit = ["a", "b", "c"], [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, df: grown.append((self.getNumTrees(), self.getCacheNodeIds(), df.count())) or fit(self, df))
+    monkeypatch.setattr(M, "KEPT_BYTES", 1000, raising=False)
+    monkeypatch.setattr(M, "PART_TREES", 4, raising=False)
+    model, predicted = M.delay_classifier(rows, names, "y", trees=9, depth=4)
+    assert grown == [(3, False, 480)] * 3
+    forest = model.stages[-1]
+    trees = [t.toDebugString.split("\n", 1)[1] for t in forest.trees]
+    assert forest.getNumTrees == 9 and forest.totalNumNodes == sum(t.numNodes for t in forest.trees) and len(set(trees)) > 3 and (forest.numClasses, forest.numFeatures) == (3, 3)
+    train = M.complete_rows(rows, names, "y").filter("part = 'train'")
+    first = M._fit(train, names, RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=3, maxDepth=4, seed=42)).stages[-1]
+    assert trees[:3] == [t.toDebugString.split("\n", 1)[1] for t in first.trees]
+    found = predicted.collect()
+    assert len(found) == 120 and np.mean([r.y == r.prediction for r in found]) > 0.9
+    votes = [sum(np.array(t.predictRaw(r.features).toArray()) / sum(t.predictRaw(r.features).toArray()) for t in forest.trees) for r in found[:20]]
+    assert all(r.rawPrediction.toArray() == pytest.approx(v) for r, v in zip(found, votes))
+    shares = sum(t.featureImportances.toArray() for t in forest.trees)
+    ranked = M.feature_importance(model, spark, names).collect()
+    assert {r.feature: r.importance for r in ranked} == pytest.approx(dict(zip(names, shares / shares.sum()))) and ranked[0].feature == "a"
