@@ -130,3 +130,18 @@ def test_large_forest_grows_in_parts(spark, monkeypatch):
     shares = sum(t.featureImportances.toArray() for t in forest.trees)
     ranked = M.feature_importance(model, spark, names).collect()
     assert {r.feature: r.importance for r in ranked} == pytest.approx(dict(zip(names, shares / shares.sum()))) and ranked[0].feature == "a"
+
+
+def test_classifier_rows_hold_no_other_columns(spark, monkeypatch):
+    """What is written for the forest is what it reads, and the rows it predicts keep their id."""
+    from stopflow.operators import models as M
+    from stopflow.plans import trends
+    from stopflow.plans.base import Tables
+
+    written, cut = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    grow = M.delay_classifier
+    monkeypatch.setattr(M, "delay_classifier", lambda rows, *names: grow(rows, *names, trees=2, depth=2))
+    model, predicted = trends.classified(Tables(spark, FOLDER))
+    assert len(written) == 1 and sorted(written[0]) == sorted(["arrival_id", "target", "weight", "part", *trends.DELAY_FEATURES])
+    assert predicted.select("arrival_id").distinct().count() == predicted.count() > 0 and model.stages[-1].getNumTrees == 2
